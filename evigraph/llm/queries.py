@@ -6,8 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, topk
-from .common import table
+from . import ann, bpe, line_dedup, mixing, quality, topk, url_rules, warc, word_pieces
+from .common import new_path, table
+
+QUALITY_CUT = 0.7
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = quality.fit(docs, labels.where(~held_out))
+    x = quality.score(docs, model)
+    return x.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return x.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -24,15 +40,40 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_pieces.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    x = warc.captures(warc.read(spark, path, payloads=False))
+    fields, main = F.col("metadata")["head"], F.col("response")
+    return x.select(
+        warc.field(fields, "page").cast("long").alias("page_id"), main["payload_bytes"].alias("payload_bytes"), main["payload_digest"].alias("payload_digest"),
+        main["warc_type"].alias("record_type"), warc.field(fields, "refersToPage").cast("long").alias("refers_to"),
+    )
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    return x.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_source_mix": op4_source_mix,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_cross_polytope": op6_cross_polytope,
+    "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_url_rules": op10_url_rules,
 }
 
 _OP3 = r"""
@@ -54,4 +95,15 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-SQL = {"op3_line_dedup": _OP3, "op9_exact_top_k": _OP9}
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, upper(sha1(h)) AS x FROM p),
+b AS (SELECT page_id, n, list_transform(range(0, 8), lambda i: list_reduce(list_transform(range(1, 6), lambda j: CAST(strpos('0123456789ABCDEF', x[5 * i + j]) - 1 AS BIGINT)), lambda a, y: a * 16 + y)) AS g FROM d),
+e AS (SELECT page_id, n, list_aggregate(list_transform(g, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> s) & 31) + 1]), '')), 'string_agg', '') AS digest FROM b),
+f AS (SELECT digest AS fd, max(page_id) AS first FROM e GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM e JOIN f ON digest = fd
+"""
+
+SQL = {"op3_line_dedup": _OP3, "op8_warc": _OP8, "op9_exact_top_k": _OP9}
