@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, mixing, quality, topk, url_rules, warc, word_pieces
+from . import ann, bpe, line_dedup, mixing, near_dedup, quality, topk, url_rules, warc, word_pieces
 from .common import new_path, table
 
 QUALITY_CUT = 0.7
@@ -14,6 +14,10 @@ QUALITY_CUT = 0.7
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -65,6 +69,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_source_mix": op4_source_mix,
@@ -76,6 +81,20 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
 }
 
+_OP1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+k AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS k, min(doc_id) AS rep, any_value(s) AS s FROM s WHERE len(s) > 0 GROUP BY 1),
+t AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM k),
+i AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT a, b FROM i WHERE 100 * c >= 80 * (na + nb - c)),
+l AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+r(node, top) AS (SELECT rep, rep FROM k UNION SELECT l.v, r.top FROM r JOIN l ON r.node = l.u),
+c AS (SELECT node, min(top) AS top FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.top, s.doc_id) AS component_id, s.doc_id = coalesce(c.top, s.doc_id) AS kept
+FROM s LEFT JOIN k ON len(s.s) > 0 AND md5(array_to_string(list_sort(s.s), chr(10))) = k.k LEFT JOIN c ON c.node = k.rep
+"""
+
 _OP3 = r"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT rn, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos, len(lines) AS n FROM d),
@@ -106,4 +125,4 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 FROM e JOIN f ON digest = fd
 """
 
-SQL = {"op3_line_dedup": _OP3, "op8_warc": _OP8, "op9_exact_top_k": _OP9}
+SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op8_warc": _OP8, "op9_exact_top_k": _OP9}
