@@ -55,15 +55,24 @@ def apply_keep(lines: F.Column, keep: F.Column) -> F.Column:
     return F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text): every row of docs with its common lines dropped.
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows of docs with all their columns, the text with its common lines dropped, and line_dedup: struct(n_lines,
+    n_dropped).
 
     A null or empty text is one empty line, which stays. A text that loses all its lines becomes empty. Repeated rows stay
-    repeated. Other columns of docs are not looked at.
+    repeated. Columns of docs may have any names but line_dedup.
     """
-    d = _with_row(docs, id_col, text_col)
-    marks = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), "n_dropped", "keep")
-    x = d.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("row_key") == F.col("m_key")), "left")
-    lines = _lines(F.col("text"))
-    text = F.when(F.col("keep").isNull(), F.col("text")).otherwise(apply_keep(lines, F.col("keep")))
-    return x.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), text.alias("text"))
+    marks = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.struct("doc_id", "row_key", "n_dropped", "keep").alias("line_dedup"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    key = F.xxhash64(text.isNull(), text)  # row_key of that text
+    x = docs.join(marks, docs[id_col].eqNullSafe(marks["line_dedup"]["doc_id"]) & (key == marks["line_dedup"]["row_key"]), "left")
+    lines, mark = _lines(text), marks["line_dedup"]
+    kept = F.when(mark.isNull(), text).otherwise(apply_keep(lines, mark["keep"]))
+    counts = F.struct(F.size(lines).cast("long").alias("n_lines"), F.coalesce(mark["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"))
+    return x.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns], counts.alias("line_dedup"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text) of every row of docs; see marked() for the cases."""
+    x = marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", min_chars, min_docs)
+    return x.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", "text")

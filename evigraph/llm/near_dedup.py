@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -247,3 +247,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     x = x.join(keys, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     x = x.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return x.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all columns of docs: that of the least id.
+
+    Rows of one id are one document, of which the row of the least text hash stays. Rows without id all stay.
+    """
+    lost = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select("doc_id").distinct()
+    lost = lost.select(F.struct("doc_id").alias("near_lost"))
+    x = docs.join(lost, docs[id_col] == lost["near_lost"]["doc_id"], "left_anti")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    ranked = x.where(F.col(id_col).isNotNull()).withColumn("near_rank", first).where(F.col("near_rank") == 1).drop("near_rank")
+    return ranked.unionByName(x.where(F.col(id_col).isNull()))

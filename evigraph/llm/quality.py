@@ -170,3 +170,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for i in range(0, b.num_rows, BLOCK):
         yield b.slice(i, BLOCK)
+
+
+def keep_good(docs: DataFrame, model: Model, cut: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score `cut` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            for some in _blocks(b):
+                yield some.filter(pa.array(m.scores([x or "" for x in some.column(at).to_pylist()]) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
