@@ -57,3 +57,10 @@ def clean_vector(c: str) -> Column:
     v = F.col(c).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(v.isNotNull() & (F.size(v) > 0) & ~bad, v)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name

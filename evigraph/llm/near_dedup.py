@@ -8,7 +8,8 @@ path's first DEPTH levels form a region.
   Dense: the first trees link each row to the most alike of its nearest neighbours, those of the longest common prefix.
 * What the first links, verified on full sets, have joined counts as one component from then on. In each region of every tree
   all pairs from different components are then candidates, whatever the region's size; pairs within a component need no look.
-* One-bit sketches drop candidates far below the threshold; what remains is verified on full sets.
+* One-bit sketches drop candidates far below the threshold; components that candidates connect form a family, within which
+  full sets are compared in blocks.
 
 A pair of the threshold's similarity s shares DEPTH levels of a tree with probability s ** DEPTH, so at 0.8 and 24 trees about
 3 pairs of a million that nothing else links are missed.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare, written
 from .graph import components
 from .shingles import WordHashes, _mix, bits, multipliers, set_key, shingles, signature
 
@@ -149,40 +150,43 @@ def _neighbours(most: int):
 
     names = ["tree", "p1", "rep", "s1", "s2", "to"]
 
-    def out(tree, p1, rep, s, first, last):
-        alive, a, b = look(tree, p1, rep, s, first, last)
-        at = np.flatnonzero(alive)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(tree[at]), pa.array(p1[at]), pa.array(rep[at]), pa.array(s[at, 0].view(np.int64)), pa.array(s[at, 1].view(np.int64)), pa.nulls(len(at), pa.int64())], names)
-        if len(a):
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), -1, np.int32)), none, pa.array(a), none, none, pa.array(b)], names)
-
     def run(batches):
-        held, first = None, True
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(c).to_numpy() for c in ("tree", "p1", "rep")]
-            s = np.stack([b.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64)
-            now = [*cols, s] if held is None else [np.concatenate([x, y]) for x, y in zip(held, [*cols, s])]
-            tree, p1 = now[0], now[1]
-            tail = (tree == tree[-1]) & (p1 == p1[-1])
-            cut = int(np.argmax(tail))  # rows are sorted: the last region may go on in the next batch
-            if cut and cut >= len(tree) - _CARRY:
-                yield from out(*[x[:cut] for x in now], first, False)
-                held, first = [x[cut:] for x in now], False
-            elif len(tree) > _CARRY:
-                yield from out(*now, True, True)  # one region larger than is held: it keeps all its rows
-                held, first = None, True
-            else:
-                held = now
-        if held is not None:
-            yield from out(*held, first, True)
+        for (tree, p1, rep, s), first, last in _regions(batches, ("tree", "p1", "rep")):
+            alive, a, b = look(tree, p1, rep, s, first, last)
+            at = np.flatnonzero(alive)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(tree[at]), pa.array(p1[at]), pa.array(rep[at]), pa.array(s[at, 0].view(np.int64)), pa.array(s[at, 1].view(np.int64)), pa.nulls(len(at), pa.int64())], names)
+            if len(a):
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), -1, np.int32)), none, pa.array(a), none, none, pa.array(b)], names)
 
     return run
 
 
+def _regions(batches, names: tuple[str, ...]):
+    """((the named columns, sketches), whether the first region may have begun before, whether the last may go on) of whole
+    regions from sorted rows. names starts with tree and p1."""
+    held, first = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in names]
+        cols.append(np.stack([b.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64))
+        now = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols)]
+        tree, p1 = now[0], now[1]
+        cut = int(np.argmax((tree == tree[-1]) & (p1 == p1[-1])))  # the last region may go on in the next batch
+        if cut and cut >= len(tree) - _CARRY:
+            yield [x[:cut] for x in now], first, False
+            held, first = [x[cut:] for x in now], False
+        elif len(tree) > _CARRY:
+            yield now, True, True  # a region larger than is held
+            held, first = None, True
+        else:
+            held = now
+    if held is not None:
+        yield held, first, True
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
@@ -194,20 +198,121 @@ def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _across(rows: DataFrame, of: DataFrame, most: int) -> DataFrame:
-    """Pairs of rows that share a region but no component and whose sketches are near.
+class _Union:
+    """Union-find over whatever it is asked about."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def top(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a, b) -> bool:
+        """Whether they were apart."""
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _families(most: int):
+    """Links (a, b) between components that have near sketches in a region, as many as join them and no more.
+
+    A region at the edge of a task's rows, or one larger than _PAIRS_OF rows, links all its components to its largest: that
+    puts more into a family than has to be compared, never less.
+    """
+
+    def run(batches):
+        for (tree, p1, component, main, s), first, last in _regions(batches, ("tree", "p1", "component", "main")):
+            start = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (p1[1:] != p1[:-1])]))
+            ends = np.append(start[1:], len(tree))
+            union, out = _Union(), []
+            for k, (i, z) in enumerate(zip(start, ends)):
+                if z - i > _PAIRS_OF or (first and k == 0) or (last and k == len(start) - 1):
+                    out += [(c, m) for c, m in zip(component[i:z].tolist(), main[i:z].tolist()) if union.join(c, m)]
+                    continue
+                for a in range(i, z, _BLOCK_ROWS):
+                    for b in range(a, z, _BLOCK_ROWS):
+                        x, y = slice(a, min(a + _BLOCK_ROWS, z)), slice(b, min(b + _BLOCK_ROWS, z))
+                        near = (np.bitwise_count(s[x, None] ^ s[None, y]).sum(2) <= most) & (component[x, None] != component[None, y])
+                        r, c = np.nonzero(near)
+                        pairs = np.unique(np.stack([component[x][r], component[y][c]], axis=1), axis=0).tolist() if len(r) else []
+                        out += [(p, q) for p, q in pairs if union.join(p, q)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+#: Rows of a region that are compared pair by pair for families, rows that are at once, and sets of a block for exact comparison.
+_PAIRS_OF, _BLOCK_ROWS, BLOCK_SETS = 20_000, 512, 64
+
+
+def _exact(percent: int):
+    """Links between a block of sets outside their family's largest component (side 1) and a block of the family's sets (side
+    0), as many as join their components. All intersections come from one sorted index of the block."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        rep, comp = group.column("rep").to_numpy(), group.column("component").to_numpy()
+        column = group.column("hashes").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
+        flat, offsets = (flat, offsets - offsets[0])
+        n = np.diff(offsets)
+        owner = np.repeat(np.arange(len(n)), n)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        links: list = []
+        if len(left) and len(right):
+            mine = side[owner] == 0
+            values, of = flat[mine], owner[mine]
+            order = np.argsort(values, kind="stable")
+            values, of = values[order], of[order]
+            asked, by = flat[~mine], owner[~mine]
+            lo, hi = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
+            hits = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(hits.sum())
+            place = np.full(len(n), -1)
+            place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+            both = np.bincount(place[np.repeat(by, hits)] * len(left) + place[of[at]], minlength=len(left) * len(right)).reshape(len(right), len(left))
+            fit = 100 * both >= percent * (n[right][:, None] + n[left][None, :] - both)
+            fit &= comp[right][:, None] != comp[left][None, :]
+            union = _Union()
+            links = [(rep[right[r]], rep[left[c]]) for r, c in zip(*np.nonzero(fit)) if union.join(comp[right[r]], comp[left[c]])]
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return run
+
+
+def _across(rows: DataFrame, of: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between rows of different components that share a region.
 
-    Each such pair has a row outside its region's largest component, so only those rows are joined with their regions.
+    Components with near sketches in some region form a family. In each family the sets outside its largest component are
+    compared with all its sets, block by block, on the full sets: a set is sent once for each block that it meets, not once
+    for each pair, and only links that join components come out.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = rows.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     n = x.groupBy("tree", "p1", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = n.groupBy("tree", "p1").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1).drop("parts")
     x = written(x.join(mixed, ["tree", "p1"]), "mixed-regions")
-    y = x.select("tree", "p1", *[F.col(c).alias(f"{c}_b") for c in ("rep", "s1", "s2", "component")])
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b")))
-    j = x.where(F.col("component") != F.col("main")).join(y, ["tree", "p1"])
-    j = j.where((F.col("component") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep") < F.col("rep_b"))) & (apart <= most))
-    return j.select(*_ordered("rep", "rep_b")).distinct()
+    near = x.repartitionByRange(parts, "tree", "p1", "rep").sortWithinPartitions("tree", "p1", "rep").mapInArrow(_families(most), "a long, b long")
+    family = components(near).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    members = written(x.select("rep", "component").distinct().join(family, "component"), "families")
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK_SETS)).cast("int")
+    m = members.join(sizes, "family").withColumns({"blocks": blocks(F.col("n")), "others": blocks(F.col("n") - F.col("n_main"))})
+    m = m.join(sets, "rep")
+    own = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    cols = ["rep", "component", "hashes"]
+    left = m.select("family", own("blocks").alias("block"), each("others").alias("other"), F.lit(0).alias("side"), *cols)
+    right = m.where(F.col("component") != F.col("main")).select("family", each("blocks").alias("block"), own("others").alias("other"), F.lit(1).alias("side"), *cols)
+    return left.unionByName(right).groupBy("family", "block", "other").applyInArrow(_exact(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +339,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     involved = rows.select("rep").unionByName(near.where(F.col("to").isNotNull()).select(F.col("to").alias("rep"))).unionByName(near.where(F.col("to").isNotNull()).select("rep")).distinct()
     sets = written(d.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets(width), "rep long, hashes array<long>"), "sets")
     of = components(verified(first, sets, percent))
-    more = verified(_across(rows, of, most), sets, percent)
+    more = _across(rows, of, sets, most, percent)
     lead = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
     over = more.join(lead("a"), "a", "left").join(lead("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
     over = written(components(over), "components")
@@ -255,8 +360,8 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     Rows of one id are one document, of which the row of the least text hash stays. Rows without id all stay.
     """
     lost = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select("doc_id").distinct()
-    lost = lost.select(F.struct("doc_id").alias("near_lost"))
-    x = docs.join(lost, docs[id_col] == lost["near_lost"]["doc_id"], "left_anti")
+    x = docs.join(lost, docs[id_col] == lost["doc_id"], "left_anti")
+    rank = spare(docs, "rank")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    ranked = x.where(F.col(id_col).isNotNull()).withColumn("near_rank", first).where(F.col("near_rank") == 1).drop("near_rank")
+    ranked = x.where(F.col(id_col).isNotNull()).withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
     return ranked.unionByName(x.where(F.col(id_col).isNull()))
