@@ -60,8 +60,9 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     n_dropped).
 
     A null or empty text is one empty line, which stays. A text that loses all its lines becomes empty. Repeated rows stay
-    repeated. Columns of docs may have any names but line_dedup.
+    repeated. Other columns may have any names; a column line_dedup of docs gives way.
     """
+    docs = docs.drop("line_dedup")
     marks = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.struct("doc_id", "row_key", "n_dropped", "keep").alias("line_dedup"))
     text = F.coalesce(docs[text_col], F.lit(""))
     key = F.xxhash64(text.isNull(), text)  # row_key of that text

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare, written
 
 SEED, SHARE, REPEATS = 17, 1.5, 2
 _BITS = 10
@@ -209,7 +209,8 @@ def mix_by_source(docs: DataFrame, weights=cycle(5, 2, 1), share: float = SHARE,
 def mixed(docs: DataFrame, weights=cycle(5, 2, 1), share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix uses it, with docs' columns."""
     _, m = plan(docs, F.array(F.col(source_col)), weights, share, repeats, seed, id_col, text_col)
-    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    x = docs.join(_uses(docs.sparkSession, m), _pattern_key(F.array(F.col(source_col))) == F.col("use_pattern"))
-    x = x.withColumn("copy_no", F.explode(F.array_repeat(F.lit(1), _copies(F.col("full"), F.col("last"), h))))
-    return x.select(*[docs[c] for c in docs.columns])
+    h = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
+    uses = docs.sparkSession.createDataFrame(m.uses, "use_pattern string, full int, last long").select(F.struct("*").alias("use"))
+    x = docs.join(F.broadcast(uses), _pattern_key(F.array(docs[source_col])) == uses["use"]["use_pattern"])  # a row a pattern
+    once = spare(docs, "copy")
+    return x.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), _copies(uses["use"]["full"], uses["use"]["last"], h))).alias(once)).drop(once)

@@ -58,11 +58,11 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     if not total or not blocked:
         return spark.createDataFrame([], "key string, items array<string>, confidence double, support double")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / total), minConfidence=min_confidence, numPartitions=parts).fit(x).freqItemsets
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total)), minConfidence=min_confidence, numPartitions=parts).fit(x).freqItemsets
     sets = sets.withColumn("set", F.array_join(F.array_sort(F.array_remove("items", BLOCK_ITEM)), _SEP)).withColumn("with", F.array_contains("items", BLOCK_ITEM))
     # antecedent and antecedent-with-label meet under the antecedent's key: one aggregation instead of a self join
     rules = sets.groupBy("set").agg(F.max(F.when(F.col("with"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("with"), F.col("freq"))).alias("freq")).where(F.col("set") != "")
-    rules = rules.withColumn("confidence", F.col("hits") / F.col("freq")).where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * blocked / total))
+    rules = rules.withColumn("confidence", F.col("hits") / F.col("freq")).where((F.col("hits") >= min_count) & (F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * blocked / total))
     rules = rules.select("set", F.split("set", _SEP).alias("items"), "confidence", (F.col("hits") / total).alias("support"))
     single = sets.where(~F.col("with") & (F.size("items") == 1)).select(F.col("set").alias("item"), F.col("freq").alias("item_freq"))
     keyed = rules.select("*", F.explode("items").alias("item")).join(single, "item").groupBy("set").agg(F.min(F.struct("item_freq", "item"))["item"].alias("key"), F.first("items").alias("items"), F.max("confidence").alias("confidence"), F.max("support").alias("support"))
