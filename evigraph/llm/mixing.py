@@ -55,21 +55,21 @@ def route(patterns: dict[tuple, int], targets: dict, repeats: int) -> dict[tuple
         while True:
             # a path from a pattern with room to a source with quota: pattern -> source -> (pattern that serves it) -> source ...
             seen: dict = {p: None for p, c in room.items() if c > 0}
-            queue, end = deque(seen), None
-            while queue and end is None:
+            queue, end, found = deque(seen), None, False  # a null source is a source, so end alone doesn't tell
+            while queue and not found:
                 p = queue.popleft()
                 for s in p:
                     if (0, s) in seen:
                         continue
                     seen[0, s] = p
                     if left[s] > 0:
-                        end = s
+                        end, found = s, True
                         break
                     for other in members[s]:
                         if other not in seen and flow[other][s] > 0:
                             seen[other] = (0, s)
                             queue.append(other)
-            if end is None:
+            if not found:
                 break
             path, s = [], end
             while True:

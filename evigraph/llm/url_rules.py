@@ -42,7 +42,8 @@ def tokens(url: Column) -> Column:
 
 def by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(length, rule, verdict) of the longest rule (verdict, host, path) that fits, or null; of equal ones the last by name."""
-    fits = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("length"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in rules]
+    none = F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
+    fits = [none] + [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("length"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in rules]
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
