@@ -42,6 +42,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = hashes.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     first = runs.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
     common = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    # as a table of its own both sides of the join are plain exchanges, which Spark can split where one line is very common
+    common = written(common, "common-lines")
     lost = hashes.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     at = lost.groupBy("doc_id", "row_key").agg(F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("at"))
     start = lambda i: F.when(i == 0, 0).otherwise(F.get("at", i - 1) + 1)
