@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _SEP = "\x01"
@@ -87,7 +87,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     p = p.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens")).withColumn("set", F.array_join("tokens", _SEP))
     known = labels.where(F.col("quality").isNotNull() | F.col("toxic").isNotNull()).groupBy(F.col(label_id).alias("page_id")).agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False)))).alias("block"))
     mined = mine(p.join(known, "page_id").select(F.col("tokens").alias("items"), "block"), **bounds)
-    hit = fired(p.select("set").distinct(), mined).select(F.col("set").alias("f_set"), "confidence")
+    # as a table of its own both sides of the join below are plain exchanges, which Spark can split where a host is very common
+    hit = written(fired(p.select("set").distinct(), mined).select(F.col("set").alias("f_set"), "confidence"), "fired-rules")
     x = p.join(hit, F.col("set") == F.col("f_set"), "left").withColumn("given", by_rules(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("given")["verdict"], F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return x.select("page_id", "host", "path", F.col("given")["rule"].alias("rule"), verdict.alias("verdict"), "confidence")
