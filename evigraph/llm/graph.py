@@ -8,31 +8,40 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step of the alternating star algorithm on edges (u > v). The least neighbour of a node is a plain aggregate, so a
-    node with very many neighbours is pre-aggregated by every task, and the join that hands it out can be split."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    out = both.join(least, "u")
-    out = out.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    out = out.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    return out.distinct()
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _down(u, v) -> list:
+    return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large and a small step of the alternating star algorithm on edges (u > v): every node's larger neighbours, then its
+    smaller ones, are linked to its least neighbour.
+
+    The least neighbour is a plain aggregate, so a node with very many neighbours is pre-aggregated by every task, and the join
+    that hands it out can be split.
+    """
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    e = both.join(_least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+    least = _least(e)
+    e = e.join(least, "u").select(*_down(F.col("v"), F.col("m"))).unionByName(least.select(*_down(F.col("u"), F.col("m"))))
+    return e.where(F.col("u") != F.col("v")).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is linked to one node that is linked to none itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+    bad = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return bad.where((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0))).isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each node of edges can reach. Nodes that are only linked to themselves, and null
     ones, are left out. The number of rounds grows with the logarithm of the longest path."""
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = written(e, "edges")
-    state = _state(e)
-    while True:
-        e = written(_star(_star(e, True), False), "edges")
-        now = _state(e)
-        if now == state:
-            # stars: each edge leads from a node to its component; the centres themselves are added
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
+    e = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    while not _stars(e):
+        e = written(_round(e), "edges")
+    # each edge leads from a node to its component; the centres themselves are added
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
