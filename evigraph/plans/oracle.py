@@ -189,6 +189,10 @@ FROM a LEFT JOIN m ON a.nation = m.nation LEFT JOIN k ON a.nation = k.nation""",
 SELECT head_id AS start, tail_id AS "end", 1::BIGINT AS n_hops, head_id || '>' || tail_id AS nodes, relation_en AS relations, triple_id AS triple_ids FROM t WHERE head_type = 'Part'
 UNION ALL SELECT a.head_id, b.tail_id, 2, a.head_id || '>' || a.tail_id || '>' || b.tail_id, a.relation_en || '>' || b.relation_en, a.triple_id || '>' || b.triple_id FROM t a JOIN t b ON a.tail_id = b.head_id WHERE a.head_type = 'Part'""",
     "path_rank": f"""{_BASE} SELECT head_id AS start, tail_id AS "end", row_number() OVER (PARTITION BY head_id ORDER BY triple_id) AS path_rank FROM tri WHERE relation_en IN ('has_brand', 'has_type')""",
+    "path_rank_all": f"""{_BASE}, h1 AS (SELECT p.id AS start, tail_id AS "end", 1::BIGINT AS n_hops, p.id || '>' || tail_id AS nodes, triple_id AS ids FROM (SELECT id FROM ent WHERE entity_type = 'Part') p JOIN tri ON head_id = p.id),
+h2 AS (SELECT start, tail_id AS "end", 2::BIGINT AS n_hops, nodes || '>' || tail_id AS nodes, ids || '/' || triple_id AS ids FROM h1 JOIN tri ON head_id = h1."end" WHERE NOT list_contains(string_split(nodes, '>'), tail_id)),
+h3 AS (SELECT start, tail_id AS "end", 3::BIGINT AS n_hops, nodes || '>' || tail_id AS nodes, ids || '/' || triple_id AS ids FROM h2 JOIN tri ON head_id = h2."end" WHERE NOT list_contains(string_split(nodes, '>'), tail_id))
+SELECT start, "end", n_hops, replace(ids, '/', '>') AS triple_ids, row_number() OVER (PARTITION BY start ORDER BY n_hops, ids) AS path_rank FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)""",
     "current_version": "WITH v AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version_no, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey, version_no, version_no = n AS is_current, version_no - 1 AS previous FROM v",
     "timeline_lag": "SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, coalesce(CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS BIGINT), -1) AS gap_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "experiment_summary": "SELECT source, lang, count(*) AS n, round(avg(quality), 9) AS quality, round(avg(toxic), 9) AS toxic, CAST(sum(n_chars) AS BIGINT) AS chars FROM labels JOIN documents USING (doc_id) GROUP BY ALL",

@@ -343,6 +343,12 @@ def path_rank(spark, d):
     return analytics.ranked_paths(analytics.hops(_starts(spark, d), t, 1)).select("start", "end", "path_rank")
 
 
+def path_rank_all(spark, d):
+    """Every path from a part over every relation: the longest ends in a region, three hops away."""
+    x = analytics.ranked_paths(analytics.hops(_starts(spark, d), trade_graph(spark, d).triples, 3))
+    return x.select("start", "end", "n_hops", F.array_join("triple_ids", ">").alias("triple_ids"), "path_rank")
+
+
 def current_version(spark, d):
     x = analytics.versions(_t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey")
     return x.select("o_custkey", "o_orderkey", "version_no", "is_current", F.coalesce("previous", F.lit(0)).cast("long").alias("previous"))
@@ -366,6 +372,6 @@ QUERIES = {
         source_attach_last_wins, endpoint_enrich, section_counts, context_summary, section_first_appearance, section_fill, source_dedup_first, source_dedup_text, distinct_heads, context_markdown,
         context_research, plain_listing, observation_match, clause_match, observed_evidence, buckets_union, bucket_topk, insufficient_flags, candidates_or_all, care_level, labels_rendered, head_labels,
         graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, missing_sources, copies_differ, graph_checksum, prompt_render, prompt_general, safety_supplement,
-        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, current_version, timeline_lag, experiment_summary,
+        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, path_rank_all, current_version, timeline_lag, experiment_summary,
     )
 }

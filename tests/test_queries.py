@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from evigraph.plans import oracle, queries
 
@@ -37,3 +38,11 @@ def test_same_rows(spark, duck, name):
 def test_plans_use_semi_joins_and_prune_columns(spark):
     plan = queries.missing_sources(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "l_quantity" not in plan and "CartesianProduct" not in plan
+
+
+def test_ranked_paths_take_every_relation_and_more_than_one_hop(spark):
+    x = queries.path_rank_all(spark, DATA)
+    assert {r[0] for r in x.select(F.substring("triple_ids", 1, 2)).distinct().collect()} == {"TB", "TT", "TS"}
+    assert {r["n_hops"] for r in x.select("n_hops").distinct().collect()} == {1, 2, 3}
+    pairs = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
+    assert x.where("n_hops = 1").count() == pairs + 2 * spark.read.parquet(f"{DATA}/part.parquet").count()
