@@ -171,6 +171,7 @@ SELECT name, CAST(expected AS BIGINT) AS expected, actual, 'Expected ' || expect
     "relation_counts": f"{_BASE} SELECT head_id, relation_en, count(*) AS n FROM tri GROUP BY ALL",
     "dup_check": f"{_BASE} SELECT key, count(*) AS n FROM keys GROUP BY key HAVING count(*) > 1",
     "dangling_nodes": f"{_BASE} SELECT triple_id, 'head' AS side, head_id AS id FROM tri WHERE head_id LIKE 'SUP_%' AND CAST(substr(head_id, 5) AS BIGINT) % 7 = 0 UNION ALL SELECT triple_id, 'tail', tail_id FROM tri WHERE tail_id LIKE 'SUP_%' AND CAST(substr(tail_id, 5) AS BIGINT) % 7 = 0",
+    "dangling_ends": f"{_BASE}, e AS (SELECT triple_id, 'head' AS side, head_id AS id FROM tri UNION ALL SELECT triple_id, 'tail', tail_id FROM tri) SELECT triple_id, side, id FROM e WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.id = e.id)",
     "missing_sources": f"{_BASE} SELECT triple_id, relation_en FROM att WHERE source_id = ''",
     "copies_differ": f"{_BASE} SELECT triple_id, 'head' AS side FROM tri WHERE head_type = 'Nation' UNION ALL SELECT triple_id, 'tail' FROM tri WHERE tail_type = 'Nation'",
     "prompt_render": _prompt(prompts.V1),

@@ -245,6 +245,11 @@ def dangling_nodes(spark, d):
     return checks.dangling(type(g)(some, g.triples, g.sources, g.refs))
 
 
+def dangling_ends(spark, d):
+    """Of the graph as it is; tests/test_graph.py has planted ends."""
+    return checks.dangling(trade_graph(spark, d))
+
+
 def missing_sources(spark, d):
     return checks.without_source(trade_graph(spark, d)).select("triple_id", "relation_en")
 
@@ -371,7 +376,7 @@ QUERIES = {
         kg_entities, list_heads, alias_explode, lookup_keys, resolve_all, resolve_first, resolve_ranked, resolve_outcome, head_outcome, evidence_by_head, evidence_by_relation, reverse_lookup,
         source_attach_last_wins, endpoint_enrich, section_counts, context_summary, section_first_appearance, section_fill, source_dedup_first, source_dedup_text, distinct_heads, context_markdown,
         context_research, plain_listing, observation_match, clause_match, observed_evidence, buckets_union, bucket_topk, insufficient_flags, candidates_or_all, care_level, labels_rendered, head_labels,
-        graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, missing_sources, copies_differ, graph_checksum, prompt_render, prompt_general, safety_supplement,
+        graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, dangling_ends, missing_sources, copies_differ, graph_checksum, prompt_render, prompt_general, safety_supplement,
         forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, path_rank_all, current_version, timeline_lag, experiment_summary,
     )
 }

@@ -46,3 +46,17 @@ def test_ranked_paths_take_every_relation_and_more_than_one_hop(spark):
     assert {r["n_hops"] for r in x.select("n_hops").distinct().collect()} == {1, 2, 3}
     pairs = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
     assert x.where("n_hops = 1").count() == pairs + 2 * spark.read.parquet(f"{DATA}/part.parquet").count()
+
+
+def test_a_dangling_end_of_the_tables_is_found_and_no_other(spark, tmp_path):
+    assert queries.dangling_ends(spark, DATA).count() == 0
+    for t in TABLES[:6] + ["lineitem"]:
+        x = spark.read.parquet(f"{DATA}/{t}.parquet")
+        if t == "customer":
+            x = x.where("c_custkey <> 1").unionByName(x.where("c_custkey = 1").withColumn("c_mktsegment", F.lit(None).cast("string")))
+        x.write.parquet(f"{tmp_path}/{t}.parquet")
+    duck = duckdb.connect()
+    for t in TABLES[:6] + ["lineitem"]:
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(str, (tuple(r) for r in queries.dangling_ends(spark, str(tmp_path)).select("triple_id", "side", "id").collect())))
+    assert got == ["('TG1', 'tail', None)"] == sorted(map(str, duck.sql(oracle.SQL["dangling_ends"]).fetchall()))
