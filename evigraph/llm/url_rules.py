@@ -47,11 +47,12 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5, min_count: int = 20) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = 0.6, min_lift: float = 1.5, min_count: int = 20) -> DataFrame:
     """(key, items, confidence, support): block rules from rows of (items, block).
 
-    Frequent tokens number at most the mean tokens of a row over min_support, whatever the rows. key is the item of a rule
-    that fewest rows have. No labelled rows give no rules.
+    A combination is frequent that min_count rows have, however many rows there are, or min_support of all rows where that is
+    more. Frequent tokens, which the driver holds, number at most all tokens of all rows over min_count. key is the item of a
+    rule that fewest rows have. No labelled rows give no rules.
     """
     spark = labelled.sparkSession
     x = labelled.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0)
@@ -81,6 +82,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
 
     verdict is that of the longest given rule, else block where a mined rule matches, else allow; confidence is the mined
     rule's, or null. Labels are joined by id; a page of quality 0 or toxic 1 is a block example, a label with both null none.
+    bounds are those of mine(): by default 20 pages make a combination, of confidence 0.6 and lift 1.5 or more.
     A url that is null or has no :// has an empty host and path. Repeated rows stay repeated; an empty table gives no rows.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))

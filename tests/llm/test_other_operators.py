@@ -229,6 +229,11 @@ def test_mined_rules_are_those_of_counting(spark):
     assert rules[frozenset({"h:spam", "p:y"})] == (1.0, 34 / 200)
 
 
+def test_rules_of_few_pages_are_mined_in_large_tables(spark):
+    rows = spark.range(20_000).select(F.array(F.when(F.col("id") < 25, "h:spam").otherwise("h:good")).alias("items"), (F.col("id") < 25).alias("block"))
+    assert [(r["items"], r["confidence"]) for r in url_rules.mine(rows).collect()] == [(["h:spam"], 1.0)]
+
+
 def test_url_tokens(spark):
     u = spark.createDataFrame([("https://a.b/C/12x?k=1&z#f",), (None,), ("",)], "u string")
     assert [r[0] for r in u.select(url_rules.tokens(F.col("u"))).collect()] == [["f:", "h:a", "h:b", "p:#x", "p:C", "q:k", "q:z", "s:https"], [], []]
