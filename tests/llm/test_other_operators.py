@@ -110,6 +110,14 @@ def test_quality_of_edge_cases(spark, documents, empty):
     assert np.isclose(np.expm1(long[1][0]), quality._PIECE + 5)
 
 
+def test_a_repeated_id_crowds_no_label_out(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    for hot in range(10):
+        rows = [(i, f"text of document {i}") for i in range(10)] + [(hot, "text of the hot one")] * 30 + [(hot, f"another {j}") for j in range(30)]
+        m = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=10)
+        assert len(m.labels) == 20 and (m.labels == 1 - hot % 2).sum() == 5
+
+
 def test_scores_do_not_hang_on_blocks(documents):
     labels = documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"))
     m = quality.fit(documents, labels)
