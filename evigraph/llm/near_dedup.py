@@ -315,6 +315,14 @@ def _across(rows: DataFrame, of: DataFrame, sets: DataFrame, most: int, percent:
     return left.unionByName(right).groupBy("family", "block", "other").applyInArrow(_exact(percent), "a long, b long")
 
 
+def _shared_ids(some: DataFrame) -> DataFrame:
+    """Links (a, b) between an id that has several sets and the least id of each of them."""
+    twice = some.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("least"), F.max(F.struct("k1", "k2")).alias("most")).where(F.col("least") != F.col("most")).select("doc_id")
+    own = some.select("doc_id", "k1", "k2").join(twice, "doc_id", "left_semi").distinct()
+    rep = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("b"))
+    return own.join(rep, ["k1", "k2"]).where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -339,7 +347,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     involved = rows.select("rep").unionByName(near.where(F.col("to").isNotNull()).select(F.col("to").alias("rep"))).unionByName(near.where(F.col("to").isNotNull()).select("rep")).distinct()
     sets = written(d.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets(width), "rep long, hashes array<long>"), "sets")
     of = components(verified(first, sets, percent))
-    more = _across(rows, of, sets, most, percent)
+    more = _across(rows, of, sets, most, percent).unionByName(_shared_ids(some))
     lead = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
     over = more.join(lead("a"), "a", "left").join(lead("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
     over = written(components(over), "components")

@@ -59,6 +59,13 @@ def test_near_duplicates_of_rows_without_id_and_repeated_rows(spark, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_an_id_links_all_its_texts(spark):
+    d = spark.createDataFrame([(3, "a b c"), (5, "a b c"), (5, "x y z"), (9, "x y z"), (7, "p q r"), (8, "p q r"), (8, "s t u"), (9, "s t u"), (6, "v w")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(d, 2).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (7, 3, False), (8, 3, False), (6, 6, True)}
+    assert sorted(r["doc_id"] for r in near_dedup.without_near_duplicates(d, 2).collect()) == [3, 6]
+
+
 def test_one_dense_group_of_varied_copies(spark):
     rng = np.random.default_rng(8)
     base, texts = [f"w{i}" for i in range(80)], []
