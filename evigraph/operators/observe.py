@@ -23,7 +23,7 @@ _GRAM, _WINDOW = 8, 1_024
 
 
 def containing(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", most: int = NEEDLES) -> DataFrame:
-    """Pairs of rows where the needle stands literally in the text. Empty needles stand in none.
+    """Pairs of rows where the needle stands literally in the text. Empty needles stand in none. Repeated rows give repeated pairs.
 
     Few needles (their number and length are counted first) are broadcast: a text is then scanned once for each, which is
     cheaper than cutting it up. Beyond that both sides meet in an equality join: texts are cut into all their runs of _GRAM
@@ -37,7 +37,7 @@ def containing(texts: DataFrame, needles: DataFrame, text: str = "text", needle:
     lengths = sorted(r["gram_len"] for r in n.select("gram_len").distinct().collect())  # _GRAM values at most
     # windows first: the place of a code point is found by counting from a string's start
     windows = F.transform(F.sequence(F.lit(0), F.char_length(text), F.lit(_WINDOW)), lambda i: F.substring(F.col(text), i + 1, F.lit(_WINDOW + _GRAM - 1)))
-    cut = texts.where(F.char_length(text) > 0).withColumn("gram_window", F.explode(windows))
+    cut = texts.where(F.char_length(text) > 0).select("*", F.posexplode(windows).alias("gram_at", "gram_window"))
 
     def runs(k: int):
         places = F.sequence(F.lit(1), F.greatest(F.char_length("gram_window") - k + 1, F.lit(1)))
@@ -45,8 +45,10 @@ def containing(texts: DataFrame, needles: DataFrame, text: str = "text", needle:
 
     grams = [runs(k) for k in lengths]
     cut = cut.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*grams))))).drop("gram_window")
-    hit = cut.join(n.drop("gram_len"), "gram").drop("gram").where(F.contains(F.col(text), F.col(needle)))
-    return hit.distinct()
+    # a row of texts and one of needles meet once in each window that has the gram; the window where the needle first begins counts
+    begins = F.instr(F.col(text), F.col(needle))
+    hit = cut.join(n.drop("gram_len"), "gram").where((begins > 0) & (F.floor((begins - 1) / _WINDOW) == F.col("gram_at")))
+    return hit.drop("gram", "gram_at")
 
 
 def match_items(observations: DataFrame, items: DataFrame, profile: Profile) -> DataFrame:

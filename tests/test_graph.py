@@ -171,6 +171,15 @@ def test_containing_takes_both_ways(spark):
     assert few == many == {(1, "needle is here"), (1, "eedle"), (2, "no"), (4, "ab")}
 
 
+def test_containing_repeats_repeated_rows_both_ways(spark):
+    long = "x" * 1020 + "needle" + "y" * 1020 + "needle" + "no" * 600
+    texts = spark.createDataFrame([(1, long), (1, long), (2, "no needle"), (2, "no needle")], "id int, text string")
+    needles = spark.createDataFrame([("needle",), ("needle",), ("no",), ("needle is here",)], "needle string")
+    few = sorted(map(tuple, observe.containing(texts, needles).select("id", "needle").collect()))
+    many = sorted(map(tuple, observe.containing(texts, needles, most=0).select("id", "needle").collect()))
+    assert few == many == sorted([(1, "needle"), (2, "needle")] * 4 + [(1, "no"), (2, "no")] * 2)
+
+
 def test_stream_static_match(spark, graph, tmp_path):
     from evigraph.streaming.observations import match_stream
 
