@@ -83,6 +83,15 @@ def test_recall_with_probes_alone(spark):
     assert len(got) == 150 and hits / 3_000 >= 0.85  # more rows have nearer neighbours: 0.9 and over from 10,000 on
 
 
+def test_recall_of_wide_vectors_with_probes_alone(spark):
+    x = np.random.default_rng(4).standard_normal((3_000, 200))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collected(ann.neighbours(d, floor=0))
+    hits = sum(len({j for j, _ in v} & set(np.argsort(-(x @ x[i]))[1:21].tolist())) for i, v in got.items())
+    assert len(got) == 150 and hits / 3_000 >= 0.9
+
+
 def test_pseudo_rotation_keeps_lengths_and_angles():
     v = np.random.default_rng(0).standard_normal((5, 50))
     r = ann.rotate(v, ann.rotations(50, 1)[0])
