@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one only where none is named."""
+    """The folder that driver and executors share, as the cluster names it. Where none is named, a temporary folder will do in
+    local mode, as in tests; on a cluster it would be another disk on each machine, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="evigraph-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,7 +42,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() whose readers have been written themselves."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches whose rows of one group follow each other, with the groups' first rows and the end.
+
+    keys are columns of integers without nulls. Only a group that goes on in the next batch is held back.
+    """
+    held: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        now = held if batch is None else pa.Table.from_batches([batch])
+        if batch is not None and held is not None:
+            now = pa.concat_tables([held, now])
+        if now is None:
+            return
+        at = [now.column(k).to_numpy() for k in keys]
+        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in at])) + 1
+        if batch is None:
+            yield now, np.concatenate([[0], edges, [now.num_rows]])
+        elif len(edges):
+            yield now.slice(0, int(edges[-1])), np.concatenate([[0], edges])
+            held = now.slice(int(edges[-1]))
+        else:
+            held = now
 
 
 def ascii_lower(c: Column) -> Column:

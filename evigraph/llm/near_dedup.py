@@ -1,18 +1,20 @@
 """MinHash near-dedup with an LSH forest.
 
 Documents of one shingle set are one set. Every set has a signature of HASHES values and stands in TREES sorted orders: the
-order of tree t sorts by the signature's values from the t-th group on, as a path of up to eight levels. Rows that share a
-path's first DEPTH levels form a region.
+order of tree t sorts by the signature's values from the t-th group on, as a path of up to LEVELS levels.
 
-* Depth adapts to the region. Sparse: a row also meets its nearest neighbours in the order whose common prefix is shorter.
-  Dense: the first trees link each row to the most alike of its nearest neighbours, those of the longest common prefix.
-* What the first links, verified on full sets, have joined counts as one component from then on. In each region of every tree
-  all pairs from different components are then candidates, whatever the region's size; pairs within a component need no look.
-* One-bit sketches drop candidates far below the threshold; components that candidates connect form a family, within which
-  full sets are compared in blocks.
+1. Neighbours. In the first orders each set is compared with those of the longest common prefix. How deep that is adapts to the
+   place: a run of sets that share SHALLOW levels is cut, wherever it holds more than NEAR sets, at the shortest prefix that two
+   neighbours share there, again and again. So a sparse place is compared at two levels, a dense one at as many as it takes. The
+   last set of a piece stands in the next one too. Sets are compared in full, within their piece.
+2. The rest. What has been joined counts as one component. Sets that share a path's first DEPTH levels form a region of a tree;
+   in each region of every tree that holds several components, all pairs of sets from different ones are candidates, those
+   within a component need no look. One-bit sketches drop what is far below the threshold, and full sets decide.
 
 A pair of the threshold's similarity s shares DEPTH levels of a tree with probability s ** DEPTH, so at 0.8 and 24 trees about
-3 pairs of a million that nothing else links are missed.
+3 pairs of a million that nothing else links are missed. A set is sent once for each region in which it has such a partner,
+which are TREES at most; regions of more than BLOCK_HASHES hashes are worked off in blocks, and only links that join components
+come out of a block. No step takes all pairs of a group of alike sets, and no step holds a whole group.
 """
 
 from __future__ import annotations
@@ -24,18 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare, written
-from .graph import components
+from .common import discard, runs, spare, written
+from .graph import Union, stars
 from .shingles import WordHashes, _mix, bits, multipliers, set_key, shingles, signature
 
-HASHES, TREES, DEPTH, LEVELS = 128, 24, 4, 8
-#: Trees whose nearest neighbours are linked first, and how many neighbours are looked at.
-FIRST_TREES, WINDOW, SHALLOW_WINDOW = 3, 8, 4
-#: Rows of a region that are compared pair by pair when rows without any partner are left out.
-_PAIRWISE = 512
-_CARRY = 100_000
-#: Levels that a shallow neighbour shares at least.
-_SHALLOW = 2
+HASHES, TREES, DEPTH, LEVELS, SHALLOW = 128, 24, 4, 8, 2
+#: Orders whose nearest neighbours are compared first, and sets that are compared there at once.
+FIRST_TREES, NEAR = 3, 64
+#: Hashes of a block's sets that are compared with those of another one.
+BLOCK_HASHES = 1 << 19
+#: Rows of a region that are looked at pair by pair to leave out those without any partner; rows that are held for that.
+_PAIRWISE, _CARRY = 512, 100_000
 
 
 @lru_cache(maxsize=1)
@@ -84,15 +85,19 @@ def paths(sig: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple((v[:, i : i + 4] << shift).sum(1, dtype=np.uint64).view(np.int64) for i in (0, 4))
 
 
+_FOREST = "tree int, p1 long, p2 long, rep long, n int, s1 long, s2 long"
+
+
 def _forest(batches):
+    names = [x.split()[0] for x in _FOREST.split(", ")]
     for b in batches:
         for i in range(0, b.num_rows, 2_000):
             part = b.slice(i, 2_000)
             sig = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in part.column("sig")])
-            s = bits(sig).view(np.int64)
+            s, n = bits(sig).view(np.int64), part.column("n").cast(pa.int32())
             for t in range(TREES):
                 p1, p2 = paths(sig, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(p1), pa.array(p2), part.column("rep"), *[pa.array(np.ascontiguousarray(s[:, j])) for j in range(2)]], ["tree", "p1", "p2", "rep", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(p1), pa.array(p2), part.column("rep"), n, *[pa.array(np.ascontiguousarray(s[:, j])) for j in range(2)]], names)
 
 
 def _apart(s: np.ndarray, a, b) -> np.ndarray:
@@ -100,16 +105,39 @@ def _apart(s: np.ndarray, a, b) -> np.ndarray:
     return np.bitwise_count(s[a] ^ s[b]).sum(-1)
 
 
-def _neighbours(most: int):
-    """From rows in forest order those that have a partner in their region, and links to nearest neighbours.
+def common_levels(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """Levels that each row's path shares with the row before; 0 for the first row."""
+    out = np.zeros(len(p1), np.int64)
+    for i in range(LEVELS):
+        p, shift = (p1, p2)[i // 4].view(np.uint64), np.uint64(48 - 16 * (i % 4))
+        out[1:] += (p[1:] >> shift == p[:-1] >> shift) & (out[1:] == i)
+    return out
+
+
+def pieces(lcp: np.ndarray, most: int = NEAR) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a run of rows; lcp holds the levels that each row shares with the one before.
+
+    A run of more than `most` rows is cut in its second half where the fewest levels are shared. Each piece but the first
+    begins with the last row of the piece before, its nearest neighbour beyond the cut.
+    """
+    out, at, n = [], 0, len(lcp)
+    while n - at > most:
+        cut = at + most // 2 + int(np.argmin(lcp[at + most // 2 : at + most]))
+        out.append((at, cut))
+        at = cut - 1
+    return [*out, (at, n)]
+
+
+def _partners(most: int):
+    """From rows in forest order those that have a partner in their region (piece 0), and the pieces that nearest neighbours are
+    compared in, numbered by a hash of their first row.
 
-    A region at the edge of a task's rows, or one larger than is compared pair by pair, keeps all its rows.
+    A region at the edge of a task's rows, or one larger than is looked at pair by pair, keeps all its rows.
     """
 
-    def look(tree, p1, rep, s, first: bool, last: bool):
+    def look(tree, p1, p2, rep, s, first: bool, last: bool):
         n = len(rep)
         alive = np.zeros(n, bool)
-        links: list[tuple[np.ndarray, np.ndarray]] = []
         new = np.concatenate([[True], (tree[1:] != tree[:-1]) | (p1[1:] != p1[:-1])])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, n))
@@ -119,46 +147,36 @@ def _neighbours(most: int):
         if last:
             alive[start[-1] :] = True
         alive |= (size > _PAIRWISE)[region]
-        widest = int(size[size <= _PAIRWISE].max(initial=1))
         rest = np.flatnonzero((size > 1)[region] & (size <= _PAIRWISE)[region])
-        best, best_at = np.full(n, most + 1), np.zeros(n, np.int64)
-        for o in range(1, max(widest, WINDOW + 1, SHALLOW_WINDOW + 1)):
-            b = rest if o > WINDOW else np.arange(n)
-            b = b[b >= o]
-            a = b - o
-            same = region[a] == region[b]
-            if o > WINDOW:
-                a, b = a[same], b[same]
-                rest = b  # what has no region-mate so far back has none farther back
-                d = _apart(s, a, b)
-                fit = d <= most
-            else:
-                near = (tree[a] == tree[b]) & ((p1[a] >> np.int64(64 - 16 * _SHALLOW)) == (p1[b] >> np.int64(64 - 16 * _SHALLOW))) if o <= SHALLOW_WINDOW else same
-                a, b, same = a[near | same], b[near | same], same[near | same]
-                d = _apart(s, a, b)
-                fit = d <= most
-                shallow = fit & ~same
-                links.append((rep[b[shallow]], rep[a[shallow]]))
-                better = fit & same & (tree[b] < FIRST_TREES) & (d < best[b])
-                best[b[better]], best_at[b[better]] = d[better], a[better]
-                fit &= same
-            alive[a[fit]] = True
+        for o in range(1, int(size[size <= _PAIRWISE].max(initial=1))):
+            b = rest[rest >= o]
+            b = rest = b[region[b - o] == region[b]]  # what has no region-mate so far back has none farther back
+            fit = _apart(s, b - o, b) <= most
+            alive[b[fit] - o] = True
             alive[b[fit]] = True
-        linked = np.flatnonzero(best <= most)
-        links.append((rep[linked], rep[best_at[linked]]))
-        return alive, np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links])
-
-    names = ["tree", "p1", "rep", "s1", "s2", "to"]
+        # neighbours of a shorter prefix count too, where their sketches are near
+        lcp = np.where(np.concatenate([[False], tree[1:] == tree[:-1]]), common_levels(p1, p2), 0)
+        near = np.concatenate([[False], _apart(s, np.arange(n - 1), np.arange(1, n)) <= most])
+        some = (tree < FIRST_TREES) & (alive | ((lcp >= SHALLOW) & near) | np.append(((lcp >= SHALLOW) & near)[1:], False))
+        found, at = [], np.flatnonzero(some)
+        if len(at):
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (lcp[at[1:]] < SHALLOW)]))
+            for a, z in zip(begins, np.append(begins[1:], len(at))):
+                if z - a > 1:
+                    found += [at[a + i : a + j] for i, j in pieces(np.append(99, lcp[at[a + 1 : z]]))]
+        return np.flatnonzero(alive), found
+
+    names = ["piece", "tree", "p1", "rep", "n", "s1", "s2"]
 
     def run(batches):
-        for (tree, p1, rep, s), first, last in _regions(batches, ("tree", "p1", "rep")):
-            alive, a, b = look(tree, p1, rep, s, first, last)
-            at = np.flatnonzero(alive)
+        for (tree, p1, p2, rep, n, s), first, last in _regions(batches, ("tree", "p1", "p2", "rep", "n")):
+            alive, found = look(tree, p1, p2, rep, s, first, last)
+            head = np.array([x[0] for x in found], np.int64)
+            keys = _mix(_mix(rep[head].view(np.uint64)) ^ _mix(p1[head].view(np.uint64)) + tree[head].astype(np.uint64)).view(np.int64) | 1
+            at = np.concatenate([alive, *found]).astype(np.int64)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(tree[at]), pa.array(p1[at]), pa.array(rep[at]), pa.array(s[at, 0].view(np.int64)), pa.array(s[at, 1].view(np.int64)), pa.nulls(len(at), pa.int64())], names)
-            if len(a):
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), -1, np.int32)), none, pa.array(a), none, none, pa.array(b)], names)
+                piece = np.concatenate([np.zeros(len(alive), np.int64), np.repeat(keys, [len(x) for x in found])])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (piece, tree[at], p1[at], rep[at], n[at], s[at, 0].view(np.int64), s[at, 1].view(np.int64))], names)
 
     return run
 
@@ -187,132 +205,112 @@ def _regions(batches, names: tuple[str, ...]):
         yield held, first, True
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return x.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
-
+def _sketch_columns(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64)
 
-def _ordered(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+_BLOCK = ("tree", "p1", "block", "other")
 
-class _Union:
-    """Union-find over whatever it is asked about."""
 
-    def __init__(self):
-        self.up: dict = {}
+def _near_rows(most: int, percent: int):
+    """The rows of each block that have a partner of another component on the other side, by sketch and size."""
 
-    def top(self, x):
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, a, b) -> bool:
-        """Whether they were apart."""
-        a, b = self.top(a), self.top(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+    def run(batches):
+        for t, edges in runs(batches, *_BLOCK):
+            side, comp, n, s = t.column("side").to_numpy(), t.column("component").to_numpy(), t.column("n").to_numpy(), _sketch_columns(t)
+            keep = np.zeros(t.num_rows, bool)
+            for a, z in zip(edges, edges[1:]):
+                left, right = a + np.flatnonzero(side[a:z] == 0), a + np.flatnonzero(side[a:z] == 1)
+                for i in range(0, len(right), 256):
+                    r = right[i : i + 256]
+                    for j in range(0, len(left), 4_096):
+                        c = left[j : j + 4_096]
+                        fit = (comp[r][:, None] != comp[c][None]) & _alike(n[r][:, None], n[c][None], percent)
+                        fit &= np.bitwise_count(s[r][:, None] ^ s[c][None]).sum(2) <= most
+                        keep[r[fit.any(1)]] = True
+                        keep[c[fit.any(0)]] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).to_batches()
 
+    return run
 
-def _families(most: int):
-    """Links (a, b) between components that have near sketches in a region, as many as join them and no more.
 
-    A region at the edge of a task's rows, or one larger than _PAIRS_OF rows, links all its components to its largest: that
-    puts more into a family than has to be compared, never less.
-    """
+def _alike(n, m, percent: int):
+    """Whether sets of such sizes can reach the threshold at all."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _full_sets(keys: tuple[str, ...], most: int, percent: int):
+    """Links (a, b) that the full sets of a group confirm: each joins two components that were apart, and all that can be joined
+    are. A row of side 1 meets those of side 0; where all rows are of side 1, each meets the rows before it."""
+
+    def links(rep, comp, side, n, s, flat, offsets):
+        union = Union()
+        left = np.flatnonzero(side == 0)
+        top = comp.copy()
+        for i in np.flatnonzero(side == 1):
+            own = flat[offsets[i] : offsets[i + 1]]
+            c = left if len(left) else np.arange(i)
+            c = c[(top[c] != top[i]) & _alike(n[c], n[i], percent)]
+            far = np.bitwise_count(s[c] ^ s[i]).sum(1)
+            c, far = c[far <= most], far[far <= most]
+            c = c[np.argsort(far, kind="stable")]
+            step = 1  # the nearest first: where it is linked, most others need no look
+            while len(c):
+                some, c = c[:step], c[step:]
+                values = np.concatenate([flat[offsets[j] : offsets[j + 1]] for j in some])
+                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[some])[:-1]]))
+                for j in some[100 * both >= percent * (n[i] + n[some] - both)]:
+                    if union.join(int(comp[i]), int(comp[j])):
+                        yield rep[i], rep[j]
+                        was = {int(top[i]), int(top[j])}
+                        now = min(was)
+                        top[np.isin(top, list(was))] = now
+                c = c[top[c] != top[i]]
+                step = min(4 * step, 256)
 
     def run(batches):
-        for (tree, p1, component, main, s), first, last in _regions(batches, ("tree", "p1", "component", "main")):
-            start = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (p1[1:] != p1[:-1])]))
-            ends = np.append(start[1:], len(tree))
-            union, out = _Union(), []
-            for k, (i, z) in enumerate(zip(start, ends)):
-                if z - i > _PAIRS_OF or (first and k == 0) or (last and k == len(start) - 1):
-                    out += [(c, m) for c, m in zip(component[i:z].tolist(), main[i:z].tolist()) if union.join(c, m)]
-                    continue
-                for a in range(i, z, _BLOCK_ROWS):
-                    for b in range(a, z, _BLOCK_ROWS):
-                        x, y = slice(a, min(a + _BLOCK_ROWS, z)), slice(b, min(b + _BLOCK_ROWS, z))
-                        near = (np.bitwise_count(s[x, None] ^ s[None, y]).sum(2) <= most) & (component[x, None] != component[None, y])
-                        r, c = np.nonzero(near)
-                        pairs = np.unique(np.stack([component[x][r], component[y][c]], axis=1), axis=0).tolist() if len(r) else []
-                        out += [(p, q) for p, q in pairs if union.join(p, q)]
+        for t, edges in runs(batches, *keys):
+            rep, comp, side, s = t.column("rep").to_numpy(), t.column("component").to_numpy(), t.column("side").to_numpy(), _sketch_columns(t)
+            out = []
+            for a, z in zip(edges.tolist(), edges[1:].tolist()):
+                if z - a > 1:
+                    column = t.column("hashes").slice(a, z - a).combine_chunks()
+                    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+                    flat, offsets = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy().astype(np.int64)
+                    offsets = offsets - offsets[0]
+                    out += links(rep[a:z], comp[a:z], side[a:z], np.diff(offsets), s[a:z], flat, offsets)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-#: Rows of a region that are compared pair by pair for families, rows that are at once, and sets of a block for exact comparison.
-_PAIRS_OF, _BLOCK_ROWS, BLOCK_SETS = 20_000, 512, 64
-
-
-def _exact(percent: int):
-    """Links between a block of sets outside their family's largest component (side 1) and a block of the family's sets (side
-    0), as many as join their components. All intersections come from one sorted index of the block."""
-
-    def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        rep, comp = group.column("rep").to_numpy(), group.column("component").to_numpy()
-        column = group.column("hashes").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
-        flat, offsets = (flat, offsets - offsets[0])
-        n = np.diff(offsets)
-        owner = np.repeat(np.arange(len(n)), n)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        links: list = []
-        if len(left) and len(right):
-            mine = side[owner] == 0
-            values, of = flat[mine], owner[mine]
-            order = np.argsort(values, kind="stable")
-            values, of = values[order], of[order]
-            asked, by = flat[~mine], owner[~mine]
-            lo, hi = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
-            hits = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(hits.sum())
-            place = np.full(len(n), -1)
-            place[left], place[right] = np.arange(len(left)), np.arange(len(right))
-            both = np.bincount(place[np.repeat(by, hits)] * len(left) + place[of[at]], minlength=len(left) * len(right)).reshape(len(right), len(left))
-            fit = 100 * both >= percent * (n[right][:, None] + n[left][None, :] - both)
-            fit &= comp[right][:, None] != comp[left][None, :]
-            union = _Union()
-            links = [(rep[right[r]], rep[left[c]]) for r, c in zip(*np.nonzero(fit)) if union.join(comp[right[r]], comp[left[c]])]
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    return run
+def _confirmed(rows: DataFrame, sets: DataFrame, keys: tuple[str, ...], most: int, percent: int) -> DataFrame:
+    x = rows.join(sets, "rep").select(*keys, "rep", "component", "side", "s1", "s2", "hashes")
+    return x.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(_full_sets(keys, most, percent), "a long, b long")
 
 
-def _across(rows: DataFrame, of: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between rows of different components that share a region.
+def mixed_blocks(rows: DataFrame, of: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
+    """Rows of the regions that hold several components, with component, block, other and side.
 
-    Components with near sketches in some region form a family. In each family the sets outside its largest component are
-    compared with all its sets, block by block, on the full sets: a set is sent once for each block that it meets, not once
-    for each pair, and only links that join components come out.
+    Side 0 has all rows of a region, side 1 those outside its largest component. A row goes to its own block of its side, with
+    each block of the other side; a region of up to block_hashes hashes is one block.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = rows.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    n = x.groupBy("tree", "p1", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = n.groupBy("tree", "p1").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1).drop("parts")
-    x = written(x.join(mixed, ["tree", "p1"]), "mixed-regions")
-    near = x.repartitionByRange(parts, "tree", "p1", "rep").sortWithinPartitions("tree", "p1", "rep").mapInArrow(_families(most), "a long, b long")
-    family = components(near).select(F.col("node").alias("component"), F.col("component").alias("family"))
-    members = written(x.select("rep", "component").distinct().join(family, "component"), "families")
-    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
-    blocks = lambda c: F.ceil(c / F.lit(BLOCK_SETS)).cast("int")
-    m = members.join(sizes, "family").withColumns({"blocks": blocks(F.col("n")), "others": blocks(F.col("n") - F.col("n_main"))})
-    m = m.join(sets, "rep")
+    x = written(rows.join(of, rows["rep"] == of["node"], "left").select("tree", "p1", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("component")), "alive")
+    n = x.groupBy("tree", "p1", "component").agg(F.sum("n").alias("h"))
+    n = n.groupBy("tree", "p1").agg(F.max_by("component", F.struct("h", "component")).alias("main"), F.sum("h").alias("h"), F.max("h").alias("h_main"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
+    blocks = lambda c: F.ceil(c / F.lit(block_hashes)).cast("int")
+    # as a table of its own both sides of the join are plain exchanges, which Spark can split where one region is very large
+    regions = written(n.select("tree", "p1", "main", blocks(F.col("h")).alias("blocks"), blocks(F.col("h") - F.col("h_main")).alias("others")), "regions")
+    x = x.join(regions, ["tree", "p1"])
     own = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
-    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    cols = ["rep", "component", "hashes"]
-    left = m.select("family", own("blocks").alias("block"), each("others").alias("other"), F.lit(0).alias("side"), *cols)
-    right = m.where(F.col("component") != F.col("main")).select("family", each("blocks").alias("block"), own("others").alias("other"), F.lit(1).alias("side"), *cols)
-    return left.unionByName(right).groupBy("family", "block", "other").applyInArrow(_exact(percent), "a long, b long")
+    each = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    at = lambda side, block, other: F.struct(F.lit(side).alias("side"), block.alias("block"), other.alias("other"))
+    left = F.transform(each("others"), lambda o: at(0, own("blocks"), o))
+    right = F.when(F.col("component") != F.col("main"), F.transform(each("blocks"), lambda b: at(1, b, own("others")))).otherwise(F.array().cast("array<struct<side:int,block:int,other:int>>"))
+    return x.select("tree", "p1", "rep", "n", "s1", "s2", "component", F.explode(F.concat(left, right)).alias("at")).select("*", "at.*").drop("at")
 
 
 def _shared_ids(some: DataFrame) -> DataFrame:
@@ -332,28 +330,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     component_id is null and it is kept. Rows of one id are one document, which has the links of each of its texts. Other
     columns are not looked at. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     most = most_bits(percent)
     sketches = written(d.mapInArrow(_sketch(width), "doc_id long, n long, k1 long, k2 long, sig binary"), "sketches")
     some = sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select(F.col("r")["doc_id"].alias("rep"), F.col("r")["sig"].alias("sig"))
-    forest = reps.mapInArrow(_forest, "tree int, p1 long, p2 long, rep long, s1 long, s2 long")
+    reps = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select(F.col("r")["doc_id"].alias("rep"), F.col("r")["n"].alias("n"), F.col("r")["sig"].alias("sig"))
     order = ["tree", "p1", "p2", "rep"]
-    forest = forest.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    near = written(forest.mapInArrow(_neighbours(most), "tree int, p1 long, rep long, s1 long, s2 long, to long"), "forest")
-    rows = near.where(F.col("to").isNull()).drop("to")
-    first = near.where(F.col("to").isNotNull() & (F.col("to") != F.col("rep"))).select(*_ordered("rep", "to")).distinct()
-    involved = rows.select("rep").unionByName(near.where(F.col("to").isNotNull()).select(F.col("to").alias("rep"))).unionByName(near.where(F.col("to").isNotNull()).select("rep")).distinct()
-    sets = written(d.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets(width), "rep long, hashes array<long>"), "sets")
-    of = components(verified(first, sets, percent))
-    more = _across(rows, of, sets, most, percent).unionByName(_shared_ids(some))
-    lead = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
-    over = more.join(lead("a"), "a", "left").join(lead("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
-    over = written(components(over), "components")
-    lone = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
-    of = of.join(lone, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(over)
-    of = of.groupBy("node").agg(F.min("component").alias("component"))
+    forest = reps.mapInArrow(_forest, _FOREST).repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    found = written(forest.mapInArrow(_partners(most), "piece long, tree int, p1 long, rep long, n int, s1 long, s2 long"), "forest")
+    involved = found.select(F.col("rep").alias("doc_id")).distinct()
+    sets = written(d.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets(width), "rep long, hashes array<long>"), "sets")
+    near = found.where(F.col("piece") != 0).withColumns({"component": F.col("rep"), "side": F.lit(1)})
+    of = stars(_confirmed(near, sets, ("piece",), most, percent))
+    blocks = mixed_blocks(found.where(F.col("piece") == 0), of)
+    blocks = blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_near_rows(most, percent), blocks.schema)
+    more = _confirmed(blocks, sets, _BLOCK, most, percent).unionByName(_shared_ids(some))
+    of = stars(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    discard(found, sets)
     # ids of a set, then of the sets that these ids are linked with
     keys = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).join(of.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.coalesce("component", "rep").alias("component_id"))
     x = sketches.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
@@ -367,9 +360,13 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
 
     Rows of one id are one document, of which the row of the least text hash stays. Rows without id all stay.
     """
-    lost = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select("doc_id").distinct()
-    x = docs.join(lost, docs[id_col] == lost["doc_id"], "left_anti")
+    lost = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("lost_id")).distinct()
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lost_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("lost_id")
+    if twice.isEmpty():  # no row but the lost ones has to go, so no text has to be put in order
+        return docs.join(lost, F.col(id_col) == F.col("lost_id"), "left_anti")
+    twice = written(twice, "repeated-ids")
+    once = docs.join(lost.unionByName(twice).distinct(), F.col(id_col) == F.col("lost_id"), "left_anti")
     rank = spare(docs, "rank")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    ranked = x.where(F.col(id_col).isNotNull()).withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
-    return ranked.unionByName(x.where(F.col(id_col).isNull()))
+    again = docs.join(twice.join(lost, "lost_id", "left_anti"), F.col(id_col) == F.col("lost_id"), "left_semi")
+    return once.unionByName(again.withColumn(rank, first).where(F.col(rank) == 1).drop(rank))
