@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on at most, dimensions of the latent space, neighbours that vote, documents in a block.
@@ -98,22 +98,21 @@ def _nearest(cos: np.ndarray, k: int) -> np.ndarray:
 def _term_rows(batches):
     for b in batches:
         found = [terms(x or "") for x in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("y"), b.column("nth"), b.column("at"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["y", "nth", "at", "ids", "weights"])
+        yield pa.RecordBatch.from_arrays([b.column("y"), b.column("at"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["y", "at", "ids", "weights"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model of `sample` labelled documents at most, chosen by a hash of their ids.
 
-    Several labels of one id count as their mean, rounded up from a half; null labels don't count. Copies of a row count once.
-    Each id of the sample gives one text; where texts of one id differ, its other texts follow, up to 2 * sample in all, so
-    they never take another id's place. Without any labelled row every score is 0.5.
+    Several labels of one id count as their mean, rounded up from a half; null labels don't count. Each id of the sample gives
+    one text; where texts of one id differ, that of the least hash. So rows that repeat never take another id's place, and
+    `sample` bounds what is fitted and what comes to the driver. Without any labelled row every score is 0.5.
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("y_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     y = y.join(docs.select(F.col(id_col).alias("y_id")).distinct(), "y_id", "left_semi").withColumn("at", F.xxhash64(F.lit(11), "y_id")).orderBy("at", "y_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("y_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(y), "y_id")  # sample rows at most are broadcast
-    nth = F.row_number().over(Window.partitionBy("at", "y_id").orderBy(F.xxhash64("text"), "text"))
-    rows = rows.distinct().withColumn("nth", nth).where(F.col("nth") <= 2 * sample)
-    got = rows.select("y", "nth", "at", "text").mapInArrow(_term_rows, "y int, nth int, at long, ids binary, weights binary").orderBy("nth", "at", "ids").limit(2 * sample).collect()
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    got = rows.groupBy("at", "y_id", "y").agg(one).select("y", "at", "text").mapInArrow(_term_rows, "y int, at long, ids binary, weights binary").orderBy("at", "ids").collect()
     found = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in got]
     return _model([r["y"] for r in got], found, dimensions, neighbours)
 
