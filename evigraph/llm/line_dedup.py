@@ -1,14 +1,16 @@
 """Line dedup with DataFrame functions only.
 
-Lines are reduced to (document, position, 128-bit key hash). The hashes are range-partitioned with a secondary sort by
-document and position, so that a line which a third of all documents hold spreads over many tasks; each run of one hash and
-document streams through a sorted aggregate that keeps its first occurrence. What comes back to the documents is no text but
-a keep bitmap per document, run-length compressed.
+Lines are reduced to (document, position, 128-bit key hash). The hashes are range-partitioned: a task gets a range of the first
+64 bits, and ranges that hold a very common line are found by counting and dealt over several tasks by document. Within a task
+rows are sorted by hash, document and position, and windows stream over that order: the first row of a document is its first
+occurrence of a line, the first occurrences of a hash are its documents. A hash that lies in one task is decided there; only
+those of dealt ranges are summed over their tasks. What comes back to the documents is no text but a keep bitmap per document,
+run-length compressed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, row_key, strip_blanks, written
@@ -30,6 +32,44 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return x.select("doc_id", "row_key", "n_lines", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
+def _dealt(hashes: DataFrame, parts: int) -> tuple[DataFrame, bool]:
+    """hashes with part, the task that a row goes to, and dealt: whether its range is dealt over several. Whether any range is.
+
+    Ranges of equal width hold about as many rows, as hashes are uniform; only a very common line makes one larger than a
+    task's share. There are half as many of these as tasks at most, so they suit a broadcast.
+    """
+    bits = max(2, (4 * parts - 1).bit_length())
+    x = hashes.withColumn("bucket", F.shiftrightunsigned("h1", 64 - bits))
+    share = F.greatest(F.ceil(F.sum("n").over(Window.partitionBy()) / parts), F.lit(1))
+    counts = x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # 8 rows a task at most
+    large = counts.withColumn("pieces", F.ceil(F.col("n") / share).cast("int")).where(F.col("pieces") > 1).select("bucket", "pieces").collect()
+    own = F.shiftright(F.col("bucket") * parts, bits)
+    if not large:
+        return x.select("*", own.cast("int").alias("part"), F.lit(False).alias("dealt")).drop("bucket"), False
+    table = hashes.sparkSession.createDataFrame([tuple(r) for r in large], "bucket long, pieces int")
+    x = x.join(F.broadcast(table), "bucket", "left")
+    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0)
+    return x.select("*", F.pmod(own + piece, F.lit(parts)).cast("int").alias("part"), F.col("pieces").isNotNull().alias("dealt")).drop("bucket", "pieces"), True
+
+
+def lost_lines(hashes: DataFrame, min_docs: int) -> DataFrame:
+    """(doc_id, row_key, n_lines, pos): the lines of common keys, in all documents but the one of the largest id."""
+    parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, any_dealt = _dealt(hashes, parts)
+    first = F.row_number().over(Window.partitionBy("part", "h1", "h2", "doc_id").orderBy("pos"))
+    x = x.repartitionById(parts, F.col("part")).withColumn("first", (first == 1).cast("int"))
+    run = Window.partitionBy("part", "h1", "h2")
+    cols = ["doc_id", "row_key", "n_lines", "pos"]
+    lost = lambda y: y.where((F.col("n_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*cols)
+    out = lost(x.where(~F.col("dealt")).withColumns({"n_docs": F.sum("first").over(run), "keeper": F.max("doc_id").over(run)}))
+    if not any_dealt:
+        return out
+    x = x.where("dealt")
+    common = x.where("first = 1").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"), F.collect_set("part").alias("at"))
+    common = written(common.where(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs", "keeper", F.explode("at").alias("part")), "common-lines")
+    return out.unionByName(lost(x.join(common, ["part", "h1", "h2"])))
+
+
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, row_key, n_lines, n_dropped, keep): keep holds runs (start, len) of the lines that stay.
 
@@ -37,14 +77,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents but the one of the largest id. A null id counts as one document, below all others. Rows of one id are one
     document when documents are counted; each row gets its own bitmap.
     """
-    hashes = written(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = hashes.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    first = runs.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
-    common = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    # as a table of its own both sides of the join are plain exchanges, which Spark can split where one line is very common
-    common = written(common, "common-lines")
-    lost = hashes.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = lost_lines(written(line_hashes(docs, id_col, text_col, min_chars), "line-hashes"), min_docs)
     at = lost.groupBy("doc_id", "row_key").agg(F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("at"))
     start = lambda i: F.when(i == 0, 0).otherwise(F.get("at", i - 1) + 1)
     end = lambda i: F.coalesce(F.get("at", i), F.col("n_lines"))

@@ -113,6 +113,25 @@ def test_line_dedup_of_any_rows(spark, rows):
     assert sorted(map(repr, map(tuple, line_dedup.dedup_lines(d, min_chars=2, min_docs=2).collect()))) == sorted(map(repr, dedup(rows, 2, 2)))
 
 
+def test_line_dedup_streams_over_one_sorted_exchange(spark):
+    """Executed plan: hashes are exchanged once, by range, and sorted by hash, document and position below the windows; a very
+    common line is dealt over several tasks and found all the same."""
+    d = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.md5(F.col("id").cast("string")), F.when(F.col("id") % 3 == 0, F.lit("a very common line")), F.md5((F.col("id") % 500).cast("string"))).alias("text"))
+    spread = line_dedup.line_hashes(d, min_chars=10)
+    assert line_dedup._dealt(spread, 8)[1] and not line_dedup._dealt(line_dedup.line_hashes(d, min_chars=20), 8)[1]
+    x = line_dedup._dealt(spread, 8)[0].where("dealt").groupBy("part").count().collect()
+    assert len(x) > 1 and max(r["count"] for r in x) < 700
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    assert sorted(map(tuple, line_dedup.dedup_lines(d, min_chars=10, min_docs=4).collect())) == sorted(dedup(rows, 10, 4))
+    y = line_dedup.lost_lines(line_dedup.line_hashes(d, min_chars=20), 4)
+    y.collect()
+    plan = y._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    nodes = [x.lstrip("+- :*()0123456789") for x in plan.split("\n")]
+    sort = next(x for x in nodes if x.startswith("Sort ["))
+    assert [x.split("#")[0].strip(" [") for x in sort[5:].split(",")[:5]] == ["part", "h1", "h2", "doc_id", "pos"]
+    assert sum(x.startswith("Exchange") for x in nodes) == 1 and "shufflepartitionidpassthrough" in plan and sum(x.startswith("Window") for x in nodes) == 2
+
+
 def test_line_dedup_keeps_other_columns_and_uses_no_python(documents, empty):
     x = line_dedup.marked(documents.withColumn("keep", F.lit(1)).withColumn("line_dedup", F.lit(2)))
     assert x.columns == [*documents.columns, "keep", "line_dedup"] and x.count() == documents.count()
