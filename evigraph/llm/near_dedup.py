@@ -315,7 +315,7 @@ def mixed_blocks(rows: DataFrame, of: DataFrame, block_hashes: int = BLOCK_HASHE
 
 def _shared_ids(some: DataFrame) -> DataFrame:
     """Links (a, b) between an id that has several sets and the least id of each of them."""
-    twice = some.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("least"), F.max(F.struct("k1", "k2")).alias("most")).where(F.col("least") != F.col("most")).select("doc_id")
+    twice = some.groupBy("doc_id").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where(F.col("least") != F.col("most")).select("doc_id")
     own = some.select("doc_id", "k1", "k2").join(twice, "doc_id", "left_semi").distinct()
     rep = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("b"))
     return own.join(rep, ["k1", "k2"]).where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), "b")
@@ -341,14 +341,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     involved = found.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(d.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets(width), "rep long, hashes array<long>"), "sets")
     near = found.where(F.col("piece") != 0).withColumns({"component": F.col("rep"), "side": F.lit(1)})
-    of = stars(_confirmed(near, sets, ("piece",), most, percent))
+    of = stars(_confirmed(near, sets, ("piece",), most, percent), contract=False)  # a set has few pieces and regions
     blocks = mixed_blocks(found.where(F.col("piece") == 0), of)
     blocks = blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_near_rows(most, percent), blocks.schema)
     more = _confirmed(blocks, sets, _BLOCK, most, percent).unionByName(_shared_ids(some))
-    of = stars(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    of = stars(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), contract=False)
     discard(found, sets)
-    # ids of a set, then of the sets that these ids are linked with
+    # a table of its own, so that Spark can split the join below at a set that very many documents have
     keys = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).join(of.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.coalesce("component", "rep").alias("component_id"))
+    keys = written(keys, "set-components")
     x = sketches.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     x = x.join(keys, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     x = x.withColumn("component_id", F.coalesce("component_id", "doc_id"))
