@@ -113,6 +113,15 @@ SELECT doc_id, CAST(max(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (lost) AS
 FROM m GROUP BY rn, doc_id
 """
 
+#: Tables of up to ann.EXACT_ROWS different vectors are searched exactly; products are summed from the first component on.
+_OP6 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 _OP9 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
@@ -132,4 +141,4 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 FROM e JOIN f ON digest = fd
 """
 
-SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op8_warc": _OP8, "op9_exact_top_k": _OP9}
+SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op6_cross_polytope": _OP6, "op8_warc": _OP8, "op9_exact_top_k": _OP9}

@@ -73,23 +73,66 @@ def test_small_tables_are_searched_exactly(vectors):
     assert ann.neighbours(vectors.where("false")).collect() == []
 
 
-def test_recall_with_probes_alone(spark):
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((3_000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = collected(ann.neighbours(d, floor=0))
+def searched(spark, x, every, **more):
+    """(recall of the 20 nearest, share of all rows that a query is compared with)."""
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    got = collected(ann.neighbours(d, every=every, **more))
+    assert len(got) == -(-len(x) // every)
     hits = sum(len({j for j, _ in v} & set(np.argsort(-(x @ x[i]))[1:21].tolist())) for i, v in got.items())
-    assert len(got) == 150 and hits / 3_000 >= 0.85  # more rows have nearer neighbours: 0.9 and over from 10,000 on
-
-
-def test_recall_of_wide_vectors_with_probes_alone(spark):
-    x = np.random.default_rng(4).standard_normal((3_000, 200))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = collected(ann.neighbours(d, floor=0))
-    hits = sum(len({j for j, _ in v} & set(np.argsort(-(x @ x[i]))[1:21].tolist())) for i, v in got.items())
-    assert len(got) == 150 and hits / 3_000 >= 0.9
+    of = ann.candidates(ann.different(d, every)[1], {x.shape[1]: ann.scheme(x.shape[1], len(x), **more)}).distinct()
+    return hits / 20 / len(got), of.count() / len(got) / len(x)
+
+
+def unit(n, width, seed):
+    x = np.random.default_rng(seed).standard_normal((n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_and_work_of_hashing_alone(spark):
+    """Random vectors, the hardest. Work falls as the rows grow."""
+    small, large = searched(spark, unit(5_000, 64, 2), 50), searched(spark, unit(24_000, 64, 3), 200)
+    assert small[0] >= 0.9 and small[1] <= 0.17
+    assert large[0] >= 0.9 and large[1] <= 0.1
+
+
+def test_recall_of_wide_and_narrow_vectors(spark):
+    wide, narrow = searched(spark, unit(3_000, 200, 4), 100, exact_rows=0), searched(spark, unit(5_000, 20, 5), 50)
+    assert wide[0] >= 0.9 and wide[1] <= 0.5
+    assert narrow[0] >= 0.9 and narrow[1] <= 0.3
+
+
+def test_copies_of_a_vector_are_one_candidate_and_one_query(spark):
+    x = unit(4_500, 16, 6)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, x[40].tolist()) for i in range(600)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    each = ann.different(d, 20)[1]
+    assert each.count() == 4_500 and each.where("asked = 1").count() == 225
+    got = collected(ann.neighbours(d))
+    assert [j for j, _ in got[40]] == list(range(10_000, 10_020)) and [j for j, _ in got[10_000]] == [40, *range(10_001, 10_020)]
+    assert len(got) == 225 + 30
+
+
+def test_an_id_with_several_vectors_counts_once(spark):
+    x = unit(300, 8, 7)
+    rows = [(7 if i % 3 else i, v.tolist()) for i, v in enumerate(x)]
+    dot = lambda a, b: float(np.cumsum(np.array(a) * np.array(b))[-1])
+    merged = {}
+    for i in {j for j, _ in rows if j % 20 == 0}:
+        best: dict = {}
+        for a in {tuple(v) for j, v in rows if j == i}:
+            for j, b in rows:
+                if j != i:
+                    best[j] = max(best.get(j, -9.0), dot(a, b))
+        merged[i] = sorted(((j, s) for j, s in best.items()), key=lambda t: (-t[1], t[0]))[:20]
+    assert collected(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == merged
+
+
+def test_codes_of_the_largest_sums_come_first():
+    a = [np.random.default_rng(i).standard_normal((6, 16)) for i in range(3)]
+    every = (a[0][:, :, None, None] + a[1][:, None, :, None] + a[2][:, None, None, :]).reshape(6, -1)
+    assert (ann.best_codes(a, 40) == np.argsort(-every, axis=1, kind="stable")[:, :40]).all()
+    r = a[0][:, :8]
+    assert (ann.nearest_axis(r) == ann.axes(r).argmax(1)).all()
 
 
 def test_pseudo_rotation_keeps_lengths_and_angles():
