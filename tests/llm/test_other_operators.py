@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -274,6 +276,11 @@ def test_warc_round_trip(spark):
     assert got == sorted(want)
     assert all(bytes(r["response"]["payload"]).decode() in {h or "" for _, _, h in PAGES} for r in x if r["response"]["warc_type"] == "response")
     assert all(r["request"]["head"].startswith("GET ") and "\n" not in (r["target_uri"] or "") for r in x)
+    ids = {r["record_id"]: r["response"] for r in x}
+    assert all((r["response"]["warc_type"] == "revisit") == (r["response"]["refers_to"] is not None) for r in x)
+    assert all(ids[r["response"]["refers_to"]]["payload_digest"] == r["response"]["payload_digest"] and ids[r["response"]["refers_to"]]["warc_type"] == "response" for r in x if r["response"]["refers_to"])
+    plan = warc.captures(warc.read(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("binaryFile") == 1 and plan.count("Exchange") == 1
     none = new_path(spark, "warc-none")
     warc.write(p.where("false"), none)
     assert warc.captures(warc.read(spark, none)).collect() == []
@@ -286,7 +293,41 @@ def warc_field(row, name):
     return next((x.split(": ", 1)[1] for x in row["metadata"]["head"].split("\r\n") if x.startswith(f"{name}:")), "")
 
 
+def test_warc_files_are_gzip_members_with_exact_separators(spark):
+    p = spark.createDataFrame([(i, f"http://a.org/{i}", "<p>" + "xyz" * i) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "warc-files")
+    warc.write(p, path, file_bytes=100_000)
+    files = [r["content"] for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(files) > 3
+    n = 0
+    for data in files:
+        data = bytes(data)
+        plain = gzip.decompress(data)
+        assert len(plain) < 101_000 and data[-1:] == b"\0" and plain.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        at, members = 0, []
+        while at < len(data) - 1:
+            d = zlib.decompressobj(31)
+            members.append(d.decompress(data[at:]))
+            at = len(data) - len(d.unused_data)
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and len(list(warc.parse(m))) == 1 for m in members)
+        assert [h for h, _ in warc.parse(plain)] == [h for h, _ in warc.parse(data)] == [h for m in members for h, _ in warc.parse(m)]
+        assert [h for h, _ in warc.parse(gzip.compress(plain))] == [h for h, _ in warc.parse(data)]  # one stream for all records
+        n += len(members) - 1
+    assert n == 900
+
+
+def test_a_very_large_page(spark):
+    p = spark.createDataFrame([(1, "http://a.org/1", "x")], "page_id long, url string, html string")
+    p = p.unionByName(spark.range(2).select((F.col("id") + 2).alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789"), 5_000_000).alias("html")))
+    path = new_path(spark, "warc-large")
+    warc.write(p, path)
+    got = {(r["response"]["payload_bytes"], r["response"]["warc_type"]) for r in warc.captures(warc.read(spark, path, payloads=False)).collect()}
+    assert got == {(1, "response"), (50_000_000, "response"), (50_000_000, "revisit")}
+
+
 def test_warc_damage_is_seen():
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.compress(b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 9)[:-30]))
     record = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 10\r\n\r\nabc"
     with pytest.raises(ValueError):
         list(warc.parse(record))
