@@ -6,7 +6,9 @@ is the bucket. A query probes the codes of the largest sums of its own rotated c
 vector most likely has. What it meets in any table is a candidate once, and is reranked by its exact inner product.
 
 Equal vectors are one candidate, with the ids that can come into a result, and one query. So copies of one vector cost no more
-than one. Candidates are met with their vectors in blocks of BLOCK rows; a query goes to the blocks that hold any of its own.
+than one. Codes of rows and of queries are sorted together, and what a query meets is gathered into lists, by blocks of BLOCK
+rows; a query goes to the blocks that hold any of its own, where the vectors are. A bucket of more than FULL rows, as very many
+near copies make, is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import clean_vector, runs, written
 
-TABLES, EXACT_ROWS, BLOCK, SEED = 48, 4_096, 4_096, 20_240_607
+TABLES, EXACT_ROWS, BLOCK, FULL, SEED = 48, 4_096, 4_096, 4_096, 20_240_607
+#: Candidates that a task gathers before it gives out lists.
+_GATHERED = 2_000_000
 #: Rows of a mean bucket beyond which a table takes a further hash.
 _BUCKET = 256
 
@@ -218,12 +222,69 @@ def different(vectors: DataFrame, every: int, id_col: str = "vec_id", vec_col: s
     return d, written(each.select("rep", "x.id", "x.v", "asked"), "ann-vectors")
 
 
+_KEYS = ("width", "tab", "code", "piece")
+
+
+def _meet(batches):
+    """Lists of candidates of each query by block, from rows sorted by bucket and side: rows (side 0) before queries (side 1)."""
+
+    def given(found):
+        q, block, rep = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((rep, block, q))
+        q, block, rep = q[order], block[order], rep[order]
+        new = np.concatenate([[True], (q[1:] != q[:-1]) | (block[1:] != block[:-1])])
+        fit = new | np.concatenate([[True], rep[1:] != rep[:-1]])  # met in several tables
+        start = np.flatnonzero(new[fit])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, fit.sum()).astype(np.int32)), pa.array(rep[fit]))
+        return pa.RecordBatch.from_arrays([pa.array(q[fit][start]), pa.array(block[fit][start]), lists], ["query", "block", "found"])
+
+    held, found, n = None, [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in (*_KEYS, "side", "rep", "block")]
+        if held is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+        *keys, side, rep, block = cols
+        new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in keys])])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        rows = np.add.reduceat(side == 0, start)
+        asked = np.flatnonzero(side == 1)
+        asked = asked[rows[group[asked]] > 0]
+        last = start[-1]  # the last bucket may go on in the next batch: its rows are held, its queries are done with
+        keep = np.append(np.zeros(last, bool), side[last:] == 0)
+        held = [c[keep] for c in cols]
+        many = np.cumsum(rows[group[asked]])
+        for part in np.split(asked, np.searchsorted(many, np.arange(_GATHERED, many[-1], _GATHERED))) if len(asked) else []:
+            size = rows[group[part]]
+            ends = np.cumsum(size)
+            at = np.repeat(start[group[part]] - (ends - size), size) + np.arange(size.sum())
+            found.append((np.repeat(rep[part], size), block[at], rep[at]))
+            n += len(at)
+            if n >= _GATHERED:
+                yield given(found)
+                found, n = [], 0
+    if n:
+        yield given(found)
+
+
 def candidates(each: DataFrame, schemes: dict) -> DataFrame:
-    """(query, rep): what the queries meet in their tables' buckets, once for each table."""
-    # as a table of its own both sides of the join are plain exchanges, which Spark can split at a very full bucket
-    index = written(each.select("rep", "v").mapInArrow(_index(schemes), _CODES + "rep long"), "ann-index")
-    probed = each.where("asked = 1").select("rep", "v").mapInArrow(_probe(schemes), _CODES + "query long")
-    return probed.join(index, ["width", "tab", "code"]).select("query", "rep")
+    """(query, block, found): the different vectors that each query meets in its tables' buckets, by blocks."""
+    blocks = max(1, -(-each.count() // BLOCK))
+    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block")
+    index = written(each.select("rep", "v").mapInArrow(_index(schemes), _CODES + "rep long").select("width", "tab", "code", F.lit(0).alias("side"), "rep", block), "ann-index")
+    probed = each.where("asked = 1").select("rep", "v").mapInArrow(_probe(schemes), _CODES + "query long").select("width", "tab", "code", F.lit(1).alias("side"), F.col("query").alias("rep"), F.lit(0).alias("block"))
+    buckets = [*_KEYS[:3]]
+    full = written(index.groupBy(*buckets).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL).withColumn("pieces", F.ceil(F.col("n") / FULL).cast("int")).drop("n"), "ann-full-buckets")
+    if full.isEmpty():
+        both = index.unionByName(probed).withColumn("piece", F.lit(0))
+    else:
+        own = F.coalesce(F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("pieces")), F.lit(0)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))
+        both = index.join(full, buckets, "left").withColumn("piece", own).unionByName(probed.join(full, buckets, "left").withColumn("piece", every)).drop("pieces")
+    found = both.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "side").mapInArrow(_meet, "query long, block int, found array<long>")
+    return found.groupBy("query", "block").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
 
 
 def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int | None = None, exact_rows: int = EXACT_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -248,8 +309,8 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = T
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     once = d.select("id", "rep").distinct().groupBy("id").count().where("count > 1").isEmpty()
     schemes = {w: scheme(w, n, exact_rows, tables, probes) for w, n in rows.items()}
+    found = candidates(each, schemes)
     block = F.pmod(F.xxhash64("rep"), F.lit(-(-sum(rows.values()) // BLOCK))).cast("int").alias("block")
-    found = candidates(each, schemes).select("query", block, "rep").groupBy("query", "block").agg(F.collect_set("rep").alias("found"))
     asked = found.join(each.select(F.col("rep").alias("query"), "id", "v"), "query").select("block", F.lit(1).alias("side"), F.col("query").alias("rep"), "id", "v", "found")
     held = each.select(block, F.lit(0).alias("side"), "rep", "id", "v", F.lit(None).cast("array<long>").alias("found"))
     x = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "side").mapInArrow(_rerank(k + 1, once), "query long, rep long, score double")
