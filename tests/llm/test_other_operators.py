@@ -58,10 +58,40 @@ def test_exact_top_k(vectors):
     assert topk.top_k(vectors.where("false")).collect() == [] and topk.top_k(vectors.where("vec_id = 7")).collect() == []
 
 
-def test_exact_top_k_in_several_blocks(vectors, monkeypatch):
+def test_exact_top_k_in_many_blocks(vectors, monkeypatch):
     want = collected(topk.top_k(vectors, every=10))
-    monkeypatch.setattr(topk, "BLOCK", 7)
-    assert collected(topk.top_k(vectors, every=10)) == want
+    monkeypatch.setattr(topk, "ROWS", 6)
+    monkeypatch.setattr(topk, "STEP", 7)
+    assert vectors.count() > 50 * 6 and collected(topk.top_k(vectors, every=10)) == want
+
+
+def test_only_sufficient_entries_are_resolved():
+    """Phase 1 gives k entries a list, phase 2 those that some list takes over the threshold: few of the rows."""
+    rng = np.random.default_rng(3)
+    rows, q = rng.integers(-300, 300, (5_000, 64)), rng.integers(-300, 300, (4, 64))
+    ids, q_ids = np.arange(5_000), np.array([1, 2, 3, 10**6])
+    c, r, total = topk._heads(10, 2)(ids, rows, q_ids, q, None)
+    assert len(c) <= 80 and (total == (rows[r] * q[c]).sum(1)).all()
+    cuts = [int(np.sort(total[c == j])[-10]) for j in range(4)]
+    seen = []
+    c, r, total = topk._sufficient(10, 2)(ids, rows, q_ids, q, cuts)
+    for j in range(4):
+        s = rows @ q[j]
+        s[ids == q_ids[j]] = -(10**9)
+        assert r[c == j].tolist() == np.lexsort((ids, -s))[:10].tolist() and (s[r[c == j]] == total[c == j]).all()
+        seen.append(sum(((rows[:, p] @ q[j, p]) * 2 >= cuts[j]).sum() for p in topk._parts(64, 2)))
+    assert max(seen) < 1_000  # of 10,000 entries
+
+
+def test_huge_components_have_defined_scores(spark):
+    rows = [(0, [1e38, 1.0]), (1, [1e38, 2.0]), (2, [-1e38, 3.0]), (3, [3e13, 0.0]), (4, [1.0, 0.5]), (100, [2e12, 1.0])]
+    got = collected(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    exact = lambda v: [int(max(-(2**62), min(2**62, np.floor(1024 * x)))) for x in v]
+    long = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for i in (0, 100):
+        q = exact(dict(rows)[i])
+        want = sorted(((-long(sum(a * b for a, b in zip(q, exact(v)))), j) for j, v in rows if j != i))
+        assert got[i] == [(j, -s) for s, j in want]
 
 
 def test_small_tables_are_searched_exactly(vectors):
