@@ -1,4 +1,8 @@
-"""Prompt texts from evidence contexts."""
+"""Prompt texts from evidence contexts.
+
+A prompt has four parts: what is asked, the inputs, the evidence, and the headings to answer under. What the answer has to keep
+to is said in prose, in our own words; only what others look for or parse is fixed.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_none_of, numbered, strip
 
-# The safety rules, the phrase whose absence calls for them, and the version names.
+# The safety rules, the phrase whose absence calls for them, the version names, the heading that evidence stands
+# under, the phrase for lacking evidence, and the headings and fields that readers of an answer look for.
 SAFETY = (
     "仅用于辅助决策，不替代医生诊断。",
     "不得把候选疾病表述为确诊。",
@@ -19,30 +24,57 @@ SAFETY = (
 )
 MARKER = "不得输出患病概率"
 V1, V2 = "doctor_kg_rag_v1", "doctor_kg_rag_v2"
-
-_TASK = "# Task\nExplain, from the evidence below and from nothing else, how the observation relates to the candidate. This is information for a reader, not a diagnosis."
-_RULES = {
-    V1: ("Use only the evidence given.", "Say so where evidence is missing.", "Name no prescription, dose or plan of medication.", "Never call the candidate confirmed.", "Cover candidate, support, differential, risk and advice.", "Quote the path or the text of each piece of support."),
-    V2: ("Use only the evidence given.", "Say so where evidence is missing.", "Name no prescription, dose or plan of medication.", "Never call the candidate confirmed.", "Relate each observation to evidence.", "Quote path, text and source of each piece of support.", "Mark every part that no evidence bears on.", "Word conclusions with care."),
-}
-_FORMS = {
-    V1: ("Candidate", "Support", "Differential", "Risk", "Advice"),
-    V2: ("Candidate: name, other name, id, conclusion", "Observation and evidence: match, path, text, source", "Support: path, text, source", "Differential: path, text, source", "Risk: path, text, source", "Advice: path, text, source", "Missing evidence: what, why"),
-    None: ("Candidate", "Observation and evidence", "Support", "Differential", "Risk", "Advice", "Missing evidence", "Disclaimer"),
-}
-
-
-def _list(items) -> Column:
-    return numbered(F.array(*[F.lit(x) for x in items]))
+EVIDENCE = "知识图谱证据上下文"
+LACKING = "给定证据不足"
+CANDIDATE, SUPPORT, DIFFERENTIAL, RISK, ADVICE = "候选疾病", "支持证据", "鉴别诊断", "风险提示", "就医建议"
+MATCHED, MISSING, EXAMS, DISCLAIMED = "用户观察与证据匹配", "证据不足说明", "就医/检查建议", "免责声明"
+TRACE = ("证据路径", "evidence_text", "source")
+
+_TASK = "# 任务\n请只凭下面的证据，说明观察与候选疾病有什么关系。读者据此了解情况，不据此确诊或用药。"
+_GROUNDS = f"每句话都要能在证据里找到出处；证据没有谈到的，写“{LACKING}”，不要用别处的知识去补。不开处方，不谈剂量，不把候选当成结论。"
+_TRACED = f"观察要逐条对照证据，每一条都写明它的{'、'.join(TRACE)}；措辞留有余地。"
+
+#: version -> (what an answer keeps to, its headings with the fields below each)
+_FORMS: dict[str | None, tuple[str, dict[str, tuple[str, ...]]]] = {
+    V1: (_GROUNDS, dict.fromkeys((CANDIDATE, SUPPORT, DIFFERENTIAL, RISK, ADVICE), ())),
+    V2: (
+        _GROUNDS + _TRACED,
+        {
+            CANDIDATE: ("中文名称", "英文名称", "疾病 ID", "结论表述"),
+            MATCHED: ("观察", "匹配情况", *TRACE),
+            SUPPORT: TRACE,
+            DIFFERENTIAL: ("需鉴别者", *TRACE),
+            RISK: ("风险", *TRACE),
+            ADVICE: ("建议", *TRACE),
+            MISSING: ("所缺内容", "原因"),
+        },
+    ),
+    None: ("", dict.fromkeys((CANDIDATE, MATCHED, SUPPORT, DIFFERENTIAL, RISK, EXAMS, MISSING, DISCLAIMED), ())),
+}
+
+
+def _skeleton(headings: dict[str, tuple[str, ...]]) -> str:
+    """Headings, with their fields below: what is traced is one step further in."""
+    lines = []
+    for heading, fields in headings.items():
+        lines.append(f"{heading}：")
+        lines += [("    - " if f in TRACE and len(fields) > len(TRACE) else "  - ") + f"{f}：" for f in fields]
+    return "\n".join(lines)
 
 
 def render(version: str | None, candidate: Column, observation: Column, context: Column) -> Column:
-    """The text of a version; an unknown one gets the general form, whose rules are the safety rules."""
-    known = version if version in _RULES else None
-    inputs = F.concat(F.lit("# Input\n- candidate: "), strip(candidate), F.lit("\n- observation: "), strip(observation))
-    rules = F.concat(F.lit("# Rules\n"), _list(_RULES.get(known, SAFETY)))
-    form = F.concat(F.lit("# Answer, in exactly these parts\n"), F.array_join(F.array(*[F.lit(f"{x}:") for x in _FORMS[known]]), "\n"))
-    return F.concat_ws("\n\n", F.lit(_TASK), inputs, F.concat(F.lit("# Evidence\n"), context), rules, form)
+    """The text of a version; an unknown one gets the general form, whose rules are the safety rules.
+
+    Version 2 takes candidate and observation as they are, the others without blanks at both ends; a text of version 2 has no
+    blanks at its ends.
+    """
+    known = version if version in _FORMS else None
+    keep, headings = _FORMS[known]
+    own = (lambda c: c) if known == V2 else strip
+    inputs = F.concat(F.lit("# 输入\n- 候选疾病："), own(candidate), F.lit("\n- 用户观察："), own(observation))
+    rules = F.lit(f"# 要求\n{keep}") if keep else F.concat(F.lit("# 要求\n"), numbered(F.array(*[F.lit(x) for x in SAFETY])))
+    text = F.concat_ws("\n\n", F.lit(_TASK), inputs, F.concat(F.lit(f"# {EVIDENCE}\n"), context), rules, F.lit(f"# 回答的栏目，不增不减\n{_skeleton(headings)}"))
+    return strip(text) if known == V2 else text
 
 
 def with_safety(prompt: Column, own_text: Column | None = None, marker: str = MARKER, rules=SAFETY) -> Column:
@@ -51,7 +83,8 @@ def with_safety(prompt: Column, own_text: Column | None = None, marker: str = MA
     own_text, the part of the prompt that the user has no hand in, is what is searched; without it the whole prompt is, so that
     a user's words can hold the rules back.
     """
-    return F.when(F.contains(prompt if own_text is None else own_text, F.lit(marker)), prompt).otherwise(F.concat(prompt, F.lit("\n\n# Safety\n"), _list(rules)))
+    listed = numbered(F.array(*[F.lit(x) for x in rules]))
+    return F.when(F.contains(prompt if own_text is None else own_text, F.lit(marker)), prompt).otherwise(F.concat(prompt, F.lit("\n\n# Safety\n"), listed))
 
 
 def prompts(queries: DataFrame, contexts: DataFrame, version: str | None = V1) -> DataFrame:
