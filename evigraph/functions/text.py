@@ -121,5 +121,13 @@ def has_none_of(text: Column, phrases: Column) -> Column:
     return ~F.exists(phrases, lambda p: F.contains(text, p))
 
 
+def url_part(c: Column) -> Column:
+    """A text as part of a URL: all but letters, digits and `- _ . ! ~ * ' ( )` percent-encoded."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
 def request_id() -> Column:
     return F.concat(F.lit("req_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))

@@ -43,12 +43,18 @@ def claim_status(claims: DataFrame, evidence: DataFrame, head: str, tail: str, g
     return x.withColumn("status", status).drop("is_exact", "is_near", "is_known")
 
 
-def claim_metrics(claims: DataFrame, *by: str) -> DataFrame:
-    """ucr: unsupported among verifiable claims; pcs: path-consistent among mapped ones; with their counts."""
+def claim_metrics(claims: DataFrame, *by: str, mapped: Column | None = None, consistent: Column | None = None) -> DataFrame:
+    """ucr: unsupported among verifiable claims; pcs: path-consistent among mapped ones; with their counts.
+
+    mapped: whether a claim could be put as a path, by default all are; consistent: whether head, relation and tail of that path
+    all agree with evidence, by default the supported ones.
+    """
+    mapped = F.lit(True) if mapped is None else mapped
+    consistent = mapped & (F.col("status") == SUPPORTED if consistent is None else consistent)
     n = lambda s: F.count_if(F.col("status") == s)
-    counts = claims.groupBy(*by).agg(n(SUPPORTED).alias("n_supported"), n(PARTIAL).alias("n_partial"), n(UNSUPPORTED).alias("n_unsupported"), n(NOT_VERIFIABLE).alias("n_not_verifiable"))
+    counts = claims.groupBy(*by).agg(n(SUPPORTED).alias("n_supported"), n(PARTIAL).alias("n_partial"), n(UNSUPPORTED).alias("n_unsupported"), n(NOT_VERIFIABLE).alias("n_not_verifiable"), F.count_if(mapped).alias("n_mapped"), F.count_if(consistent).alias("n_consistent"))
     checked = F.col("n_supported") + F.col("n_partial") + F.col("n_unsupported")
-    return counts.withColumns({"ucr": F.try_divide(F.col("n_unsupported"), checked), "pcs": F.try_divide(F.col("n_supported"), checked)})
+    return counts.withColumns({"ucr": F.try_divide(F.col("n_unsupported"), checked), "pcs": F.try_divide(F.col("n_consistent"), F.col("n_mapped"))})
 
 
 def observation_hit_rate(anchors: DataFrame, matched: Column, *by: str) -> DataFrame:
@@ -80,9 +86,33 @@ def hops(starts: DataFrame, triples: DataFrame, most: int) -> DataFrame:
 
 
 def ranked_paths(paths: DataFrame) -> DataFrame:
-    """Paths with path_rank within their start: short ones first."""
-    order = Window.partitionBy("start").orderBy("n_hops", F.array_join("triple_ids", "/"))
-    return paths.withColumn("path_rank", F.row_number().over(order).cast("long"))
+    """Paths with retrieval_score, the inverse of their length, and path_rank within their start: high scores first."""
+    x = paths.withColumn("retrieval_score", F.lit(1.0) / F.col("n_hops"))
+    order = Window.partitionBy("start").orderBy(F.desc("retrieval_score"), F.array_join("triple_ids", "/"))
+    return x.withColumn("path_rank", F.row_number().over(order).cast("long"))
+
+
+def subgraph(starts: DataFrame, triples: DataFrame, most: int) -> DataFrame:
+    """(start, triple_id, n_hops): the triples within `most` hops of each start node, each with the fewest hops that reach it.
+
+    A node is gone on from once for each start, when it is first reached, so the work is that of the subgraph's edges and not
+    of its paths.
+    """
+    step = triples.select(F.col("head_id").alias("node"), F.col("tail_id").alias("to"), "triple_id")
+    at = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
+    seen, out = at, None
+    for n in range(1, most + 1):
+        x = at.join(step, "node")
+        now = x.select("start", "triple_id", F.lit(n).cast("long").alias("n_hops"))
+        out = now if out is None else out.unionByName(now)
+        at = x.select("start", F.col("to").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        seen = seen.unionByName(at)
+    return out.groupBy("start", "triple_id").agg(F.min("n_hops").alias("n_hops"))
+
+
+def experiment_summary(runs: DataFrame, by: list[str], means: list[str], sums: list[str] = (), digits: int = 9) -> DataFrame:
+    """Of each method or run, as `by` names them: n, the mean of each metric, null metrics apart, and sums."""
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), digits).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums])
 
 
 def versions(df: DataFrame, group: str, *order: str) -> DataFrame:

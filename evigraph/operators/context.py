@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, item_block, path, section_block, source_label, source_line, source_plain
+from ..functions.text import blank_to_null, item_block, path, section_block, source_label, source_line, source_plain, strip
 from .profile import Profile
 
 
@@ -44,8 +44,8 @@ def sources_of(items: DataFrame) -> DataFrame:
 
 
 def sources_by_label(items: DataFrame) -> DataFrame:
-    """(query_id, label, ord): sources told apart by how they are shown."""
-    label = source_label(F.col("source_name"), F.col("source_id"), F.col("source_type"))
+    """(query_id, label, ord): sources told apart by how research texts show them, with the triple's own source."""
+    label = source_label(strip(F.col("source")), F.col("source_id"), F.col("source_type"))
     return items.groupBy("query_id", label.alias("label")).agg(F.min("ord").alias("ord"))
 
 
@@ -66,8 +66,9 @@ def filled(queries: DataFrame, grouped: DataFrame, profile: Profile) -> DataFram
     return every.join(grouped, ["query_id", "section"], "left")
 
 
-def _rendered(queries: DataFrame, items: DataFrame, head_lines: DataFrame, source_lines: DataFrame, profile: Profile) -> DataFrame:
-    block = item_block(path(F.col("head_name"), F.col("relation_cn"), F.col("tail_name")), F.col("evidence_text"), source_label(F.col("source_name"), F.col("source_id"), F.col("source_type")))
+def _rendered(queries: DataFrame, items: DataFrame, head_lines: DataFrame, source_lines: DataFrame, profile: Profile, head: str, tail: str, source: F.Column) -> DataFrame:
+    """head, tail: columns of the names that a path shows; source: the name in a source label."""
+    block = item_block(path(F.col(head), F.col("relation_cn"), F.col(tail)), F.col("evidence_text"), source_label(source, F.col("source_id"), F.col("source_type")))
     body = sectioned(items, profile).groupBy("query_id", "section").agg(F.array_join(in_order(block, "ord", "triple_id"), "\n").alias("lines"))
     name = lambda df, title: df.select("query_id", F.lit(title).alias("section"), "lines")
     lines = body.unionByName(name(head_lines, profile.order[0])).unionByName(name(source_lines, profile.order[-1]))
@@ -84,12 +85,13 @@ def markdown(queries: DataFrame, items: DataFrame, heads: DataFrame, profile: Pr
     head = heads.select("query_id", F.concat(F.lit("- "), c("name_cn"), F.lit(" / "), c("name_en"), F.lit("（"), c("id"), F.lit("）")).alias("lines"))
     line = source_line(c("source_name"), c("source_id"), c("source_type"))
     of = sources_of(items).groupBy("query_id").agg(F.array_join(in_order(line, "ord", "source_id"), "\n").alias("lines"))
-    return _rendered(queries, items, head, of, profile)
+    return _rendered(queries, items, head, of, profile, "head_name", "tail_name", c("source_name"))
 
 
 def research_markdown(queries: DataFrame, items: DataFrame, entities: DataFrame, profile: Profile) -> DataFrame:
     """(query_id, context) as the research builder makes it: every head found has a line, sources are told apart by label, and
-    an unknown name gives a line that says so instead of an error. queries: (query_id, query)."""
+    an unknown name gives a line that says so instead of an error. Paths and sources are the triples' own copies. queries:
+    (query_id, query)."""
     c = F.col
     alt = entities.groupBy(c("id").alias("head_id")).agg(F.max_by("name_en", "ord").alias("name_en"))
     heads = distinct_heads(items).join(alt, "head_id", "left")
@@ -97,12 +99,12 @@ def research_markdown(queries: DataFrame, items: DataFrame, entities: DataFrame,
     found = heads.groupBy("query_id").agg(F.array_join(in_order(line, "ord", "head_id"), "\n").alias("lines"))
     found = queries.join(found, "query_id", "left").select("query_id", F.coalesce("lines", F.concat(F.lit("- 未查询到匹配疾病："), c("query"))).alias("lines"))
     of = sources_by_label(items).groupBy("query_id").agg(F.array_join(in_order(F.concat(F.lit("- "), c("label")), "ord", "label"), "\n").alias("lines"))
-    return _rendered(queries, items, found, of, profile)
+    return _rendered(queries, items, found, of, profile, "head_cn", "tail_cn", strip(c("source")))
 
 
 def plain_listing(items: DataFrame) -> DataFrame:
-    """(query_id, listing): seven labelled lines an item, items apart by blank lines."""
+    """(query_id, listing): labelled lines of each item, with the triple's own copies, items apart by blank lines."""
     c = F.col
-    pairs = [("triple_id", c("triple_id")), ("证据路径", path(c("head_name"), c("relation_cn"), c("tail_name"))), ("relation_en", c("relation_en")), ("source", source_plain(c("source_name"), c("source_id"), c("source_type"))), ("evidence_text", c("evidence_text")), ("note", c("note"))]
+    pairs = [("triple_id", c("triple_id")), ("证据路径", path(c("head_cn"), c("relation_cn"), c("tail_cn"))), ("relation_en", c("relation_en")), ("source", source_plain(c("source"), c("source_id"), c("source_type"))), ("evidence_text", c("evidence_text")), ("note", c("note"))]
     block = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in pairs])
     return items.groupBy("query_id").agg(F.array_join(in_order(block, "ord", "triple_id"), "\n\n").alias("listing"))

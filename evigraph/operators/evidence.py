@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm, or_else
 from ..sources.graph import EvidenceGraph
-from .resolve import lookup_keys, resolve_all
+from .resolve import heads, lookup_keys, resolve_all, resolve_first
 
-ITEM = ("triple_id", "head_id", "head_name", "head_type", "relation_cn", "relation_en", "tail_id", "tail_name", "tail_type", "evidence_text", "source_id", "source_name", "source_type", "note", "ord")
+#: Names as shown, then at the end the triple's own copies, which research texts and listings print.
+ITEM = ("triple_id", "head_id", "head_name", "head_type", "relation_cn", "relation_en", "tail_id", "tail_name", "tail_type", "evidence_text", "source_id", "source_name", "source_type", "note", "ord", "head_cn", "tail_cn", "source")
 
 
 def last_source(graph: EvidenceGraph) -> DataFrame:
@@ -63,11 +64,19 @@ def by_relation(queries: DataFrame, graph: EvidenceGraph, head_type: str) -> Dat
 
 
 def by_feature(queries: DataFrame, graph: EvidenceGraph, feature_type: str, head_type: str) -> DataFrame:
-    """(query_id, item ...): reverse lookup, from the features that a query names to the heads that have them."""
+    """(query_id, item ...): reverse lookup, from the features that a query names to the triples that have them. Triples of a
+    head that no entity stands for are there too; see with_heads()."""
     found = resolve_all(queries, lookup_keys(graph.entities), feature_type).select("query_id", F.col("id").alias("tail_id")).distinct()
-    known = graph.entities.where(F.col("entity_type") == head_type).select(F.col("id").alias("head_id")).distinct()
-    x = graph.triples.where(F.col("head_type") == head_type).join(found, "tail_id").join(known, "head_id", "left_semi")
-    return _items(enrich(x, graph), "query_id")
+    return _items(enrich(graph.triples.where(F.col("head_type") == head_type).join(found, "tail_id"), graph), "query_id")
+
+
+def with_heads(items: DataFrame, graph: EvidenceGraph, head_type: str) -> DataFrame:
+    """Items with head_row (entity_id, name_cn, name_en, label), the first head that the item's head id names, or null."""
+    asked = items.select(F.col("head_id").alias("query_id"), F.col("head_id").alias("query")).distinct()
+    first = resolve_first(asked, lookup_keys(graph.entities), head_type).select(F.col("query_id").alias("asked_id"), F.col("id").alias("entity_id"), "ord")
+    row = F.struct("entity_id", "name_cn", "name_en", "label")
+    rows = first.join(heads(graph.entities, head_type), ["entity_id", "ord"]).select("asked_id", row.alias("head_row"))
+    return items.join(rows, F.col("head_id") == F.col("asked_id"), "left").drop("asked_id")
 
 
 def nested(items: DataFrame) -> DataFrame:

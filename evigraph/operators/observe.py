@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,40 +14,7 @@ LACKS_MATCH = "给定证据不足：用户观察未能与当前图谱证据形
 LACKS_DIFFERENTIAL = "给定证据不足：当前图谱未提供可用鉴别诊断证据。"
 LACKS_RISK = "给定证据不足：当前图谱未提供可用风险提示证据。"
 LACKS_NOTHING = "给定证据不足的内容：无。"
-
-#: Needles up to this many, and of this many characters together, are broadcast and looked for one by one.
-NEEDLES, NEEDLE_CHARS = 1_024, 4 << 20
-_GRAM, _WINDOW = 8, 1_024
-
-
-def containing(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", most: int = NEEDLES) -> DataFrame:
-    """Pairs of rows where the needle stands literally in the text. Empty needles stand in none. Repeated rows give repeated pairs.
-
-    Few needles (their number and length are counted first) are broadcast: a text is then scanned once for each, which is
-    cheaper than cutting it up. Beyond that both sides meet in an equality join: texts are cut into all their runs of _GRAM
-    code points, of which the first _GRAM of a needle must be one; shorter needles are sought under runs of their own length.
-    """
-    n = needles.where(F.char_length(needle) > 0)
-    size = n.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length(needle)), F.lit(0)).alias("chars")).first()
-    if size["n"] <= most and size["chars"] <= NEEDLE_CHARS:
-        return texts.join(F.broadcast(n), F.contains(F.col(text), F.col(needle)))
-    n = n.withColumn("gram_len", F.least(F.char_length(needle), F.lit(_GRAM))).withColumn("gram", F.substring(F.col(needle), F.lit(1), F.col("gram_len")))
-    lengths = sorted(r["gram_len"] for r in n.select("gram_len").distinct().collect())  # _GRAM values at most
-    # windows first: the place of a code point is found by counting from a string's start
-    windows = F.transform(F.sequence(F.lit(0), F.char_length(text), F.lit(_WINDOW)), lambda i: F.substring(F.col(text), i + 1, F.lit(_WINDOW + _GRAM - 1)))
-    cut = texts.where(F.char_length(text) > 0).select("*", F.posexplode(windows).alias("gram_at", "gram_window"))
-
-    def runs(k: int):
-        places = F.sequence(F.lit(1), F.greatest(F.char_length("gram_window") - k + 1, F.lit(1)))
-        return F.when(F.char_length("gram_window") >= k, F.transform(places, lambda i: F.substring(F.col("gram_window"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    grams = [runs(k) for k in lengths]
-    cut = cut.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*grams))))).drop("gram_window")
-    # a row of texts and one of needles meet once in each window that has the gram; the window where the needle first begins counts
-    begins = F.instr(F.col(text), F.col(needle))
-    hit = cut.join(n.drop("gram_len"), "gram").where((begins > 0) & (F.floor((begins - 1) / _WINDOW) == F.col("gram_at")))
-    return hit.drop("gram", "gram_at")
-
+MATCH_NOTE = "用户描述与图谱证据中的实体或证据文本存在对应关系。"
 
 def match_items(observations: DataFrame, items: DataFrame, profile: Profile) -> DataFrame:
     """Items that an observation speaks of. observations: (query_id, observation), items: (query_id, item ...).
@@ -78,9 +43,8 @@ def shown(items: DataFrame) -> DataFrame:
 def buckets(items: DataFrame, profile: Profile) -> DataFrame:
     """Items with bucket and place: supporting and advice evidence one section after the other, then differential and risk."""
     order = [("supporting_evidence", profile.supporting), ("differential_diagnosis", (profile.differential,)), ("risk_warnings", (profile.risk,)), ("medical_advice_or_exams", profile.advice)]
-    x = sectioned(items, profile)
-    parts = [x.where(F.col("section") == s).withColumns({"bucket": F.lit(b), "part": F.lit(i)}) for b, of in order for i, s in enumerate(of)]
-    out = reduce(DataFrame.unionByName, parts)
+    table = items.sparkSession.createDataFrame([(s, b, i) for b, of in order for i, s in enumerate(of)], "section string, bucket string, part int")
+    out = sectioned(items, profile).join(F.broadcast(table), "section")  # a row a section and bucket: a section may stand in several
     return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "bucket").orderBy("part", "ord", "triple_id")).cast("long")).drop("part")
 
 
@@ -91,8 +55,9 @@ def top_of_buckets(bucketed: DataFrame, most: dict[str, int]) -> DataFrame:
 
 
 def insufficient(queries: DataFrame, matches: DataFrame, items: DataFrame, profile: Profile) -> DataFrame:
-    """(query_id, no_match, no_differential, no_risk, messages): what evidence is lacking, or one message that none is."""
-    m = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
+    """(query_id, no_match, no_differential, no_risk, messages): what evidence is lacking, or one message that none is. Only items
+    of a section count, matches too."""
+    m = sectioned(matches, profile).groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
     s = sectioned(items, profile).groupBy("query_id").agg(F.count_if(F.col("section") == profile.differential).alias("d"), F.count_if(F.col("section") == profile.risk).alias("r"))
     x = queries.select("query_id").join(m, "query_id", "left").join(s, "query_id", "left")
     flags = {"no_match": F.coalesce("m", F.lit(0)) == 0, "no_differential": F.coalesce("d", F.lit(0)) == 0, "no_risk": F.coalesce("r", F.lit(0)) == 0}
@@ -106,8 +71,8 @@ def care_level(rows: DataFrame, *columns: str, **levels) -> DataFrame:
     return rows.withColumn("care_level", advice_level(F.to_json(F.struct(*columns)), **levels))
 
 
-def candidates_or_all(matched: DataFrame, heads: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, entity_id): the heads that a query matched, or all heads for a query that matched none."""
-    none = queries.select("query_id").join(matched, "query_id", "left_anti")
-    all_ids = heads.agg(F.collect_list("entity_id").alias("ids"))  # heads of a graph: a candidate list that a person picks from
-    return matched.select("query_id", "entity_id").unionByName(none.join(all_ids, F.lit(True)).select("query_id", F.explode("ids").alias("entity_id")))
+def candidates_or_all(matched: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, entity_id, all_heads): the heads that a query matched; for a query that matched none one row without an entity
+    that says so, as its candidates are all heads. Whoever shows these reads the list of heads page by page."""
+    none = queries.select("query_id").join(matched, "query_id", "left_anti").select("query_id", F.lit(None).cast("string").alias("entity_id"), F.lit(True).alias("all_heads"))
+    return matched.select("query_id", "entity_id", F.lit(False).alias("all_heads")).unionByName(none)

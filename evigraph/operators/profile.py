@@ -40,6 +40,3 @@ class Profile:
         """(relation_en, section, section_ord): a fixed table of a few rows."""
         at = {title: i for i, title in enumerate(self.order)}
         return spark.createDataFrame([(r, t, at[t]) for r, t in self.sections], "relation_en string, section string, section_ord int")
-
-    def order_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(t, i) for i, t in enumerate(self.order)], "section string, section_ord int")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, split_list
+from ..functions.text import first_item, norm, split_list
+from .contain import containing
 
 OK, NO_ENTITY, NO_HEAD, NO_EVIDENCE = "OK", "KG_ENTITY_NOT_FOUND", "KG_DISEASE_NOT_FOUND", "KG_EVIDENCE_NOT_FOUND"
 
@@ -61,6 +62,12 @@ def feature_outcome(queries: DataFrame, keys: DataFrame, triples: DataFrame, fea
 
 def heads(entities: DataFrame, head_type: str) -> DataFrame:
     """(entity_id, name_cn, name_en, label, ord): all heads; the label is the first alias."""
-    from ..functions.text import first_item
-
     return entities.where(F.col("entity_type") == head_type).select(F.col("id").alias("entity_id"), "name_cn", "name_en", first_item(F.col("alias")).alias("label"), "ord")
+
+
+def search(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, id, entity_type, ord): entities with a name, an alias or an id that holds the query's words, literally and in
+    any case. A blank query finds nothing."""
+    keys = lookup_keys(entities)
+    q = queries.select("query_id", norm(F.col("query")).alias("needle")).where(F.col("needle") != "")
+    return containing(keys, q, "key", "needle").select("query_id", "id", "entity_type", "ord").distinct()

@@ -2,9 +2,73 @@
 
 from __future__ import annotations
 
-from ..functions import text as tx
-from ..operators import observe, prompts
-from ..sources.projection import PROFILE
+# Texts that rows have to show, and the order of sections.
+_NOT_STATED, _NO_SOURCE, _NO_LINE = "未标注", "未标注来源", "- 暂无相关证据。"
+_LACKS = ("给定证据不足：用户观察未能与当前图谱证据形成明确匹配。", "给定证据不足：当前图谱未提供可用鉴别诊断证据。", "给定证据不足：当前图谱未提供可用风险提示证据。")
+_SECTIONS = ("Candidate", "Type", "Brand", "Suppliers", "Recalls", "Sources")
+_SAFETY = """1. 仅用于辅助决策，不替代医生诊断。
+2. 不得把候选疾病表述为确诊。
+3. 不得输出处方、药物剂量或具体用药方案。
+4. 不得虚构知识图谱之外的证据。
+5. 证据不足时必须明确写“给定证据不足”。
+6. 不得输出患病概率。
+7. V1.0 不实现图片分类。"""
+_ASKED = """# 任务
+请只凭下面的证据，说明观察与候选疾病有什么关系。读者据此了解情况，不据此确诊或用药。
+
+# 输入
+- 候选疾病：{candidate}
+- 用户观察：{observation}
+
+# 知识图谱证据上下文
+{context}
+
+# 要求
+"""
+_KEEP = "每句话都要能在证据里找到出处；证据没有谈到的，写“给定证据不足”，不要用别处的知识去补。不开处方，不谈剂量，不把候选当成结论。"
+_PROMPTS = {
+    1: _ASKED + _KEEP + "\n\n# 回答的栏目，不增不减\n候选疾病：\n支持证据：\n鉴别诊断：\n风险提示：\n就医建议：\n\n# Safety\n" + _SAFETY,
+    2: _ASKED + _KEEP + """观察要逐条对照证据，每一条都写明它的证据路径、evidence_text、source；措辞留有余地。
+
+# 回答的栏目，不增不减
+候选疾病：
+  - 中文名称：
+  - 英文名称：
+  - 疾病 ID：
+  - 结论表述：
+用户观察与证据匹配：
+  - 观察：
+  - 匹配情况：
+    - 证据路径：
+    - evidence_text：
+    - source：
+支持证据：
+  - 证据路径：
+  - evidence_text：
+  - source：
+鉴别诊断：
+  - 需鉴别者：
+    - 证据路径：
+    - evidence_text：
+    - source：
+风险提示：
+  - 风险：
+    - 证据路径：
+    - evidence_text：
+    - source：
+就医建议：
+  - 建议：
+    - 证据路径：
+    - evidence_text：
+    - source：
+证据不足说明：
+  - 所缺内容：
+  - 原因：
+
+# Safety
+""" + _SAFETY,
+    None: _ASKED + _SAFETY + "\n\n# 回答的栏目，不增不减\n候选疾病：\n用户观察与证据匹配：\n支持证据：\n鉴别诊断：\n风险提示：\n就医/检查建议：\n证据不足说明：\n免责声明：",
+}
 
 
 def _strip(x: str) -> str:
@@ -48,7 +112,7 @@ WITH ent AS (
 ), best AS (
   SELECT 'TS' || p || '_' || s AS triple_id, CASE WHEN p % 3 = 0 THEN 'AUD_' || n_regionkey ELSE 'SRC_' || n_nationkey END AS source_id FROM pair JOIN supplier ON s = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ), att AS (
-  SELECT tri.*, coalesce(src.source_id, '') AS source_id, coalesce(src.source_name, '') AS own_name, coalesce(src.source_name, 'trade records') AS source_name, coalesce(src.source_type, '') AS source_type
+  SELECT tri.*, coalesce(src.source_id, '') AS source_id, coalesce(src.source_name, '') AS own_name, coalesce(src.source_name, 'trade records') AS source_name, coalesce(src.source_type, '') AS source_type, 'trade records' AS source
   FROM tri LEFT JOIN best ON tri.triple_id = best.triple_id LEFT JOIN src ON best.source_id = src.source_id
 ), partq AS (SELECT 'PRT_' || p_partkey AS query_id FROM part
 ), nameq AS (SELECT DISTINCT 'N:' || p_name AS query_id, upper(p_name) AS query FROM part
@@ -72,20 +136,23 @@ _EXTRAS = "concat_ws('{sep}', nullif(source_id, ''), nullif(source_type, ''))"
 
 def _label(name: str) -> str:
     e = _EXTRAS.format(sep=", ")
-    return f"CASE WHEN {name} <> '' AND {e} <> '' THEN {name} || ' (' || {e} || ')' ELSE coalesce(nullif({name}, ''), nullif({e}, ''), '{tx.NOT_STATED}') END"
+    return f"CASE WHEN {name} <> '' AND {e} <> '' THEN {name} || ' (' || {e} || ')' ELSE coalesce(nullif({name}, ''), nullif({e}, ''), '{_NOT_STATED}') END"
+
 
+_SCREEN = f"CASE WHEN {_EXTRAS.format(sep='，')} <> '' THEN coalesce(nullif(own_name, ''), '{_NO_SOURCE}') || '（' || {_EXTRAS.format(sep='，')} || '）' ELSE coalesce(nullif(own_name, ''), '{_NO_SOURCE}') END"
+def _block(name: str) -> str:
+    return f"'- 证据路径：' || {_PATH} || chr(10) || '  evidence_text：' || coalesce(nullif(evidence_text, ''), '{_NOT_STATED}') || chr(10) || '  source：' || {_label(name)}"
 
-_SCREEN = f"CASE WHEN {_EXTRAS.format(sep='，')} <> '' THEN coalesce(nullif(own_name, ''), '{tx.SOURCE_NOT_STATED}') || '（' || {_EXTRAS.format(sep='，')} || '）' ELSE coalesce(nullif(own_name, ''), '{tx.SOURCE_NOT_STATED}') END"
-_BLOCK = f"'- 证据路径：' || {_PATH} || chr(10) || '  evidence_text：' || coalesce(nullif(evidence_text, ''), '{tx.NOT_STATED}') || chr(10) || '  source：' || {_label('source_name')}"
-_ORDER = "(VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(PROFILE.order)) + ") AS o(section, section_ord)"
+
+_ORDER = "(VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(_SECTIONS)) + ") AS o(section, section_ord)"
 _KEY = "coalesce(nullif(source_id, ''), nullif(source_name, ''))"
 
 
-def _document(q: str, items: str, head: str, sources: str) -> str:
+def _document(q: str, items: str, head: str, sources: str, name: str) -> str:
     return f"""{_BASE}, it AS ({items}), body AS (
-  SELECT query_id, CASE relation_en WHEN 'supplied_by' THEN 'Suppliers' WHEN 'has_brand' THEN 'Brand' ELSE 'Type' END AS section, string_agg({_BLOCK}, chr(10) ORDER BY ord, triple_id) AS lines FROM it GROUP BY ALL
+  SELECT query_id, CASE relation_en WHEN 'supplied_by' THEN 'Suppliers' WHEN 'has_brand' THEN 'Brand' ELSE 'Type' END AS section, string_agg({_block(name)}, chr(10) ORDER BY ord, triple_id) AS lines FROM it GROUP BY ALL
   UNION ALL {head} UNION ALL {sources}
-) SELECT q.query_id, string_agg('## ' || o.section || chr(10) || coalesce(lines, '{tx.NO_EVIDENCE_LINE}'), chr(10) || chr(10) ORDER BY section_ord) AS context
+) SELECT q.query_id, string_agg('## ' || o.section || chr(10) || coalesce(lines, '{_NO_LINE}'), chr(10) || chr(10) ORDER BY section_ord) AS context
 FROM {q} q CROSS JOIN {_ORDER} LEFT JOIN body ON body.query_id = q.query_id AND body.section = o.section GROUP BY q.query_id"""
 
 
@@ -108,16 +175,20 @@ s AS (SELECT *, round(CAST(0.4 AS DOUBLE) * mf + CAST(0.2 AS DOUBLE) * ml + CAST
 """
 
 
-def _prompt(version: str | None) -> str:
-    list_ = lambda items: " || chr(10) || ".join(f"'{i}. {x}'" for i, x in enumerate(items, 1))
-    rules, form = prompts._RULES.get(version, prompts.SAFETY), prompts._FORMS[version if version in prompts._RULES else None]
-    task = prompts._TASK.replace("'", "''").replace("\n", "' || chr(10) || '")
-    gap = "chr(10) || chr(10)"
-    own = [f"'{task}'", "'# Input' || chr(10) || '- candidate: ' || query_id || chr(10) || '- observation: ' || observation", "'# Evidence' || chr(10) || coalesce(context, '')", f"'# Rules' || chr(10) || {list_(rules)}", "'# Answer, in exactly these parts' || chr(10) || " + " || chr(10) || ".join(f"'{x}:'" for x in form)]
-    safety = "''" if version not in prompts._RULES else f"{gap} || '# Safety' || chr(10) || {list_(prompts.SAFETY)}"
+def _prompt(version: int | None) -> str:
+    """A pinned text with its three places filled in; candidates whose id ends in 7 are blank."""
+    quoted = "'" + _PROMPTS[version].replace("'", "''") + "'"
+    candidate = "' ' || o.query_id || ' '" if version == 2 else "o.query_id"
+    for place, value in (("candidate", candidate), ("observation", "observation"), ("context", "coalesce(context, '')")):
+        quoted = quoted.replace("{" + place + "}", f"' || {value} || '")
     return f"""{_BASE}{_OBS}, marks AS (SELECT query_id, string_agg(section || ' ' || n, chr(10) ORDER BY section) AS context FROM (SELECT query_id, section, count(*) AS n FROM sec GROUP BY ALL) GROUP BY query_id)
-SELECT o.query_id, {f" || {gap} || ".join(own).replace('query_id ||', 'o.query_id ||')} || {safety} AS prompt, 'OK' AS outcome FROM obs o LEFT JOIN marks m ON o.query_id = m.query_id"""
+SELECT o.query_id, CASE WHEN NOT ends_with(o.query_id, '7') THEN {quoted} END AS prompt, CASE WHEN ends_with(o.query_id, '7') THEN 'ANALYSIS_INSUFFICIENT_INPUT' ELSE 'OK' END AS outcome FROM obs o LEFT JOIN marks m ON o.query_id = m.query_id"""
+
 
+_URL_PART = "url_encode(name_en)"
+for _code, _char in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*")):
+    _URL_PART = f"replace({_URL_PART}, '{_code}', '{_char}')"
+_ROW = "concat_ws(chr(31), triple_id, head_id, head_cn, head_type, relation_cn, relation_en, tail_id, tail_cn, tail_type, 'trade records', evidence_text, '', CAST(ord AS VARCHAR))"
 
 SQL = {
     "kg_entities": f"{_BASE} SELECT id AS entity_id, entity_type, name_cn, name_en, coalesce({_items('alias')}[1], '') AS label, ord FROM ent",
@@ -142,58 +213,68 @@ SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM known) THEN 'KG
     "section_first_appearance": f"{_BASE}, f AS (SELECT query_id, section, min(ord) AS first_ord FROM sec GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_ord, section) AS place FROM f",
     "section_fill": f"{_BASE} SELECT q.query_id, o.section, CAST(section_ord AS BIGINT) AS section_ord, count(triple_id) AS n_items FROM partq q CROSS JOIN {_ORDER} LEFT JOIN sec s ON s.query_id = q.query_id AND s.section = o.section GROUP BY ALL",
     "source_dedup_first": f"{_BASE}, r AS (SELECT query_id, source_id, source_name, source_type, ord, row_number() OVER (PARTITION BY query_id, {_KEY} ORDER BY ord, triple_id) AS r FROM item) SELECT query_id, source_id, source_name, source_type, ord FROM r WHERE r = 1",
-    "source_dedup_text": f"{_BASE} SELECT query_id, {_label('source_name')} AS label, min(ord) AS ord FROM item GROUP BY ALL",
+    "source_dedup_text": f"{_BASE} SELECT query_id, {_label('source')} AS label, min(ord) AS ord FROM item GROUP BY ALL",
     "distinct_heads": f"{_BASE} SELECT query_id, head_id, head_cn AS head_name, min(ord) AS ord FROM att JOIN ({_found('nameq', 'Part')}) f ON head_id = f.id GROUP BY ALL",
     "context_markdown": _document("partq", "SELECT * FROM item", "SELECT id, 'Candidate', '- ' || name_cn || ' / ' || name_en || '（' || id || '）' FROM ent WHERE entity_type = 'Part'",
-        f"SELECT query_id, 'Sources', string_agg('- ' || source_name || ' (' || source_id || ', ' || source_type || ')', chr(10) ORDER BY ord, source_id) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {_KEY} ORDER BY ord, triple_id) AS r FROM item) WHERE r = 1 GROUP BY query_id"),
+        f"SELECT query_id, 'Sources', string_agg('- ' || source_name || ' (' || source_id || ', ' || source_type || ')', chr(10) ORDER BY ord, source_id) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {_KEY} ORDER BY ord, triple_id) AS r FROM item) WHERE r = 1 GROUP BY query_id", "source_name"),
     "context_research": _document("(SELECT query_id, query_id AS query FROM partq UNION ALL SELECT query_id, query FROM mixq)",
         f"SELECT f.query_id, att.* FROM att JOIN (SELECT query_id, id FROM (SELECT query_id, query_id AS id FROM partq UNION ALL {_found('mixq', 'Part')})) f ON head_id = f.id",
         """SELECT q.query_id, 'Candidate', coalesce(h.lines, '- 未查询到匹配疾病：' || q.query) FROM (SELECT query_id, query_id AS query FROM partq UNION ALL SELECT query_id, query FROM mixq) q LEFT JOIN
     (SELECT query_id, string_agg('- ' || head_cn || ' / ' || name_en || '（' || head_id || '）', chr(10) ORDER BY o, head_id) AS lines FROM (SELECT query_id, head_id, head_cn, min(ord) AS o FROM it GROUP BY ALL) JOIN (SELECT id, name_en FROM ent WHERE entity_type = 'Part') e ON e.id = head_id GROUP BY query_id) h ON h.query_id = q.query_id""",
-        f"SELECT query_id, 'Sources', string_agg('- ' || label, chr(10) ORDER BY o, label) FROM (SELECT query_id, {_label('source_name')} AS label, min(ord) AS o FROM it GROUP BY ALL) GROUP BY query_id"),
-    "plain_listing": f"""{_BASE} SELECT query_id, string_agg('triple_id: ' || triple_id || chr(10) || '证据路径: ' || {_PATH} || chr(10) || 'relation_en: ' || relation_en || chr(10) || 'source: ' || CASE WHEN source_id <> '' OR source_type <> '' THEN source_name || ' (' || source_id || ', ' || source_type || ')' ELSE source_name END
+        f"SELECT query_id, 'Sources', string_agg('- ' || label, chr(10) ORDER BY o, label) FROM (SELECT query_id, {_label('source')} AS label, min(ord) AS o FROM it GROUP BY ALL) GROUP BY query_id", "source"),
+    "plain_listing": f"""{_BASE} SELECT query_id, string_agg('triple_id: ' || triple_id || chr(10) || '证据路径: ' || {_PATH} || chr(10) || 'relation_en: ' || relation_en || chr(10) || 'source: ' || CASE WHEN source_id <> '' OR source_type <> '' THEN source || ' (' || source_id || ', ' || source_type || ')' ELSE source END
   || chr(10) || 'evidence_text: ' || evidence_text || chr(10) || 'note: ', chr(10) || chr(10) ORDER BY ord, triple_id) AS listing FROM item GROUP BY query_id""",
     "observation_match": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(lower(d.text), lower(b.text))",
     "clause_match": "WITH c AS (SELECT DISTINCT clause FROM (SELECT unnest(string_split_regex(lower(text), '[,.]')) AS clause FROM documents) WHERE length(clause) >= 4) SELECT clause, item_id FROM c JOIN benchmark b ON contains(lower(b.text), clause)",
     "observed_evidence": f"{_BASE}{_OBS}, f AS (SELECT query_id, section, min(ord) AS first_ord FROM sec GROUP BY ALL) SELECT h.query_id, triple_id, row_number() OVER (PARTITION BY h.query_id ORDER BY first_ord, h.section, ord, triple_id) AS place FROM hit h JOIN f ON f.query_id = h.query_id AND f.section = h.section",
     "buckets_union": f"{_BUCKETS} SELECT query_id, bucket, place, triple_id FROM r",
-    "bucket_topk": f"{_BUCKETS} SELECT query_id, bucket, place, {_PATH} AS evidence_path, coalesce(nullif(evidence_text, ''), '{tx.NOT_STATED}') AS shown_text, {_label('source_name')} AS shown_source FROM r WHERE (bucket = 'supporting_evidence' AND place <= 3) OR (bucket = 'medical_advice_or_exams' AND place <= 2)",
+    "bucket_topk": f"{_BUCKETS} SELECT query_id, bucket, place, {_PATH} AS evidence_path, coalesce(nullif(evidence_text, ''), '{_NOT_STATED}') AS shown_text, {_label('source_name')} AS shown_source FROM r WHERE (bucket = 'supporting_evidence' AND place <= 3) OR (bucket = 'medical_advice_or_exams' AND place <= 2)",
     "insufficient_flags": f"""{_BASE}{_OBS}, x AS (SELECT query_id, query_id NOT IN (SELECT query_id FROM hit) AS no_match, true AS no_differential, query_id NOT IN (SELECT query_id FROM sec WHERE section = 'Brand') AS no_risk FROM partq)
-SELECT *, concat_ws(chr(10), CASE WHEN no_match THEN '{observe.LACKS_MATCH}' END, '{observe.LACKS_DIFFERENTIAL}', CASE WHEN no_risk THEN '{observe.LACKS_RISK}' END) AS messages FROM x""",
-    "candidates_or_all": f"{_BASE}, m AS (SELECT DISTINCT query_id, head_id AS entity_id FROM tri JOIN ({_found('mixq', 'Brand')}) f ON tail_id = f.id WHERE head_type = 'Part') SELECT * FROM m UNION ALL SELECT query_id, id FROM mixq, ent WHERE entity_type = 'Brand' AND query_id NOT IN (SELECT query_id FROM m)",
+SELECT *, concat_ws(chr(10), CASE WHEN no_match THEN '{_LACKS[0]}' END, '{_LACKS[1]}', CASE WHEN no_risk THEN '{_LACKS[2]}' END) AS messages FROM x""",
+    "candidates_or_all": f"{_BASE}, m AS (SELECT DISTINCT query_id, head_id AS entity_id FROM tri JOIN ({_found('mixq', 'Brand')}) f ON tail_id = f.id WHERE head_type = 'Part') SELECT query_id, entity_id, false AS all_heads FROM m UNION ALL SELECT query_id, NULL, true FROM mixq WHERE query_id NOT IN (SELECT query_id FROM m)",
+    "entity_search": f"""{_BASE}, q AS (SELECT DISTINCT 'B:' || p_brand AS query_id, 'brand#' || {_PB} AS words FROM part UNION ALL SELECT 'R:' || r_name, lower(r_name) FROM region)
+SELECT DISTINCT query_id, id, entity_type FROM q JOIN keys ON contains(key, words)""",
+    "source_list": f"""{_BASE}, r AS (SELECT 'SRC_' || s_nationkey AS source_id, count(*) AS n FROM pair JOIN supplier ON s = s_suppkey GROUP BY 1 UNION ALL SELECT 'AUD_' || n_regionkey, count(*) FROM pair JOIN supplier ON s = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p % 3 = 0 GROUP BY 1)
+SELECT src.source_id, source_name, source_type, coalesce(n, 0) AS n_triples FROM src LEFT JOIN r ON r.source_id = src.source_id""",
+    "reverse_heads": f"{_BASE} SELECT query_id, triple_id, e.id AS entity_id, e.name_cn, e.name_en, e.label FROM att JOIN ({_found('mixq', 'Brand')}) f ON tail_id = f.id JOIN (SELECT id, name_cn, name_en, coalesce({_items('alias')}[1], '') AS label FROM ent WHERE entity_type = 'Part') e ON e.id = head_id WHERE head_type = 'Part'",
+    "items_nested": f"""{_BASE} SELECT query_id, triple_id, CAST(to_json({{'entity_id': head_id, 'name_cn': head_cn, 'entity_type': head_type}}) AS VARCHAR) AS head, CAST(to_json({{'relation_cn': relation_cn, 'relation_en': relation_en}}) AS VARCHAR) AS relation,
+  CAST(to_json({{'entity_id': tail_id, 'name_cn': tail_cn, 'entity_type': tail_type}}) AS VARCHAR) AS tail, source FROM att JOIN ({_found('nameq', 'Part')}) f ON head_id = f.id""",
+    "refs_by_list": "SELECT 'T' || s_suppkey AS triple_id, 'SRC_' || s_nationkey AS source_id, CAST(s_nationkey AS BIGINT) AS ord FROM supplier",
     "care_level": "SELECT event_id, CASE WHEN regexp_matches(event_type || coalesce(props, ''), 'purchase|refund') THEN 'high' WHEN regexp_matches(event_type || coalesce(props, ''), 'click|view') THEN 'medium' ELSE 'low' END AS care_level FROM events",
     "labels_rendered": f"""{_BASE} SELECT triple_id, head_cn || ' → ' || relation_cn || ' → ' || tail_cn AS arrow_path, {_label('own_name')} AS label, {_SCREEN} AS screen_label, '- ' || own_name || ' (' || source_id || ', ' || source_type || ')' AS line,
-  CASE WHEN source_id <> '' OR source_type <> '' THEN 'trade records (' || source_id || ', ' || source_type || ')' ELSE 'trade records' END AS plain, coalesce(nullif(evidence_text, ''), '{tx.NOT_STATED}') AS shown_text FROM att""",
-    "head_labels": f"{_BASE} SELECT id AS entity_id, name_cn || '（' || name_en || ' / ' || {_items('alias')}[1] || '）' AS shown, replace(url_encode(name_en), '%20', '+') AS encoded FROM ent WHERE entity_type = 'Part'",
+  CASE WHEN source_id <> '' OR source_type <> '' THEN 'trade records (' || source_id || ', ' || source_type || ')' ELSE 'trade records' END AS plain, coalesce(nullif(evidence_text, ''), '{_NOT_STATED}') AS shown_text FROM att""",
+    "head_labels": f"{_BASE} SELECT id AS entity_id, name_cn || '（' || name_en || ' / ' || {_items('alias')}[1] || '）' AS shown, {_URL_PART} AS encoded FROM ent WHERE entity_type = 'Part'",
     "graph_status": f"{_BASE} SELECT (SELECT count(*) FROM ent) AS entity_count, (SELECT count(*) FROM tri) AS triple_count, (SELECT count(*) FROM src) AS source_count, (SELECT count(*) FROM part) AS head_count",
     "expectation_warnings": f"""{_BASE}, c AS (SELECT 'entity_count' AS name, 70 AS expected, (SELECT count(*) FROM ent) AS actual, 'effective entities' AS shown UNION ALL SELECT 'triple_count', 102, (SELECT count(*) FROM tri), 'triples' UNION ALL SELECT 'source_count', 25, (SELECT count(*) FROM src), 'sources' UNION ALL SELECT 'head_count', 7, (SELECT count(*) FROM part), 'HAM10000 diseases')
 SELECT name, CAST(expected AS BIGINT) AS expected, actual, 'Expected ' || expected || ' ' || shown || ', got ' || actual || '.' AS warning FROM c WHERE expected <> actual""",
     "relation_counts": f"{_BASE} SELECT head_id, relation_en, count(*) AS n FROM tri GROUP BY ALL",
     "dup_check": f"{_BASE} SELECT key, count(*) AS n FROM keys GROUP BY key HAVING count(*) > 1",
-    "dangling_nodes": f"{_BASE} SELECT triple_id, 'head' AS side, head_id AS id FROM tri WHERE head_id LIKE 'SUP_%' AND CAST(substr(head_id, 5) AS BIGINT) % 7 = 0 UNION ALL SELECT triple_id, 'tail', tail_id FROM tri WHERE tail_id LIKE 'SUP_%' AND CAST(substr(tail_id, 5) AS BIGINT) % 7 = 0",
-    "dangling_ends": f"{_BASE}, e AS (SELECT triple_id, 'head' AS side, head_id AS id FROM tri UNION ALL SELECT triple_id, 'tail', tail_id FROM tri) SELECT triple_id, side, id FROM e WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.id = e.id)",
+    "dangling_nodes": f"{_BASE}, e AS (SELECT triple_id, 'head' AS side, head_id AS id FROM tri UNION ALL SELECT triple_id, 'tail', tail_id FROM tri) SELECT triple_id, side, id FROM e WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.id = e.id)",
     "missing_sources": f"{_BASE} SELECT triple_id, relation_en FROM att WHERE source_id = ''",
     "copies_differ": f"{_BASE} SELECT triple_id, 'head' AS side FROM tri WHERE head_type = 'Nation' UNION ALL SELECT triple_id, 'tail' FROM tri WHERE tail_type = 'Nation'",
-    "prompt_render": _prompt(prompts.V1),
+    "prompt_render": _prompt(1),
+    "prompt_second": _prompt(2),
     "prompt_general": _prompt(None),
-    "safety_supplement": "SELECT conv_id, turn, '1. a' || chr(10) || '2. b' AS listed, sha256(CASE WHEN contains(text, 'the') THEN text ELSE text || chr(10) || chr(10) || '# Safety' || chr(10) || " + " || chr(10) || ".join(f"'{i}. {x}'" for i, x in enumerate(prompts.SAFETY, 1)) + " END) AS prompt_sha256 FROM conversations",
+    "safety_supplement": "SELECT conv_id, turn, '1. a' || chr(10) || '2. b' AS listed, sha256(CASE WHEN contains(text, 'the') THEN text ELSE text || chr(10) || chr(10) || '# Safety' || chr(10) || '" + _SAFETY + "' END) AS prompt_sha256 FROM conversations",
     "forbidden_phrase_check": "SELECT doc_id, NOT (contains(text, 'worthless') OR contains(text, 'trash') OR contains(text, 'disgusting')) AS clean FROM documents",
     "candidate_scores": _SCORES + "SELECT * FROM s",
     "candidate_rank_top3": _SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, p_brand) AS rank_order FROM s) SELECT o_custkey, p_brand, mf, ml, ms, cf, score, rank_order FROM r WHERE rank_order <= 3",
     "claim_status": _CLAIMS + "SELECT part, supplier, nation, status FROM st",
-    "oehr_ucr_pcs_ecr": _CLAIMS + """, m AS (SELECT nation, count(*) FILTER (status = 'supported') AS n_supported, count(*) FILTER (status = 'partially_supported') AS n_partial, count(*) FILTER (status = 'unsupported') AS n_unsupported, count(*) FILTER (status = 'not_verifiable') AS n_not_verifiable FROM st GROUP BY nation),
+    "oehr_ucr_pcs_ecr": _CLAIMS + """, m AS (SELECT nation, count(*) FILTER (status = 'supported') AS n_supported, count(*) FILTER (status = 'partially_supported') AS n_partial, count(*) FILTER (status = 'unsupported') AS n_unsupported, count(*) FILTER (status = 'not_verifiable') AS n_not_verifiable, count(*) AS n_mapped FROM st GROUP BY nation),
 a AS (SELECT s_nationkey AS nation, count(*) AS n_anchors, count(*) FILTER (s_suppkey IN (SELECT supplier FROM st WHERE status = 'supported')) AS hits FROM supplier GROUP BY 1),
 k AS (SELECT s_nationkey AS nation, count(DISTINCT l_returnflag) AS av, count(DISTINCT l_returnflag) FILTER (l_quantity >= 50) AS us FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
-SELECT a.nation, n_anchors, round(hits / n_anchors, 9) AS oehr, round(n_unsupported / nullif(n_supported + n_partial + n_unsupported, 0), 9) AS ucr, round(n_supported / nullif(n_supported + n_partial + n_unsupported, 0), 9) AS pcs, round(us / av, 9) AS ecr, n_supported, n_partial, n_unsupported, n_not_verifiable
+SELECT a.nation, n_anchors, round(hits / n_anchors, 9) AS oehr, round(n_unsupported / nullif(n_supported + n_partial + n_unsupported, 0), 9) AS ucr, round(n_supported / n_mapped, 9) AS pcs, round(us / av, 9) AS ecr, n_supported, n_partial, n_unsupported, n_not_verifiable, n_mapped
 FROM a LEFT JOIN m ON a.nation = m.nation LEFT JOIN k ON a.nation = k.nation""",
     "paths_2hop": f"""{_BASE}, t AS (SELECT * FROM tri WHERE relation_en IN ('supplied_by', 'located_in'))
 SELECT head_id AS start, tail_id AS "end", 1::BIGINT AS n_hops, head_id || '>' || tail_id AS nodes, relation_en AS relations, triple_id AS triple_ids FROM t WHERE head_type = 'Part'
 UNION ALL SELECT a.head_id, b.tail_id, 2, a.head_id || '>' || a.tail_id || '>' || b.tail_id, a.relation_en || '>' || b.relation_en, a.triple_id || '>' || b.triple_id FROM t a JOIN t b ON a.tail_id = b.head_id WHERE a.head_type = 'Part'""",
-    "path_rank": f"""{_BASE} SELECT head_id AS start, tail_id AS "end", row_number() OVER (PARTITION BY head_id ORDER BY triple_id) AS path_rank FROM tri WHERE relation_en IN ('has_brand', 'has_type')""",
-    "path_rank_all": f"""{_BASE}, h1 AS (SELECT p.id AS start, tail_id AS "end", 1::BIGINT AS n_hops, p.id || '>' || tail_id AS nodes, triple_id AS ids FROM (SELECT id FROM ent WHERE entity_type = 'Part') p JOIN tri ON head_id = p.id),
+    "path_rank": f"""{_BASE}, h1 AS (SELECT p.id AS start, tail_id AS "end", 1::BIGINT AS n_hops, p.id || '>' || tail_id AS nodes, triple_id AS ids FROM (SELECT id FROM ent WHERE entity_type = 'Part') p JOIN tri ON head_id = p.id),
 h2 AS (SELECT start, tail_id AS "end", 2::BIGINT AS n_hops, nodes || '>' || tail_id AS nodes, ids || '/' || triple_id AS ids FROM h1 JOIN tri ON head_id = h1."end" WHERE NOT list_contains(string_split(nodes, '>'), tail_id)),
 h3 AS (SELECT start, tail_id AS "end", 3::BIGINT AS n_hops, nodes || '>' || tail_id AS nodes, ids || '/' || triple_id AS ids FROM h2 JOIN tri ON head_id = h2."end" WHERE NOT list_contains(string_split(nodes, '>'), tail_id))
-SELECT start, "end", n_hops, replace(ids, '/', '>') AS triple_ids, row_number() OVER (PARTITION BY start ORDER BY n_hops, ids) AS path_rank FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)""",
+SELECT start, "end", n_hops, replace(ids, '/', '>') AS triple_ids, round(CAST(1 AS DOUBLE) / n_hops, 9) AS retrieval_score, row_number() OVER (PARTITION BY start ORDER BY n_hops, ids) AS path_rank FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)""",
+    "subgraph_edges": f"""{_BASE}, h AS (SELECT head_id AS start, tail_id, triple_id, 1::BIGINT AS n FROM tri WHERE head_type = 'Part'), g AS (SELECT start, triple_id, n FROM h UNION ALL SELECT h.start, t.triple_id, 2 FROM h JOIN tri t ON t.head_id = h.tail_id)
+SELECT start, triple_id, min(n) AS n_hops FROM g GROUP BY ALL""",
+    "graph_checksum": f"{_BASE} SELECT count(*) AS n, sum(CAST('0x' || substr(md5({_ROW}), 1, 15) AS BIGINT)) || '-' || sum(CAST('0x' || substr(md5({_ROW}), 16, 15) AS BIGINT)) AS checksum FROM tri",
     "current_version": "WITH v AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version_no, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey, version_no, version_no = n AS is_current, version_no - 1 AS previous FROM v",
     "timeline_lag": "SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, coalesce(CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS BIGINT), -1) AS gap_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "experiment_summary": "SELECT source, lang, count(*) AS n, round(avg(quality), 9) AS quality, round(avg(toxic), 9) AS toxic, CAST(sum(n_chars) AS BIGINT) AS chars FROM labels JOIN documents USING (doc_id) GROUP BY ALL",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import analytics, checks, context, evidence, observe, prompts, resolve
+from ..operators import analytics, checks, contain, context, evidence, observe, prompts, resolve
+from ..sources.graph import explode_refs
 from ..sources.projection import PROFILE, trade_graph
 
 HEAD, FEATURE = PROFILE.head_type, PROFILE.feature_type
@@ -163,13 +164,13 @@ def plain_listing(spark, d):
 def observation_match(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
     needles = _t(spark, d, "benchmark").select("item_id", F.lower("text").alias("needle"))
-    return observe.containing(docs, needles).select("doc_id", "item_id")
+    return contain.containing(docs, needles).select("doc_id", "item_id")
 
 
 def clause_match(spark, d):
     parts = _t(spark, d, "documents").select(F.explode(tx.clauses(F.col("text"), "[,.]")).alias("clause")).distinct()
     texts = _t(spark, d, "benchmark").select("item_id", F.lower("text").alias("text"))
-    return observe.containing(texts, parts, "text", "clause").select("clause", "item_id")
+    return contain.containing(texts, parts, "text", "clause").select("clause", "item_id")
 
 
 def observed_evidence(spark, d):
@@ -196,9 +197,40 @@ def insufficient_flags(spark, d):
 def candidates_or_all(spark, d):
     g = trade_graph(spark, d)
     q = _mixed_names(spark, d)
-    got = evidence.by_feature(q, g, FEATURE, HEAD).select("query_id", F.col("head_id").alias("entity_id")).distinct()
-    brands = g.entities.where(F.col("entity_type") == FEATURE).select(F.col("id").alias("entity_id"))
-    return observe.candidates_or_all(got, brands, q)
+    return observe.candidates_or_all(evidence.by_feature(q, g, FEATURE, HEAD).select("query_id", F.col("head_id").alias("entity_id")).distinct(), q)
+
+
+def entity_search(spark, d):
+    """Every brand's digits and every region's name, each in other case and with blanks."""
+    brands = _t(spark, d, "part").select("p_brand").distinct().select(F.concat(F.lit("B:"), F.col("p_brand")).alias("query_id"), F.concat(F.lit(" BRAND#"), F.regexp_replace("p_brand", "[^0-9]", "")).alias("query"))
+    regions = _t(spark, d, "region").select(F.concat(F.lit("R:"), F.col("r_name")).alias("query_id"), F.concat(F.lower("r_name"), F.lit(" ")).alias("query"))
+    return resolve.search(brands.unionByName(regions), trade_graph(spark, d).entities).select("query_id", "id", "entity_type")
+
+
+def source_list(spark, d):
+    """Sources with how many triples each speaks for."""
+    g = trade_graph(spark, d)
+    n = g.refs.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_triples"))
+    return g.sources.join(n, "source_id", "left").select("source_id", "source_name", "source_type", F.coalesce("n_triples", F.lit(0)).alias("n_triples"))
+
+
+def reverse_heads(spark, d):
+    """The reverse lookup with the head row of each item."""
+    g = trade_graph(spark, d)
+    x = evidence.with_heads(evidence.by_feature(_mixed_names(spark, d), g, FEATURE, HEAD), g, HEAD)
+    return x.select("query_id", "triple_id", "head_row.entity_id", "head_row.name_cn", "head_row.name_en", "head_row.label")
+
+
+def items_nested(spark, d):
+    x = evidence.nested(evidence.by_head(_part_names(spark, d), trade_graph(spark, d), HEAD))
+    return x.select("query_id", "triple_id", *[F.to_json(c).alias(c) for c in ("head", "relation", "tail")], "source")
+
+
+def refs_by_list(spark, d):
+    """The exploded lists of sources whose lists are written with irregular separators."""
+    s = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("s")).groupBy("k").agg(F.array_join(context.in_order(F.concat(F.lit("T"), F.col("s").cast("string")), "s"), " ， ").alias("used_for_triples"))
+    s = s.select(F.concat(F.lit("SRC_"), F.col("k").cast("string")).alias("source_id"), F.concat(F.lit(","), F.col("used_for_triples"), F.lit("; |")).alias("used_for_triples"), F.col("k").cast("long").alias("ord"))
+    return explode_refs(s)
 
 
 def care_level(spark, d):
@@ -219,7 +251,7 @@ def labels_rendered(spark, d):
 
 def head_labels(spark, d):
     x = list_heads(spark, d)
-    return x.select("entity_id", tx.head_label(F.col("name_cn"), F.col("name_en"), F.col("label")).alias("shown"), F.url_encode("name_en").alias("encoded"))
+    return x.select("entity_id", tx.head_label(F.col("name_cn"), F.col("name_en"), F.col("label")).alias("shown"), tx.url_part(F.col("name_en")).alias("encoded"))
 
 
 def graph_status(spark, d):
@@ -239,14 +271,7 @@ def dup_check(spark, d):
 
 
 def dangling_nodes(spark, d):
-    """Suppliers whose key is divisible by 7 are taken out first: the shipped tables have no dangling end."""
-    g = trade_graph(spark, d)
-    some = g.entities.where((F.col("entity_type") != "Supplier") | (F.substring("id", 5, 20).cast("long") % 7 != 0))
-    return checks.dangling(type(g)(some, g.triples, g.sources, g.refs))
-
-
-def dangling_ends(spark, d):
-    """Of the graph as it is; tests/test_graph.py has planted ends."""
+    """Of the graph as it is; tests plant dangling ends."""
     return checks.dangling(trade_graph(spark, d))
 
 
@@ -267,7 +292,7 @@ def graph_checksum(spark, d):
 
 def _prompted(spark, d, version):
     c = F.col
-    q = _observations(spark, d).withColumn("candidate", F.concat(F.lit(" "), c("query_id"), F.lit(" ")))
+    q = _observations(spark, d).withColumn("candidate", F.when(c("query_id").endswith("7"), F.lit(" \t")).otherwise(F.concat(F.lit(" "), c("query_id"), F.lit(" "))))
     marks = context.section_counts(_items(spark, d), PROFILE).groupBy("query_id").agg(F.array_join(context.in_order(F.concat(c("section"), F.lit(" "), c("n_items").cast("string")), "section"), "\n").alias("context"))
     return prompts.prompts(q, marks, version)
 
@@ -276,6 +301,10 @@ def prompt_render(spark, d):
     return _prompted(spark, d, prompts.V1)
 
 
+def prompt_second(spark, d):
+    return _prompted(spark, d, prompts.V2)
+
+
 def prompt_general(spark, d):
     return _prompted(spark, d, "no such version")
 
@@ -330,7 +359,7 @@ def oehr_ucr_pcs_ecr(spark, d):
     kinds = _t(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity").join(_t(spark, d, "supplier").select("s_suppkey", c("s_nationkey").alias("nation")), c("l_suppkey") == c("s_suppkey"))
     e = analytics.coverage_rate(kinds.where(c("l_quantity") >= 50), kinds, "l_returnflag", "nation")
     x = o.join(m, "nation", "left").join(e, "nation", "left")
-    return x.select("nation", "n_anchors", *[F.round(k, 9).alias(k) for k in ("oehr", "ucr", "pcs", "ecr")], "n_supported", "n_partial", "n_unsupported", "n_not_verifiable")
+    return x.select("nation", "n_anchors", *[F.round(k, 9).alias(k) for k in ("oehr", "ucr", "pcs", "ecr")], "n_supported", "n_partial", "n_unsupported", "n_not_verifiable", "n_mapped")
 
 
 def _starts(spark, d):
@@ -344,14 +373,14 @@ def paths_2hop(spark, d):
 
 
 def path_rank(spark, d):
-    t = trade_graph(spark, d).triples.where(F.col("relation_en").isin("has_brand", "has_type"))
-    return analytics.ranked_paths(analytics.hops(_starts(spark, d), t, 1)).select("start", "end", "path_rank")
-
-
-def path_rank_all(spark, d):
     """Every path from a part over every relation: the longest ends in a region, three hops away."""
     x = analytics.ranked_paths(analytics.hops(_starts(spark, d), trade_graph(spark, d).triples, 3))
-    return x.select("start", "end", "n_hops", F.array_join("triple_ids", ">").alias("triple_ids"), "path_rank")
+    return x.select("start", "end", "n_hops", F.array_join("triple_ids", ">").alias("triple_ids"), F.round("retrieval_score", 9).alias("retrieval_score"), "path_rank")
+
+
+def subgraph_edges(spark, d):
+    """What lies within two hops of each part."""
+    return analytics.subgraph(_starts(spark, d), trade_graph(spark, d).triples, 2)
 
 
 def current_version(spark, d):
@@ -367,7 +396,7 @@ def timeline_lag(spark, d):
 def experiment_summary(spark, d):
     c = F.col
     x = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), "doc_id")
-    return x.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 9).alias("quality"), F.round(F.avg("toxic"), 9).alias("toxic"), F.sum("n_chars").alias("chars"))
+    return analytics.experiment_summary(x.withColumnRenamed("n_chars", "chars"), ["source", "lang"], ["quality", "toxic"], ["chars"])
 
 
 QUERIES = {
@@ -375,8 +404,8 @@ QUERIES = {
     for f in (
         kg_entities, list_heads, alias_explode, lookup_keys, resolve_all, resolve_first, resolve_ranked, resolve_outcome, head_outcome, evidence_by_head, evidence_by_relation, reverse_lookup,
         source_attach_last_wins, endpoint_enrich, section_counts, context_summary, section_first_appearance, section_fill, source_dedup_first, source_dedup_text, distinct_heads, context_markdown,
-        context_research, plain_listing, observation_match, clause_match, observed_evidence, buckets_union, bucket_topk, insufficient_flags, candidates_or_all, care_level, labels_rendered, head_labels,
-        graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, dangling_ends, missing_sources, copies_differ, graph_checksum, prompt_render, prompt_general, safety_supplement,
-        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, path_rank_all, current_version, timeline_lag, experiment_summary,
+        context_research, plain_listing, observation_match, clause_match, observed_evidence, buckets_union, bucket_topk, insufficient_flags, candidates_or_all, entity_search, source_list, reverse_heads, items_nested, refs_by_list, care_level, labels_rendered, head_labels,
+        graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, missing_sources, copies_differ, graph_checksum, prompt_render, prompt_second, prompt_general, safety_supplement,
+        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, subgraph_edges, current_version, timeline_lag, experiment_summary,
     )
 }

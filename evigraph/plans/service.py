@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import advice_level, request_id
-from ..operators import checks, context, evidence, observe, prompts, resolve
+from ..operators import analytics, checks, context, evidence, observe, prompts, resolve
 from ..operators.profile import Profile
 from ..sources.graph import EvidenceError, EvidenceGraph
 
@@ -63,9 +63,40 @@ class EvidenceService:
         return evidence.by_relation(self._query(head, relation=relation), self.graph, self.profile.head_type).orderBy("ord", "triple_id")
 
     def heads_by_feature(self, feature: str) -> DataFrame:
-        """Evidence items of a feature, each with the head that it is of."""
+        """Evidence items of a feature, each with head_row (entity_id, name_cn, name_en, label), the head that it is of. A triple
+        whose head nothing stands for is an error."""
         self.find(feature)
-        return self._some(evidence.by_feature(self._query(feature), self.graph, self.profile.feature_type, self.profile.head_type), feature)
+        items = self._some(evidence.by_feature(self._query(feature), self.graph, self.profile.feature_type, self.profile.head_type), feature)
+        found = evidence.with_heads(items, self.graph, self.profile.head_type)
+        if lost := found.where(F.col("head_row").isNull()).select("head_id").first():
+            raise EvidenceError(resolve.NO_HEAD, f"not found: {lost['head_id']}", 404)
+        return found.orderBy("ord", "triple_id")
+
+    def search(self, words: str, entity_type: str | None = None) -> DataFrame:
+        """Entities whose id, names or aliases hold the words."""
+        x = resolve.search(self._query(words), self.graph.entities)
+        return x.where(F.col("entity_type") == entity_type if entity_type else F.lit(True)).orderBy("ord").drop("query_id")
+
+    def sources(self) -> DataFrame:
+        return self.graph.sources.orderBy("ord").drop("ord")
+
+    def source(self, source_id: str) -> dict:
+        """A source with the triples that it speaks for; of sources that share an id the last."""
+        got = self.graph.sources.where(F.col("source_id") == source_id).orderBy(F.desc("ord")).first()
+        if got is None:
+            raise EvidenceError("KG_SOURCE_NOT_FOUND", f"not found: {source_id}", 404)
+        return got.asDict() | {"triples": self.graph.triples.join(self.graph.refs.where(F.col("source_id") == source_id).select("triple_id"), "triple_id", "left_semi").orderBy("ord")}
+
+    def subgraph(self, head: str, most: int = 2) -> DataFrame:
+        """The triples within so many hops of a head."""
+        start = self.spark.createDataFrame([(self.find(head, self.profile.head_type)["id"],)], "id string")
+        near = analytics.subgraph(start, self.graph.triples, most).drop("start")
+        return self.graph.triples.join(near, "triple_id").orderBy("n_hops", "ord", "triple_id")
+
+    def health(self) -> dict:
+        """Whether the graph answers, with its counts."""
+        s = self.status().first().asDict()
+        return {"status": "ok" if s["entity_count"] and s["triple_count"] else "degraded", "graph": s}
 
     @staticmethod
     def _some(items: DataFrame, name: str) -> DataFrame:
@@ -116,7 +147,7 @@ class EvidenceService:
         rows = lambda df: [{"evidence_path": r["evidence_path"], "evidence_text": r["shown_text"], "source": r["shown_source"]} for r in observe.shown(df).orderBy("place").collect()]  # noqa: E731  one head's evidence
         parts = observe.buckets(items, self.profile)
         out = {b: rows(parts.where(F.col("bucket") == b)) for b in ("supporting_evidence", "differential_diagnosis", "risk_warnings", "medical_advice_or_exams")}
-        matched = [x | {"observation": observation.strip()} for x in rows(observe.match_order(hits, items, self.profile))]
+        matched = [x | {"observation": observation.strip(), "match_note": observe.MATCH_NOTE} for x in rows(observe.match_order(hits, items, self.profile))]
         said = observe.insufficient(o, hits, items, self.profile).first()["messages"]
         return {"candidate_disease": head.strip(), "observation_evidence_matches": matched, **out, "insufficient_evidence": said, "disclaimer": DISCLAIMER, "generation_mode": "template"}
 

@@ -6,6 +6,8 @@ All attributes are strings without nulls; `ord` carries the order of the input,
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -80,11 +82,31 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], encoding:
     if encoding is None:
         encoding = "UTF-8" if is_utf8(spark, path) else "GB18030"
     if encoding != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding)
+        path = _as_utf8(spark, path, encoding)
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
     return clean(raw.withColumn("ord", F.monotonically_increasing_id()), columns)
 
 
+def _as_utf8(spark: SparkSession, path: str, encoding: str) -> str:
+    """A copy of a file in UTF-8, in the shared folder; bytes that the encoding doesn't have are an error. Only while it is
+    written is Spark set to take other charsets than its own."""
+    name, old = "spark.sql.legacy.javaCharsets", spark.conf.get("spark.sql.legacy.javaCharsets", "false")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="evigraph-")
+    out = f"{folder.rstrip('/')}/evigraph/utf8-{uuid.uuid4().hex}"
+    spark.conf.set(name, "true")
+    try:
+        bytes_, text = F.col("content"), F.decode("content", encoding)
+        x = spark.read.format("binaryFile").load(path).select(text.alias("text"), (F.encode(text, encoding) == bytes_).alias("same"))
+        x.select(F.when(F.col("same"), F.col("text")).otherwise(F.raise_error(F.lit(f"neither UTF-8 nor {encoding}: {path}")))).write.text(out)
+    finally:
+        spark.conf.set(name, old)
+    return out
+
+
 def graph_dir(given: str | None = None, root: str | None = None) -> str:
     """Where the graph lies: as given, or as KG_CSV_DIR says; relative to root, or to the working directory."""
     path = given or os.environ.get("KG_CSV_DIR") or "kg/csv"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evigraph.sources.graph import ENTITY, SOURCE, TRIPLE
+
 ENTITIES = [
     # id, entity_type, name_cn, name_en, alias
     ("H1", "Disease", "甲症", "Alpha", "al; first alias；AX|ax2,共名"),
@@ -27,9 +29,6 @@ SOURCES = [
     ("R2", "", "Website", "T2 ，T3"),
     ("R3", "网站", "", "T4"),
 ]
-ENTITY_HEAD = ["id", "entity_type", "name_cn", "name_en", "alias", "source", "note"]
-TRIPLE_HEAD = ["triple_id", "head_id", "head_cn", "head_type", "relation_cn", "relation_en", "tail_id", "tail_cn", "tail_type", "source", "evidence_text", "note"]
-SOURCE_HEAD = ["source_id", "source_name", "source_type", "used_for_triples", ""]
 
 
 def _csv(head, rows, width) -> str:
@@ -40,7 +39,7 @@ def _csv(head, rows, width) -> str:
 def write(folder, encoding: str = "utf-8-sig") -> str:
     folder.mkdir(parents=True, exist_ok=True)
     blank = [("", "", "", "", "")]
-    (folder / "entity_nodes.csv").write_text(_csv(ENTITY_HEAD, ENTITIES + blank, 7), encoding=encoding, newline="")
-    (folder / "triples.csv").write_text(_csv(TRIPLE_HEAD, TRIPLES, 12), encoding=encoding, newline="")
-    (folder / "source_references.csv").write_text(_csv(SOURCE_HEAD, SOURCES, 5), encoding=encoding, newline="")
+    (folder / "entity_nodes.csv").write_text(_csv(ENTITY, ENTITIES + blank, 7), encoding=encoding, newline="")
+    (folder / "triples.csv").write_text(_csv(TRIPLE, TRIPLES, 12), encoding=encoding, newline="")
+    (folder / "source_references.csv").write_text(_csv([*SOURCE, ""], SOURCES, 5), encoding=encoding, newline="")
     return str(folder)

@@ -18,6 +18,9 @@ def test_claims(spark):
     assert {(r["h"], r["t"]): r["status"] for r in x.collect()} == {("p", "s1"): "supported", ("p", "s3"): "partially_supported", ("p", "s9"): "unsupported", ("z", "s1"): "not_verifiable"}
     m = an.claim_metrics(x).first()
     assert abs(m["ucr"] - 1 / 3) < 1e-12 and m["n_not_verifiable"] == 1
+    assert m["n_mapped"] == 4 and m["pcs"] == 1 / 4
+    some = an.claim_metrics(x, mapped=F.col("h") != "z", consistent=F.col("status") != "unsupported").first()
+    assert some["n_mapped"] == 3 and some["pcs"] == 2 / 3
     none = an.claim_metrics(x.where("status = 'not_verifiable'")).first()
     assert none["ucr"] is None
 

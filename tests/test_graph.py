@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as tx
-from evigraph.operators import checks, context, evidence, observe, prompts, resolve
+from evigraph.operators import checks, contain, context, evidence, observe, prompts, resolve
 from evigraph.operators.profile import Profile
 from evigraph.plans.service import EvidenceService
 from evigraph.sources import graph as gr
@@ -36,7 +36,12 @@ def test_gb18030_and_missing_files(spark, tmp_path):
     old = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
     g = gr.load_csv(spark, fx.write(tmp_path / "gb", "gb18030"))
     assert {r["name_cn"] for r in g.entities.collect()} >= {"甲症", "红斑"}
-    spark.conf.set("spark.sql.legacy.javaCharsets", old)
+    assert [r["id"] for r in g.entities.orderBy("ord").collect()] == [e[0] for e in fx.ENTITIES]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == old
+    (tmp_path / "gb" / "triples.csv").write_bytes("triple_id,head_id\r\nT1,甲".encode("gb18030") + b"\xff\xff\r\n")
+    with pytest.raises(gr.EvidenceError) as e:
+        gr.load_csv(spark, str(tmp_path / "gb"))
+    assert e.value.code == "KG_LOAD_FAILED" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") == old
     (tmp_path / "gb" / "triples.csv").unlink()
     with pytest.raises(gr.EvidenceError) as e:
         gr.load_csv(spark, str(tmp_path / "gb"))
@@ -101,6 +106,69 @@ def test_markdown_has_all_sections(service):
     assert service.research_context("nobody").startswith("## 候选疾病\n- 未查询到匹配疾病：nobody")
 
 
+def test_research_texts_print_the_triples_own_copies(service):
+    text = service.research_context("Alpha")
+    assert "- 证据路径：甲症 — 表现 — 红斑\n  evidence_text：局部红斑明显\n  source：原始 (R1, Guideline)" in text and "红斑二" not in text
+    assert text.endswith("## 证据来源\n- 原始 (R1, Guideline)\n- 原始 (R2, Website)\n- 原始 (R3)\n- 原始")
+    assert "证据路径: 甲症 — 表现 — 红斑\n" in service.listing(service.evidence("al")) and "source: 原始 (R1, Guideline)" in service.listing(service.evidence("al"))
+    shown = service.context("Alpha")["markdown"].first()["context"]
+    assert "- 证据路径：甲症 — 表现 — 红斑二" in shown and "source：指南 (R1, Guideline)" in shown
+
+
+def test_a_head_that_nothing_stands_for(spark, graph):
+    row = ("T8", "H8", "丙症", "Disease", "表现", "has_manifestation", "F1", "红斑", "LesionFeature", "原始", "x", "", 99)
+    more = graph.triples.unionByName(spark.createDataFrame([row], graph.triples.schema))
+    g = gr.EvidenceGraph(graph.entities, more, graph.sources, graph.refs)
+    items = evidence.by_feature(q(spark, "red"), g, "LesionFeature", "Disease")
+    assert [r["triple_id"] for r in items.orderBy("ord").collect()] == ["T1", "T5", "T8"]
+    rows = {r["triple_id"]: r["head_row"] for r in evidence.with_heads(items, g, "Disease").collect()}
+    assert tuple(rows["T1"]) == ("H1", "甲症", "Alpha", "al") and rows["T8"] is None
+    with pytest.raises(gr.EvidenceError) as e:
+        EvidenceService(g).heads_by_feature("red")
+    assert e.value.code == "KG_DISEASE_NOT_FOUND"
+
+
+def test_a_hit_without_a_section_is_no_match(spark, graph):
+    items = evidence.by_head(q(spark, "Alpha"), graph, "Disease")
+    o = spark.createDataFrame([("q0", "见100%_斑")], "query_id string, observation string")
+    hits = observe.match_items(o, items, P)
+    assert [r["triple_id"] for r in hits.collect()] == ["T4"] and observe.match_order(hits, items, P).collect() == []
+    assert observe.insufficient(o, hits, items, P).first()["no_match"]
+
+
+def test_search_sources_subgraph_and_health(service):
+    assert [r["id"] for r in service.search(" RED ").collect()] == ["F1", "F1"] and [r["id"] for r in service.search("al", "Disease").collect()] == ["H1"]
+    assert service.search(" ").collect() == [] and service.search("%").collect()[0]["id"] == "F2"
+    assert [r["source_id"] for r in service.sources().collect()] == ["R1", "R2", "R3"]
+    assert [r["triple_id"] for r in service.source("R2")["triples"].collect()] == ["T2", "T3"]
+    with pytest.raises(gr.EvidenceError):
+        service.source("R9")
+    near = {r["triple_id"]: r["n_hops"] for r in service.subgraph("Alpha").collect()}
+    assert near == {"T1": 1, "T2": 1, "T3": 1, "T4": 1, "T6": 1, "T5": 2, "T7": 2}  # T6 and T7 are a cycle
+    assert service.health()["status"] == "ok"
+
+
+def test_sinks(spark, graph, tmp_path):
+    gr.write_text(gr.as_json(graph.sources.orderBy("ord")), "json", str(tmp_path / "out"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == 3 and any('"source_id":"R1"' in x for x in lines)
+    (tmp_path / "r.csv").write_text('case_id,notes\nC1,"a, b"\nC2,\n')
+    rows, texts = gr.read_results(spark, str(tmp_path / "r.csv"), str(tmp_path / "out"))
+    assert [tuple(r) for r in rows.collect()] == [("C1", "a, b"), ("C2", None)] and texts.select("file_name").first()[0].startswith("part-")
+    graph.views()
+    assert spark.sql("SELECT count(*) FROM graph_triples").first()[0] == 7
+
+
+def test_url_parts(spark):
+    d = spark.createDataFrame([("a b/c+é!~*'()-_.",)], "x string")
+    assert d.select(tx.url_part(F.col("x"))).first()[0] == "a%20b%2Fc%2B%C3%A9!~*'()-_."
+
+
+def test_candidates_are_flagged_where_none_matched(spark):
+    got = observe.candidates_or_all(spark.createDataFrame([("a", "H1")], "query_id string, entity_id string"), spark.createDataFrame([("a",), ("b",)], "query_id string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "H1", False), ("b", None, True)}
+
+
 def test_service_errors(service):
     for call, code in ((lambda: service.evidence("nobody"), "KG_DISEASE_NOT_FOUND"), (lambda: service.evidence("空症"), "KG_EVIDENCE_NOT_FOUND"), (lambda: service.heads_by_feature("Face"), "KG_EVIDENCE_NOT_FOUND"), (lambda: service.heads_by_feature("x"), "KG_ENTITY_NOT_FOUND"), (lambda: service.context(" "), "ANALYSIS_INSUFFICIENT_INPUT"), (lambda: service.analysis("c"), "NOT_IMPLEMENTED")):
         with pytest.raises(gr.EvidenceError) as e:
@@ -123,6 +191,7 @@ def test_explanations(service):
     x = service.explain("Alpha", " 面部有红斑二 ")
     assert [i["evidence_path"] for i in x["observation_evidence_matches"]] == ["甲症 — 表现 — 红斑二", "甲症 — 部位 — 面部"]
     assert len(x["supporting_evidence"]) == 3 and x["risk_warnings"] == [] and x["insufficient_evidence"] == [observe.LACKS_RISK]
+    assert all(i["match_note"] == observe.MATCH_NOTE and i["observation"] == "面部有红斑二" for i in x["observation_evidence_matches"])
     assert service.patient_view("Alpha", "面部")["care_level"] in tx.ADVICE
     assert service.explain("Beta", "别的")["insufficient_evidence"] == [observe.LACKS_MATCH, observe.LACKS_RISK]
 
@@ -145,7 +214,12 @@ def test_labels(spark):
 def test_prompts(service, spark):
     for version in (prompts.V1, prompts.V2, "other"):
         text = service.prompt("Alpha", "红斑", version)["prompt_text"]
-        assert prompts.MARKER in text and "红斑" in text and "证据路径" in text
+        assert prompts.MARKER in text and "红斑" in text and "证据路径" in text and "Alpha" in text
+        assert "知识图谱证据上下文" in text and "不得输出处方、药物剂量" in text and "鉴别诊断：" in text
+    one = spark.range(1)
+    c = lambda v: one.select(prompts.render(v, F.lit(" x "), F.lit("\ty"), F.lit("ctx"))).first()[0]
+    assert "候选疾病： x \n- 用户观察：\ty\n" in c(prompts.V2) and "候选疾病：x\n- 用户观察：y\n" in c(prompts.V1) and "就医/检查建议：" in c(None)
+    assert "用户观察与证据匹配：\n  - 观察：\n  - 匹配情况：\n    - 证据路径：\n    - evidence_text：" in c(prompts.V2)
     d = spark.createDataFrame([("不得输出患病概率",)], "x string")
     assert "# Safety" not in d.select(prompts.with_safety(F.col("x"))).first()[0]
     assert "# Safety" in d.select(prompts.with_safety(F.col("x"), F.lit(""))).first()[0]
@@ -166,8 +240,8 @@ def test_checks(graph):
 def test_containing_takes_both_ways(spark):
     texts = spark.createDataFrame([(1, "x" * 1030 + "needle is here" + "y" * 2000), (2, "no"), (3, ""), (4, "abc")], "id int, text string")
     needles = spark.createDataFrame([("needle is here",), ("eedle",), ("no",), ("",), ("ab",), ("needle is hereX",)], "needle string")
-    few = {tuple(r) for r in observe.containing(texts, needles).select("id", "needle").collect()}
-    many = {tuple(r) for r in observe.containing(texts, needles, most=0).select("id", "needle").collect()}
+    few = {tuple(r) for r in contain.containing(texts, needles).select("id", "needle").collect()}
+    many = {tuple(r) for r in contain.containing(texts, needles, most=0).select("id", "needle").collect()}
     assert few == many == {(1, "needle is here"), (1, "eedle"), (2, "no"), (4, "ab")}
 
 
@@ -175,8 +249,8 @@ def test_containing_repeats_repeated_rows_both_ways(spark):
     long = "x" * 1020 + "needle" + "y" * 1020 + "needle" + "no" * 600
     texts = spark.createDataFrame([(1, long), (1, long), (2, "no needle"), (2, "no needle")], "id int, text string")
     needles = spark.createDataFrame([("needle",), ("needle",), ("no",), ("needle is here",)], "needle string")
-    few = sorted(map(tuple, observe.containing(texts, needles).select("id", "needle").collect()))
-    many = sorted(map(tuple, observe.containing(texts, needles, most=0).select("id", "needle").collect()))
+    few = sorted(map(tuple, contain.containing(texts, needles).select("id", "needle").collect()))
+    many = sorted(map(tuple, contain.containing(texts, needles, most=0).select("id", "needle").collect()))
     assert few == many == sorted([(1, "needle"), (2, "needle")] * 4 + [(1, "no"), (2, "no")] * 2)
 
 
