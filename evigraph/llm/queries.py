@@ -141,4 +141,28 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 FROM e JOIN f ON digest = fd
 """
 
-SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op6_cross_polytope": _OP6, "op8_warc": _OP8, "op9_exact_top_k": _OP9}
+#: Rules are mined by listing all sets of tokens that 20 block pages have, in the order of their tokens.
+_OP10 = r"""
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS rn, page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+a AS (SELECT rn, page_id, url, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+c AS (SELECT rn, page_id, url, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM a),
+t AS (SELECT rn, page_id, host, path, list_sort(list_distinct(list_concat(
+  CASE WHEN strpos(url, '://') > 1 THEN ['s:' || substr(url, 1, strpos(url, '://') - 1)] ELSE [] END,
+  list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+  list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> ''), lambda x: 'p:' || x),
+  list_transform(list_filter(list_transform(string_split(regexp_extract(coalesce(url, ''), '\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''), lambda x: 'q:' || x),
+  CASE WHEN url LIKE '%#%' THEN ['f:'] ELSE [] END))) AS tok FROM c),
+k AS (SELECT doc_id, max(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS block FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+l AS (SELECT rn, tok, block FROM t JOIN k ON page_id = doc_id),
+n AS (SELECT count(*) AS total, count(*) FILTER (block) AS blocked FROM l),
+i AS (SELECT x, count(*) AS hits FROM (SELECT unnest(tok) AS x FROM l WHERE block) GROUP BY x HAVING count(*) >= 20),
+s(items) AS (SELECT [x] FROM i UNION ALL SELECT list_append(items, x) FROM s JOIN i ON x > items[-1] WHERE (SELECT count(*) FROM l WHERE block AND list_has_all(tok, list_append(items, x))) >= 20),
+f AS (SELECT items, (SELECT count(*) FROM l WHERE block AND list_has_all(tok, items)) AS hits, (SELECT count(*) FROM l WHERE list_has_all(tok, items)) AS freq FROM s),
+r AS (SELECT items FROM f, n WHERE hits >= 20 AND hits / freq >= 0.6 AND hits / freq >= 1.5 * blocked / total),
+m AS (SELECT DISTINCT rn FROM t JOIN r ON list_has_all(tok, items)),
+g(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+b AS (SELECT rn, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM t JOIN g ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rn)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m.rn IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM t LEFT JOIN b ON b.rn = t.rn LEFT JOIN m ON m.rn = t.rn
+"""
+
+SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op6_cross_polytope": _OP6, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10}

@@ -1,14 +1,17 @@
 """URL filters: given rules by host and path, and mined association rules for the rest.
 
 FP-growth mines combinations of URL tokens, together with the label, from labelled pages. Combinations whose confidence,
-support and lift reach given bounds become block rules. Rules are matched by an inverted index: a rule stands under its rarest
-token, so a URL meets only rules that it shares that token with, and is then tested for all of a rule's tokens.
+support and lift reach given bounds become block rules. Tokens that the same labelled pages have, as the query keys of one
+template, are one class: any combination of them says what one of them says, so a class is mined as one token and a rule asks
+for any token of each of its classes. That is exactly what all combinations of single tokens would match, without two to the
+power of a class's tokens of them. Rules are matched by an inverted index: a rule stands under the tokens of its rarest class,
+so a URL meets only rules that it shares one of these with, and is then tested for all of a rule's classes.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
@@ -47,34 +50,63 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
+def _times(n: Column) -> list[Column]:
+    """Two columns that repeat a row n times, without an array of n."""
+    return [F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 4_096))).alias("many"), F.explode(F.sequence(F.lit(1), F.least(F.lit(4_096), n - 4_096 * F.col("many")))).alias("some")]
+
+
+def classes(sets: DataFrame, min_count: int) -> DataFrame:
+    """(item, class, n) of each token that min_count rows have, from (items, n): the class is the least token of the same rows."""
+    x = sets.select("n", F.explode("items").alias("item"), F.xxhash64("items").alias("h1"), F.xxhash64(F.lit(7), "items").alias("h2"))
+    x = x.groupBy("item").agg(F.sum("n").alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where(F.col("n") >= min_count)
+    return x.select("item", F.min("item").over(Window.partitionBy("n", "h1", "h2")).alias("class"), "n")
+
+
 def mine(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = 0.6, min_lift: float = 1.5, min_count: int = 20) -> DataFrame:
-    """(key, items, confidence, support): block rules from rows of (items, block).
+    """(key, items, any_of, confidence, support): block rules from rows of (items, block).
 
     A combination is frequent that min_count rows have, however many rows there are, or min_support of all rows where that is
-    more. Frequent tokens, which the driver holds, number at most all tokens of all rows over min_count. key is the item of a
-    rule that fewest rows have. No labelled rows give no rules.
+    more. Frequent tokens, which the driver holds, number at most all tokens of all rows over min_count. items are the least
+    tokens of a rule's classes, any_of the tokens of each of them; a rule has a row for each token, key, of the class that
+    fewest rows have. No labelled rows give no rules.
+
+    FP-growth has no bound on the combinations of different classes; k that nearly always come together, but not quite, are two
+    to the power of k combinations.
     """
     spark = labelled.sparkSession
-    x = labelled.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0)
-    total, blocked = labelled.agg(F.count(F.lit(1)), F.count_if("block")).first()
+    none = spark.createDataFrame([], "key string, items array<string>, any_of array<array<string>>, confidence double, support double")
+    sets = written(labelled.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.count_if("block").alias("b")), "labelled-sets")
+    total, blocked = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     if not total or not blocked:
-        return spark.createDataFrame([], "key string, items array<string>, confidence double, support double")
+        return none
+    of = written(classes(sets, min_count), "token-classes")
+    mapped = sets.select("items", "n", "b", F.explode("items").alias("item")).join(of.select("item", "class"), "item").groupBy("items", "n", "b").agg(F.collect_set("class").alias("classes"))
+    with_label = F.concat("classes", F.array(F.lit(BLOCK_ITEM)))
+    x = mapped.select(F.explode(F.array(F.struct(F.col("b").alias("n"), with_label.alias("items")), F.struct((F.col("n") - F.col("b")).alias("n"), F.col("classes").alias("items")))).alias("x")).select("x.*").where(F.col("n") > 0)
+    many, some = _times(F.col("n"))
+    x = x.select("n", "items", many).select("items", some).select("items")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total)), minConfidence=min_confidence, numPartitions=parts).fit(x).freqItemsets
-    sets = sets.withColumn("set", F.array_join(F.array_sort(F.array_remove("items", BLOCK_ITEM)), _SEP)).withColumn("with", F.array_contains("items", BLOCK_ITEM))
+    # FPGrowth takes its share of the rows that it gets: those of no frequent token are none of them
+    kept = mapped.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not kept:
+        return none
+    mined = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support * total, min_count) / kept), minConfidence=min_confidence, numPartitions=parts).fit(x).freqItemsets
+    mined = mined.withColumn("set", F.array_join(F.array_sort(F.array_remove("items", BLOCK_ITEM)), _SEP)).withColumn("with", F.array_contains("items", BLOCK_ITEM))
     # antecedent and antecedent-with-label meet under the antecedent's key: one aggregation instead of a self join
-    rules = sets.groupBy("set").agg(F.max(F.when(F.col("with"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("with"), F.col("freq"))).alias("freq")).where(F.col("set") != "")
+    rules = mined.groupBy("set").agg(F.max(F.when(F.col("with"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("with"), F.col("freq"))).alias("freq")).where(F.col("set") != "")
     rules = rules.withColumn("confidence", F.col("hits") / F.col("freq")).where((F.col("hits") >= min_count) & (F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * blocked / total))
     rules = rules.select("set", F.split("set", _SEP).alias("items"), "confidence", (F.col("hits") / total).alias("support"))
-    single = sets.where(~F.col("with") & (F.size("items") == 1)).select(F.col("set").alias("item"), F.col("freq").alias("item_freq"))
-    keyed = rules.select("*", F.explode("items").alias("item")).join(single, "item").groupBy("set").agg(F.min(F.struct("item_freq", "item"))["item"].alias("key"), F.first("items").alias("items"), F.max("confidence").alias("confidence"), F.max("support").alias("support"))
-    return keyed.select("key", "items", "confidence", "support")
+    groups = of.groupBy("class").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("item")).alias("tokens"))  # tokens of one URL at most
+    x = rules.select("*", F.explode("items").alias("class")).join(groups, "class").groupBy("set").agg(
+        F.min(F.struct("n", "class", "tokens"))["tokens"].alias("keys"), F.first("items").alias("items"), F.collect_list("tokens").alias("any_of"), F.max("confidence").alias("confidence"), F.max("support").alias("support"),
+    )
+    return x.select(F.explode("keys").alias("key"), "items", "any_of", "confidence", "support")
 
 
 def fired(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """(set, confidence): the best rule of each token set that one matches."""
     x = sets.select("set", F.split("set", _SEP).alias("tokens")).select("*", F.explode("tokens").alias("key")).join(rules, "key")
-    return x.where(F.size(F.array_except("items", "tokens")) == 0).groupBy("set").agg(F.max("confidence").alias("confidence"))
+    return x.where(F.forall("any_of", lambda c: F.arrays_overlap(c, F.col("tokens")))).groupBy("set").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", **bounds) -> DataFrame:
@@ -83,7 +115,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     verdict is that of the longest given rule, else block where a mined rule matches, else allow; confidence is the mined
     rule's, or null. Labels are joined by id; a page of quality 0 or toxic 1 is a block example, a label with both null none.
     bounds are those of mine(): by default 20 pages make a combination, of confidence 0.6 and lift 1.5 or more.
-    A url that is null or has no :// has an empty host and path. Repeated rows stay repeated; an empty table gives no rows.
+    A url that is null or has no :// has an empty host and path. Urls of any length are taken whole, with as many tokens as they
+    have. Repeated rows stay repeated; other columns are not looked at; an empty table gives no rows.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     p = p.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens")).withColumn("set", F.array_join("tokens", _SEP))

@@ -398,9 +398,50 @@ def test_mined_rules_are_those_of_counting(spark):
     assert rules[frozenset({"h:spam", "p:y"})] == (1.0, 34 / 200)
 
 
+def every_rule(rows, least, confidence, lift):
+    """All token sets that make a rule, by listing all subsets of all rows."""
+    base, sets = sum(b for _, b in rows) / len(rows), set()
+    for items, _ in rows:
+        for m in range(1, 2 ** len(items)):
+            sets.add(frozenset(x for i, x in enumerate(sorted(items)) if m >> i & 1))
+    out = []
+    for s in sets:
+        freq, hits = sum(s <= set(i) for i, _ in rows), sum(s <= set(i) for i, b in rows if b)
+        if hits >= least and hits / freq >= max(confidence, lift * base):
+            out.append((s, hits / freq))
+    return out
+
+
+@pytest.mark.parametrize("salt", [1, 2, 3])
+def test_mined_rules_match_what_listing_all_combinations_does(spark, salt):
+    """Tokens a, b and c always come together, d with e sometimes; pages with only some of a class are judged, too."""
+    rng = np.random.default_rng(salt)
+    rows = []
+    for _ in range(120):
+        items = [x for x, p in (("d", 0.5), ("e", 0.4), ("f", 0.3)) if rng.random() < p] + (["a", "b", "c"] if rng.random() < 0.4 else [])
+        rows.append((items, bool(rng.random() < 0.2 + 0.5 * ("a" in items) * ("d" in items))))
+    rules = url_rules.mine(spark.createDataFrame(rows, "items array<string>, block boolean"), min_lift=1.2, min_count=8)
+    assert not any({"b", "c"} & set(r["items"]) for r in rules.collect())
+    pages = [[x for i, x in enumerate("abcdefg") if m >> i & 1] for m in range(1, 128)]
+    sets = spark.createDataFrame([("\x01".join(p),) for p in pages], "set string")
+    got = {r["set"]: r["confidence"] for r in url_rules.fired(sets, rules).collect()}
+    want = {}
+    for p in pages:
+        fit = [c for s, c in every_rule(rows, 8, 0.6, 1.2) if s <= set(p)]
+        if fit:
+            want["\x01".join(p)] = max(fit)
+    assert got == pytest.approx(want) and got
+
+
+def test_many_tokens_that_always_come_together(spark):
+    rows = spark.range(100).select(F.when(F.col("id") < 30, F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("q:k"), i.cast("string")))).otherwise(F.array(F.lit("h:x"))).alias("items"), (F.col("id") < 30).alias("block"))
+    got = url_rules.mine(rows).collect()
+    assert len(got) == 60 and {tuple(r["items"]) for r in got} == {("q:k1",)} and len(got[0]["any_of"][0]) == 60
+
+
 def test_rules_of_few_pages_are_mined_in_large_tables(spark):
     rows = spark.range(20_000).select(F.array(F.when(F.col("id") < 25, "h:spam").otherwise("h:good")).alias("items"), (F.col("id") < 25).alias("block"))
-    assert [(r["items"], r["confidence"]) for r in url_rules.mine(rows).collect()] == [(["h:spam"], 1.0)]
+    assert [(r["key"], r["items"], r["confidence"]) for r in url_rules.mine(rows).collect()] == [("h:spam", ["h:spam"], 1.0)]
 
 
 def test_url_tokens(spark):
