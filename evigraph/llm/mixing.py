@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from .common import spare, written
 
 SEED, SHARE, REPEATS = 17, 1.5, 2
-_BITS = 10
+#: Sets of sources that the driver takes: a flow among more would not suit it.
+PATTERNS = 100_000
+#: Bits of a document's hash, and bits that are looked at in one pass.
+_HASH, _BITS = 60, 10
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,7 +52,7 @@ def route(patterns: dict[tuple, int], targets: dict, repeats: int) -> dict[tuple
     """
     flow: dict[tuple, dict] = {p: dict.fromkeys(p, 0) for p in patterns}
     members: dict = {s: [p for p in patterns if s in p] for s in targets}
-    left = {s: int(round(t)) for s, t in targets.items()}
+    left = {s: int(t + 0.5) for s, t in targets.items()}
     for layer in range(1, repeats + 1):  # costs only rise with the layer, so a layer is used up before the next is looked at
         room = dict(patterns)
         while True:
@@ -101,7 +104,11 @@ class Mix:
 
 def _lean(docs: DataFrame, member: Column, id_col: str, text_col: str, seed: int) -> DataFrame:
     """(doc_id, sources, size, h); h ranks a document within its pattern, the same in every run."""
-    return docs.select(F.col(id_col).alias("doc_id"), member.alias("sources"), words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
+    return docs.select(F.col(id_col).alias("doc_id"), member.alias("sources"), words(F.col(text_col)).alias("size"), _hash(seed, F.col(id_col), F.col(text_col)).alias("h"))
+
+
+def _hash(seed: int, id_: Column, text: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), id_.cast("string"), text)), 1, _HASH // 4), 16, 10).cast("long")
 
 
 def _pattern_key(sources: Column) -> Column:
@@ -121,8 +128,8 @@ def _last_hash(lean: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
         if not todo:
             return {}
         state = spark.createDataFrame([(p, n, prefix) for p, (n, prefix, _) in todo.items()], "pattern string, wanted long, prefix long")
-        x = lean.join(F.broadcast(state), "pattern").withColumn("bucket", F.shiftrightunsigned(F.col("h"), 64 - bits))
-        x = x.where(F.shiftrightunsigned(F.col("h"), 64 - bits + _BITS) == F.col("prefix")) if bits > _BITS else x
+        x = lean.join(F.broadcast(state), "pattern").withColumn("bucket", F.shiftright(F.col("h"), _HASH - bits))
+        x = x.where(F.shiftright(F.col("h"), _HASH - bits + _BITS) == F.col("prefix")) if bits > _BITS else x
         x = x.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"), F.first("wanted").alias("wanted"))
         x = x.withColumn("sum", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")))
         cut = x.where((F.col("sum") >= F.col("wanted")) & (F.col("sum") - F.col("n") < F.col("wanted"))).select("pattern", "bucket", (F.col("wanted") - F.col("sum") + F.col("n")).alias("rest")).collect()
@@ -130,32 +137,31 @@ def _last_hash(lean: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
     if not todo:
         return {}
     state = spark.createDataFrame([(p, n, prefix) for p, (n, prefix, _) in todo.items()], "pattern string, wanted long, prefix long")
-    x = lean.join(F.broadcast(state), "pattern").where(F.shiftrightunsigned(F.col("h"), 64 - 2 * _BITS) == F.col("prefix"))
-    x = x.withColumn("u", F.shiftrightunsigned(F.shiftleft(F.col("h"), 2 * _BITS), 2 * _BITS)).groupBy("pattern", "u", "h").agg(F.sum("size").alias("n"), F.first("wanted").alias("wanted"))
-    x = x.withColumn("sum", F.sum("n").over(Window.partitionBy("pattern").orderBy("u")))
-    # before the first of the bucket, or at the document that comes nearest
-    near = x.groupBy("pattern").agg(F.min_by("h", F.struct(F.abs(F.col("sum") - F.col("wanted")), "u")).alias("h"), F.min(F.abs(F.col("sum") - F.col("wanted"))).alias("off"), F.first("wanted").alias("wanted")).collect()
-    out = {r["pattern"]: r["h"] for r in near if r["off"] <= r["wanted"]}
+    x = lean.join(F.broadcast(state), "pattern").where(F.shiftright(F.col("h"), _HASH - 2 * _BITS) == F.col("prefix"))
+    x = x.groupBy("pattern", "h").agg(F.sum("size").alias("n"), F.first("wanted").alias("wanted"))
+    x = x.withColumn("sum", F.sum("n").over(Window.partitionBy("pattern").orderBy("h")))
+    # before the first of the bucket, or at the document that comes nearest; where both are as near, before
+    near = x.groupBy("pattern").agg(F.min_by("h", F.struct(F.abs(F.col("sum") - F.col("wanted")), "h")).alias("h"), F.min(F.abs(F.col("sum") - F.col("wanted"))).alias("off"), F.first("wanted").alias("wanted")).collect()
+    out = {r["pattern"]: r["h"] for r in near if r["off"] < r["wanted"]}
     for r in near:  # nothing of this bucket: up to the last hash before it
         if r["pattern"] not in out:
             prefix = todo[r["pattern"]][1]
             if prefix > 0:
-                out[r["pattern"]] = _signed(((prefix << (64 - 2 * _BITS)) - 1) & (2**64 - 1))
+                out[r["pattern"]] = (prefix << (_HASH - 2 * _BITS)) - 1
     return out
 
 
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
-
-
 def plan(docs: DataFrame, member: Column, weights, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mix]:
     """The documents' lean table and the mix.
 
     member: the distinct sources of a document, sorted; weights: of the sorted list of all sources, nulls last, gives theirs.
-    Patterns and sources come to the driver, so their numbers must suit a driver (some ten thousand); documents don't.
+    Patterns and sources come to the driver and are broadcast, which suits PATTERNS of them; more are an error. Documents don't
+    come to the driver.
     """
     lean = written(_lean(docs, member, id_col, text_col, seed).withColumn("pattern", _pattern_key(F.col("sources"))), "mix-lean")
-    patterns = lean.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("n")).collect()
+    patterns = lean.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("n")).limit(PATTERNS + 1).collect()
+    if len(patterns) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} sets of sources; mix by a coarser column")
     by = {tuple(r["sources"]): r["n"] for r in patterns}
     key = {tuple(r["sources"]): r["pattern"] for r in patterns}
     sizes: dict = {}
@@ -173,9 +179,7 @@ def plan(docs: DataFrame, member: Column, weights, share: float = SHARE, repeats
 
 
 def _copies(full: Column, last: Column, h: Column) -> Column:
-    """Hashes are compared as unsigned numbers: flipping the sign bit puts them in that order."""
-    flip = lambda c: c.bitwiseXOR(F.lit(-(2**63)))
-    return full + F.coalesce(flip(h) <= flip(last), F.lit(False)).cast("int")
+    return full + F.coalesce(h <= last, F.lit(False)).cast("int")
 
 
 def _uses(spark, m: Mix) -> DataFrame:
@@ -209,7 +213,7 @@ def mix_by_source(docs: DataFrame, weights=cycle(5, 2, 1), share: float = SHARE,
 def mixed(docs: DataFrame, weights=cycle(5, 2, 1), share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix uses it, with docs' columns."""
     _, m = plan(docs, F.array(F.col(source_col)), weights, share, repeats, seed, id_col, text_col)
-    h = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
+    h = _hash(seed, docs[id_col], docs[text_col])
     uses = docs.sparkSession.createDataFrame(m.uses, "use_pattern string, full int, last long").select(F.struct("*").alias("use"))
     x = docs.join(F.broadcast(uses), _pattern_key(F.array(docs[source_col])) == uses["use"]["use_pattern"])  # a row a pattern
     once = spare(docs, "copy")

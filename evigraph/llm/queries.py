@@ -113,6 +113,25 @@ SELECT doc_id, CAST(max(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (lost) AS
 FROM m GROUP BY rn, doc_id
 """
 
+#: Of single sources the flow is what the targets say. Caps that hold are those of the least size by weight; cuts are where the sum
+#: of sizes in the order of the hash comes nearest to what is left after whole uses.
+_OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, CAST(1.5 AS DOUBLE) * sum(n) OVER () AS total, coalesce(sum(2 * n) OVER (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, row_number() OVER (ORDER BY 2 * n / w, source NULLS LAST) AS place FROM s),
+f AS (SELECT min(place) AS place, arg_min(total - before, place) AS rest, arg_min(open, place) AS open FROM o WHERE NOT (total - before) * w / open > 2 * n),
+t AS (SELECT source, n, CASE WHEN f.place IS NULL OR o.place < f.place THEN CAST(2 * n AS DOUBLE) ELSE f.rest * w / f.open END AS target FROM o, f),
+u AS (SELECT *, least(2 * n, CAST(floor(target + 0.5) AS BIGINT)) AS taken FROM t),
+v AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE least(2, taken // n) END AS whole FROM u),
+c AS (SELECT v.source, x.h, v.taken - v.whole * v.n AS wanted, sum(x.size) OVER (PARTITION BY v.source ORDER BY x.h) AS upto FROM (SELECT source, h, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY ALL) x JOIN v ON x.source IS NOT DISTINCT FROM v.source),
+e AS (SELECT source, h, wanted, row_number() OVER (PARTITION BY source ORDER BY abs(upto - wanted), h) AS r, abs(upto - wanted) AS off FROM c WHERE wanted > 0),
+k AS (SELECT source, h AS last FROM e WHERE r = 1 AND off < wanted)
+SELECT d.doc_id, d.size, v.n AS source_size, v.target, CAST(d.size * (v.whole + CASE WHEN d.h <= k.last THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source
+"""
+
 #: Tables of up to ann.EXACT_ROWS different vectors are searched exactly; products are summed from the first component on.
 _OP6 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -165,4 +184,4 @@ b AS (SELECT rn, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, lengt
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m.rn IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM t LEFT JOIN b ON b.rn = t.rn LEFT JOIN m ON m.rn = t.rn
 """
 
-SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op6_cross_polytope": _OP6, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10}
+SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op4_source_mix": _OP4, "op6_cross_polytope": _OP6, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10}
