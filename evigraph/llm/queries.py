@@ -149,6 +149,26 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: Bytes are written in hex. Each word is matched step by step: of the pieces that it goes on with the longest.
+_OP7 = r"""
+WITH RECURSIVE v AS (SELECT hex(from_base64(t)) AS x FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'BIGINT'}})),
+one AS (SELECT printf('%02X', i) AS x FROM range(256) AS g(i) WHERE i <> 32 AND i NOT BETWEEN 9 AND 13),
+clean AS (SELECT x FROM v WHERE NOT list_has_any(regexp_extract_all(x, '..'), ['20', '09', '0A', '0B', '0C', '0D'])),
+p AS (SELECT DISTINCT true AS head, substr(x, 3) AS x FROM v WHERE starts_with(x, '20') AND length(x) > 2 AND NOT list_has_any(regexp_extract_all(substr(x, 3), '..'), ['20', '09', '0A', '0B', '0C', '0D']) UNION SELECT true, x FROM one UNION SELECT false, x FROM clean UNION SELECT false, x FROM one),
+longest AS (SELECT max(length(x)) // 2 AS n FROM p),
+d AS (SELECT row_number() OVER () AS rn, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+u AS (SELECT rn, hex(unnest(words)) AS w FROM d),
+r(w, pos, n) AS (
+  SELECT DISTINCT w, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM u
+  UNION ALL
+  SELECT w, pos + max(length(x)), n + 1 FROM (SELECT w, pos, n, substr(w, pos + 1, 2 * l) AS part FROM (SELECT w, pos, n, unnest(range(1, least((SELECT n FROM longest), (length(w) - pos) // 2) + 1)) AS l FROM r WHERE pos < length(w)) y) z
+  JOIN p ON p.x = z.part AND p.head = (z.pos = 0) GROUP BY w, pos, n
+),
+c AS (SELECT w, max(n) AS n FROM r GROUP BY w),
+k AS (SELECT rn, count(*) AS n_words, sum(n) AS n_pieces, max(n) AS longest FROM u JOIN c USING (w) GROUP BY rn)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_pieces, 0) AS BIGINT) AS n_pieces, coalesce(k.longest, 0) AS longest_word_pieces FROM d LEFT JOIN k USING (rn)
+""".format(path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
 _OP8 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, upper(sha1(h)) AS x FROM p),
@@ -184,4 +204,4 @@ b AS (SELECT rn, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, lengt
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m.rn IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM t LEFT JOIN b ON b.rn = t.rn LEFT JOIN m ON m.rn = t.rn
 """
 
-SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op4_source_mix": _OP4, "op6_cross_polytope": _OP6, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10}
+SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op4_source_mix": _OP4, "op6_cross_polytope": _OP6, "op7_token_counts": _OP7, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10}

@@ -110,7 +110,8 @@ def token_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     """(doc_id, n_words, n_pieces, longest_word_pieces) of every row of docs.
 
     Words are runs of `[^\\x20\\x09-\\x0D]`, matched by their UTF-8 bytes; each is counted from its own beginning. A null or
-    empty text has no words. Repeated rows stay repeated. Other columns are not looked at.
+    empty text has no words. Texts and words of any length are counted whole, a word's bytes in one pass. Repeated rows stay
+    repeated. Other columns are not looked at. An empty table gives no rows.
     """
 
     def run(batches):

@@ -185,9 +185,22 @@ def test_automaton_counts_like_greedy_matching(heads, tails, word):
 def test_token_counts(documents, texts, empty):
     heads, tails = map(set, word_pieces.pieces_of_ranks(RANKS))
     got = {r["doc_id"]: tuple(r)[1:] for r in word_pieces.token_counts(documents, RANKS).collect()}
-    for i, t in enumerate(texts):
-        n = [greedy(w, heads, tails) for w in (t or "").encode().split()[:200]]
-        if len((t or "").split()) <= 200:
-            assert got[i] == (len(n), sum(n), max(n, default=0))
+    longest = max(map(len, heads | tails))
+    known: dict = {}
+
+    def pieces(word):
+        if word not in known:
+            n = i = 0
+            while i < len(word):
+                i, n = next(j for j in range(min(len(word), i + longest), i, -1) if word[i:j] in (tails if i else heads)), n + 1
+            known[word] = n
+        return known[word]
+
+    for i, t in enumerate(texts):  # whole texts, the very long one too
+        n = [pieces(w) for w in (t or "").encode().split()]
+        assert got[i] == (len(n), sum(n), max(n, default=0))
+    assert max(x[0] for x in got.values()) == 30_000
+    long = documents.sparkSession.createDataFrame([(1, "ab" * 50_000 + " é" + "\n" * 99)], "doc_id long, text string")
+    assert tuple(word_pieces.token_counts(long, RANKS).first()) == (1, 2, pieces(b"ab" * 50_000) + pieces("é".encode()), pieces(b"ab" * 50_000))
     assert word_pieces.token_counts(empty, RANKS).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
