@@ -2,8 +2,12 @@
 
 A text of more than `chunk` characters is cut into chunks that overlap. Chunks are pre-tokenised apart, so that one very long
 text is the work of many tasks, and stitched where the pre-token boundaries of two neighbours meet again: from a common
-boundary on both see the same text with a pattern that looks only ahead, so all later boundaries agree. Pieces are then
-encoded by the merge ranks; decoding concatenates the tokens' raw bytes.
+boundary on both see the same text with a pattern that looks only ahead, so all later boundaries agree. Only boundaries within
+the overlaps are needed for that. Each chunk then encodes the pieces between its two cuts, again in many tasks, and decodes
+them by concatenating the tokens' raw bytes; what is left is to join the bytes. A text in which two neighbours share no
+boundary, as in a piece longer than the overlap, is stitched and encoded by one task.
+
+A piece's merges by rank are the tiktoken library's own, and remembered.
 """
 
 from __future__ import annotations
@@ -14,10 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import written
 
 CHUNK, OVERLAP = 65_536, 1_024
 #: A boundary this near to a chunk's end is not trusted: the pattern may look that far ahead.
@@ -120,35 +124,78 @@ def _whole(path: str, pattern: str):
 def _cut(chunk: int, overlap: int):
     def run(batches):
         for b in batches:
-            for doc_id, key, text in zip(b.column("doc_id"), b.column("row_key"), b.column("text")):
+            for doc_id, row, text in zip(b.column("doc_id"), b.column("row"), b.column("text")):
                 for start, part in chunks(text.as_py(), chunk, overlap):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([key.as_py()], pa.int64()), pa.array([start], pa.int64()), pa.array([part], pa.string())], ["doc_id", "row_key", "start", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([row.as_py()], pa.int64()), pa.array([start], pa.int64()), pa.array([part], pa.string())], ["doc_id", "row", "start", "part"])
 
     return run
 
 
-def _pretokenise(path: str, pattern: str):
+def _pretokenise(path: str, pattern: str, chunk: int, overlap: int):
+    """Chunks with the lengths of their pieces, the boundaries that they share with the chunk before (head) and after (tail)."""
+
     def run(batches):
         t = tokenizer(path, pattern)
         for b in batches:
-            lengths = [np.array([len(p) for p in t.pieces(x)], dtype="<u4").tobytes() for x in b.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lengths, pa.binary())], [*b.schema.names, "lengths"])
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                text, start = one.column("part")[0].as_py(), one.column("start")[0].as_py()
+                lengths = np.array([len(p) for p in t.pieces(text)], dtype="<u4")
+                ends = start + np.cumsum(lengths, dtype=np.int64)
+                head = np.concatenate([[start], ends[:-1]])
+                tail = ends[(ends >= start + chunk) & (ends <= start + len(text) - MARGIN)]
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([lengths.tobytes()], pa.binary()), pa.array([head[head <= start + overlap].tolist()], pa.list_(pa.int64())), pa.array([tail.tolist()], pa.list_(pa.int64()))], [*one.schema.names, "lengths", "head", "tail"])
 
     return run
 
 
-def _join(path: str, pattern: str):
-    def run(key, group):
+def _pieces_of(part: str, lengths: bytes) -> tuple[list[str], np.ndarray]:
+    ends = np.cumsum(np.frombuffer(lengths, dtype="<u4").astype(np.int64))
+    return [part[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], ends
+
+
+def _between_cuts(path: str, pattern: str):
+    def run(batches):
         t = tokenizer(path, pattern)
-        group = group.sort_values("start").drop_duplicates("start")
-        parts = []
-        for start, part, lengths in zip(group["start"], group["part"], group["lengths"]):
-            ends = np.cumsum(np.frombuffer(lengths, dtype="<u4").astype(np.int64)).tolist()
-            parts.append((int(start), part, [part[a:b] for a, b in zip([0, *ends], ends)]))
-        ids = t.encode_pieces(stitch(parts, t.pieces))
+        for b in batches:
+            for doc_id, row, start, part, lengths, begin, end in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "start", "part", "lengths", "begin", "end"))):
+                pieces, ends = _pieces_of(part, lengths)
+                first = 0 if begin == start else int(np.searchsorted(ends, begin - start)) + 1
+                last = len(pieces) if end is None else int(np.searchsorted(ends, end - start)) + 1
+                ids = t.encode_pieces(pieces[first:last])
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([row], pa.int64()), pa.array([start], pa.int64()), pa.array([ids], pa.binary()), pa.array([t.decode(ids)], pa.binary())], ["doc_id", "row", "start", "ids", "decoded"])
+
+    return run
+
+
+def _joined(batches):
+    """The bytes of chunks that come sorted by row and start, row by row."""
+
+    def given(doc_id, ids, decoded):
+        return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([b"".join(ids)], pa.binary()), pa.array([b"".join(decoded)], pa.binary())], ["doc_id", "ids", "decoded"])
+
+    now, held = None, None
+    for b in batches:
+        for doc_id, row, ids, decoded in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "ids", "decoded"))):
+            if row != now:
+                if held:
+                    yield given(*held)
+                now, held = row, (doc_id, [], [])
+            held[1].append(ids)
+            held[2].append(decoded)
+    if held:
+        yield given(*held)
+
+
+def _in_one_task(path: str, pattern: str):
+    def run(key, group):
         import pandas as pd
 
-        return pd.DataFrame({"doc_id": pd.array([key[0]], "Int64"), "row_key": [key[1]], "ids": [ids], "decoded": [t.decode(ids)]})
+        t = tokenizer(path, pattern)
+        group = group.sort_values("start")
+        parts = [(int(start), part, _pieces_of(part, lengths)[0]) for start, part, lengths in zip(group["start"], group["part"], group["lengths"])]
+        ids = t.encode_pieces(stitch(parts, t.pieces))
+        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in group["doc_id"][:1]], "Int64"), "ids": [ids], "decoded": [t.decode(ids)]})
 
     return run
 
@@ -157,19 +204,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers, decoded as the raw bytes that they stand for.
 
     A null text counts as empty and has no ids. Strings of special tokens are ordinary text. Repeated rows stay repeated; rows
-    with no id are encoded too. Other columns are not looked at.
+    with no id are encoded too. Other columns are not looked at. An empty table gives no rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = "doc_id long, ids binary, decoded binary"
     short = d.where(F.char_length("text") <= chunk).mapInArrow(_whole(ranks_path, pattern), out)
-    long = d.where(F.char_length("text") > chunk).withColumn("row_key", row_key("text"))
-    n = long.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
-    parts = long.dropDuplicates(["doc_id", "row_key"]).mapInArrow(_cut(chunk, overlap), "doc_id long, row_key long, start long, part string")
-    parts = parts.repartition("doc_id", "row_key", "start").mapInArrow(_pretokenise(ranks_path, pattern), "doc_id long, row_key long, start long, part string, lengths binary")
-    joined = parts.groupBy("doc_id", "row_key").applyInPandas(_join(ranks_path, pattern), "doc_id long, row_key long, ids binary, decoded binary")
-    n = n.select(F.col("doc_id").alias("n_id"), F.col("row_key").alias("n_key"), "n")
-    joined = joined.join(n, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("row_key") == F.col("n_key"))).select("doc_id", "ids", "decoded", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    return short.unionByName(joined.select("doc_id", "ids", "decoded"))
+    # a row's number tells texts apart for as long as the chunks are not written, which is one job
+    long = d.where(F.char_length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    cols = "doc_id long, row long, start long, part string"
+    x = long.mapInArrow(_cut(chunk, overlap), cols).repartition("row", "start")
+    x = written(x.mapInArrow(_pretokenise(ranks_path, pattern, chunk, overlap), f"{cols}, lengths binary, head array<long>, tail array<long>"), "bpe-chunks")
+    if x.isEmpty():
+        return short
+    w = Window.partitionBy("row").orderBy("start")
+    cuts = x.select("row", "start", "tail", F.lead("head").over(w).alias("next")).withColumn("end", F.array_min(F.array_intersect("tail", "next")))
+    cuts = cuts.select("row", "start", "end", F.coalesce(F.lag("end").over(w), F.lit(0)).alias("begin"), F.max(F.col("next").isNotNull() & F.col("end").isNull()).over(Window.partitionBy("row")).alias("apart"))
+    x = x.join(cuts, ["row", "start"])
+    encoded = x.where(~F.col("apart")).mapInArrow(_between_cuts(ranks_path, pattern), "doc_id long, row long, start long, ids binary, decoded binary")
+    encoded = encoded.repartition("row").sortWithinPartitions("row", "start").mapInArrow(_joined, out)
+    whole = x.where("apart").select("doc_id", "row", "start", "part", "lengths").groupBy("row").applyInPandas(_in_one_task(ranks_path, pattern), out)
+    return short.unionByName(encoded).unionByName(whole)
 
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

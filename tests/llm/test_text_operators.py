@@ -153,6 +153,10 @@ def test_encoding_is_that_of_the_library(documents, texts, reference, empty):
     for chunk in (4_000, 10**6):  # stitched, and whole
         got = Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode(more, RANKS, P.PATTERN, chunk=chunk, overlap=64).collect())
         assert got == want
+    # a text whose chunks meet everywhere, one with a piece longer than the overlap, and a repeated row
+    long = [(1, "ab cd, ef " * 4_000), (2, "ab " * 3_000 + "x" * 9_000 + " cd" * 2_000), (1, "ab cd, ef " * 4_000), (None, "né \U0001f600\n" * 3_000)]
+    got = bpe.encode(documents.sparkSession.createDataFrame(long, "doc_id long, text string"), RANKS, P.PATTERN, chunk=3_000, overlap=64)
+    assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got.collect()) == Counter((i, np.array(reference.encode_ordinary(t), "<u4").tobytes(), t.encode()) for i, t in long)
     back = bpe.decode(bpe.encode(documents, RANKS, P.PATTERN), RANKS, P.PATTERN)
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode(empty, RANKS, P.PATTERN).collect() == []
