@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, strip_blanks, written
+from .common import ascii_lower, row_key, spare, strip_blanks, written
 
 
 def _with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,21 +91,22 @@ def apply_keep(lines: F.Column, keep: F.Column) -> F.Column:
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """The rows of docs with all their columns, the text with its common lines dropped, and line_dedup: struct(n_lines,
+    """The rows of docs with all their columns, the text with its common lines dropped, and last line_dedup: struct(n_lines,
     n_dropped).
 
     A null or empty text is one empty line, which stays. A text that loses all its lines becomes empty. Repeated rows stay
-    repeated. Other columns may have any names; a column line_dedup of docs gives way.
+    repeated. Other columns may have any names; where docs has a line_dedup, underscores follow the new one's name. An empty
+    table gives no rows.
     """
-    docs = docs.drop("line_dedup")
-    marks = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.struct("doc_id", "row_key", "n_dropped", "keep").alias("line_dedup"))
+    name = spare(docs, "line_dedup")
+    marks = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.struct("doc_id", "row_key", "n_dropped", "keep").alias(name))
     text = F.coalesce(docs[text_col], F.lit(""))
     key = F.xxhash64(text.isNull(), text)  # row_key of that text
-    x = docs.join(marks, docs[id_col].eqNullSafe(marks["line_dedup"]["doc_id"]) & (key == marks["line_dedup"]["row_key"]), "left")
-    lines, mark = _lines(text), marks["line_dedup"]
+    x = docs.join(marks, docs[id_col].eqNullSafe(marks[name]["doc_id"]) & (key == marks[name]["row_key"]), "left")
+    lines, mark = _lines(text), marks[name]
     kept = F.when(mark.isNull(), text).otherwise(apply_keep(lines, mark["keep"]))
     counts = F.struct(F.size(lines).cast("long").alias("n_lines"), F.coalesce(mark["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"))
-    return x.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns], counts.alias("line_dedup"))
+    return x.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns], counts.alias(name))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:

@@ -211,7 +211,11 @@ def mix_by_source(docs: DataFrame, weights=cycle(5, 2, 1), share: float = SHARE,
 
 
 def mixed(docs: DataFrame, weights=cycle(5, 2, 1), share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of docs, each as often as the mix uses it, with docs' columns."""
+    """The mix itself: the rows of docs, each as often as the mix uses it, with docs' columns, whatever their names.
+
+    Cases are those of mix_by_source(): a null source is a source, a null text has no size and goes with its hash, an empty
+    table gives no rows.
+    """
     _, m = plan(docs, F.array(F.col(source_col)), weights, share, repeats, seed, id_col, text_col)
     h = _hash(seed, docs[id_col], docs[text_col])
     uses = docs.sparkSession.createDataFrame(m.uses, "use_pattern string, full int, last long").select(F.struct("*").alias("use"))

@@ -359,15 +359,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with all columns of docs: that of the least id.
 
-    Rows of one id are one document, of which the row of the least text hash stays. Rows without id all stay.
+    Rows of one id are one document, of which the row of the least text hash stays. Rows without id all stay, and so do texts
+    that are null or without words. Other columns may have any names. An empty table gives no rows.
     """
-    lost = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("lost_id")).distinct()
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lost_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("lost_id")
+    id_, rank = spare(docs, "lost_id"), spare(docs, "rank")
+    lost = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_)).distinct()
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(id_)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(id_)
     if twice.isEmpty():  # no row but the lost ones has to go, so no text has to be put in order
-        return docs.join(lost, F.col(id_col) == F.col("lost_id"), "left_anti")
+        return docs.join(lost, F.col(id_col) == F.col(id_), "left_anti")
     twice = written(twice, "repeated-ids")
-    once = docs.join(lost.unionByName(twice).distinct(), F.col(id_col) == F.col("lost_id"), "left_anti")
-    rank = spare(docs, "rank")
+    once = docs.join(lost.unionByName(twice).distinct(), F.col(id_col) == F.col(id_), "left_anti")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    again = docs.join(twice.join(lost, "lost_id", "left_anti"), F.col(id_col) == F.col("lost_id"), "left_semi")
+    again = docs.join(twice.join(lost, id_, "left_anti"), F.col(id_col) == F.col(id_), "left_semi")
     return once.unionByName(again.withColumn(rank, first).where(F.col(rank) == 1).drop(rank))

@@ -175,7 +175,8 @@ def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def keep_good(docs: DataFrame, model: Model, cut: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score `cut` or more."""
+    """The rows of docs, with all their columns, that score `cut` or more. A text without terms, as a null or empty one, scores
+    the sample's mean label and so stays where that is `cut` or more. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

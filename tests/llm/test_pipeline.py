@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from test_other_operators import naive_scores
 from test_text_operators import components, dedup
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
-from evigraph.llm import mixing, queries
+from evigraph.llm import mixing, quality, queries
 from evigraph.llm.common import written
 
 DATA = "/root/testdata/sf0.001"
@@ -38,6 +44,9 @@ def test_columns_and_order(stages):
 def test_quality_stage_keeps_rows_as_they_are(spark, stages):
     _, before, after = stages[0]
     a, b = rows(before), rows(after)
+    m = quality.fit(before, spark.read.parquet(f"{DATA}/labels.parquet").where(~queries.held_out()))
+    naive = dict(zip(a, naive_scores(m, [r["text"] for r in a.values()])))
+    assert all((i in b) == (s >= queries.QUALITY_CUT) for i, s in naive.items() if abs(s - queries.QUALITY_CUT) > 1e-4)
     assert all(a[i] == r for i, r in b.items()) and 0.6 * len(a) < len(b) < len(a)
     y = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     assert np.mean([(i in b) == (q == 1) for i, q in y.items()]) >= 0.9
@@ -70,6 +79,91 @@ def test_token_stage(spark, stages):
     assert sorted(map(tuple, cp.run(spark, DATA).collect())) == sorted(map(tuple, after.collect()))
 
 
+def odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, ties, and columns with clashing names."""
+    base = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    some = [(None, None, None, None, None), (None, base[0][1], None, "s", 1), (10**6, None, "en", "s", None), (10**6 + 1, "", "en", None, 0), (10**6 + 2, " \n ", None, None, 3), (10**6 + 3, base[1][1] * 400, "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    d = spark.createDataFrame(base + base[:5] + [(base[7][0], base[8][1], "xx", "s", 2)] + some, schema)
+    clash = ("score", "keep", "line_dedup", "copy", "use", "rank", "rep", "node", "component", "lost_id", "row_key", "h", "pattern", "size", "sources", "tree", "kept_sha256", "ids", "y")
+    return d.withColumns({c: F.lit(i) for i, c in enumerate(clash)}), len(base) + 12
+
+
+def test_every_stage_takes_odd_rows(spark):
+    docs, n = odd_rows(spark)
+    assert docs.count() == n
+    for (name, stage), last in zip(cp.STAGES, [False] * 4 + [True]):
+        after = written(stage(spark, docs, DATA), "odd-stage")
+        got, had = after.collect(), docs.collect()
+        if not last:
+            assert after.columns == docs.columns
+            ids = Counter(r["doc_id"] for r in had)
+            assert all(r["doc_id"] in ids for r in got)
+        if name == "quality classifier":
+            assert Counter(map(repr, got)) <= Counter(map(repr, had))  # rows go or stay as they are
+        if name == "line dedup":
+            assert Counter(r["doc_id"] for r in got) == ids and all(r["text"] is not None and r["n_chars"] == len(r["text"]) for r in got)
+        if name == "near-dedup":
+            assert max(Counter(r["doc_id"] for r in got if r["doc_id"] is not None).values()) == 1 and Counter(map(repr, got)) <= Counter(map(repr, had))
+            assert sum(r["doc_id"] is None for r in got) == sum(r["doc_id"] is None for r in had)
+        if name == "source mix":
+            assert max(Counter(map(repr, got)).values()) <= 2 * max(Counter(map(repr, had)).values())
+        if last:
+            assert Counter(r["doc_id"] for r in got) == ids
+        docs, ids = after, Counter(r["doc_id"] for r in got)
+
+
+def test_every_stage_takes_an_empty_table_and_one_of_nulls(spark):
+    docs, _ = odd_rows(spark)
+    for docs in (docs.where("false"), spark.createDataFrame([(None, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")):
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, DATA)
+            assert name == "byte-level BPE" or out.columns == docs.columns
+            assert out.count() <= 2 * docs.count()
+
+
+def test_mix_stage_takes_what_targets_say(stages):
+    """Against the quotas and the order of the hash, written anew."""
+    _, before, after = stages[3]
+    rows = [(r["source"], len((r["text"] or "").encode().split()), int(hashlib.md5(f"17|{r['doc_id']}|{r['text']}".encode()).hexdigest()[:15], 16), r["doc_id"]) for r in before.collect()]
+    size = Counter()
+    for s, n, _, _ in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    caps: dict = {}
+    while True:
+        rest = 1.5 * sum(size.values()) - sum(caps.values())
+        whole = sum(w for s, w in weight.items() if s not in caps)
+        over = [s for s in names if s not in caps and rest * weight[s] / whole > 2 * size[s]]
+        if not over:
+            break
+        caps |= {s: 2 * size[s] for s in over}
+    want = Counter()
+    for s in names:
+        target = caps.get(s, rest * weight[s] / whole)
+        taken = min(2 * size[s], int(target + 0.5))
+        full, left = divmod(taken, size[s])
+        own = sorted((h, n, i) for x, n, h, i in rows if x == s)
+        sums = np.concatenate([[0], np.cumsum([n for _, n, _ in own])])
+        k = int(np.argmin(np.abs(sums - left)))
+        for j, (_, _, i) in enumerate(own):
+            if full + (j < k):
+                want[i] = full + (j < k)
+    assert Counter(r["doc_id"] for r in after.collect()) == want
+
+
+def test_token_stage_is_the_librarys(stages):
+    _, before, after = stages[4]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for r in before.collect():
+        ids = np.array(library.encode_ordinary(r["text"]), "<u4").tobytes()
+        want[r["doc_id"], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in after.collect()) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_against_sql(spark, name):
     c = duckdb.connect()

@@ -80,6 +80,51 @@ def test_one_dense_group_of_varied_copies(spark):
     assert [got[i] for i in range(len(texts))] == top and 1 < len(set(top)) < len(texts)
 
 
+def test_a_chain_of_boilerplate_is_bounded(spark):
+    """2,000 texts, each like the next by 0.6 or so, so that all are one chain of candidates: nothing is linked, and a set is
+    sent once for each region of a tree at most, whatever the chain's length."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 10**9, 60)]
+    texts = []
+    for _ in range(2_000):
+        for j in rng.choice(60, 14, replace=False):
+            words[j] = f"w{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(s, s[1:])]
+    assert 0.35 < np.mean(alike) < 0.7
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(d, 2).collect()}
+    top, _ = chain(s)
+    assert [got[i] for i in range(len(texts))] == top
+    sketches = d.mapInArrow(near_dedup._sketch(2), "doc_id long, n long, k1 long, k2 long, sig binary").withColumnRenamed("doc_id", "rep")
+    rows = sketches.mapInArrow(near_dedup._forest, near_dedup._FOREST)
+    none = spark.createDataFrame([], "node long, component long")
+    blocks = near_dedup.mixed_blocks(rows, none)
+    a, b = blocks.where("side = 0").count(), blocks.where("side = 1").count()
+    assert a <= near_dedup.TREES * len(texts) and b <= near_dedup.TREES * len(texts) and blocks.agg(F.max("other"), F.max("block")).first()[:] == (0, 0)
+    # the same rows in smaller blocks: both sides meet in each pair of blocks
+    assert near_dedup.mixed_blocks(rows, none, block_hashes=100).agg(F.max("block")).first()[0] > 0
+
+
+def chain(sets):
+    """Components where only neighbours can be linked."""
+    top = list(range(len(sets)))
+    for i in range(1, len(sets)):
+        if 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1]):
+            top[i] = top[i - 1]
+    return top, None
+
+
+def test_pieces_are_cut_at_the_shortest_prefix():
+    lcp = np.array([0, 5, 5, 2, 6, 6, 3, 7, 7, 7])
+    assert near_dedup.pieces(lcp, 64) == [(0, 10)]
+    found = near_dedup.pieces(lcp, 4)
+    assert found[0] == (0, 3) and all(z - a <= 4 for a, z in found) and [a for a, _ in found[1:]] == [z - 1 for _, z in found[:-1]] and found[-1][1] == 10
+    p1 = np.array([0x0001_0002_0003_0004, 0x0001_0002_0003_0004, 0x0001_0002_0003_0005, 0x0001_0009_0003_0005])
+    assert near_dedup.common_levels(p1, np.array([7 << 48, 7 << 48, 0, 0])).tolist() == [0, 8, 3, 1]
+
+
 def test_shingles_take_ascii_case_and_blanks_only():
     w = WordHashes()
     assert (shingles("A\x0bb\x1cC", 1, w) == shingles("a B\x1cc", 1, w)).all() and len(shingles("É é", 1, w)) == 2
@@ -134,7 +179,7 @@ def test_line_dedup_streams_over_one_sorted_exchange(spark):
 
 def test_line_dedup_keeps_other_columns_and_uses_no_python(documents, empty):
     x = line_dedup.marked(documents.withColumn("keep", F.lit(1)).withColumn("line_dedup", F.lit(2)))
-    assert x.columns == [*documents.columns, "keep", "line_dedup"] and x.count() == documents.count()
+    assert x.columns == [*documents.columns, "keep", "line_dedup", "line_dedup_"] and x.where("line_dedup = 2").count() == x.count() and x.count() == documents.count()
     assert "Python" not in line_dedup.dedup_lines(documents)._jdf.queryExecution().executedPlan().toString()
     assert line_dedup.dedup_lines(empty).collect() == []
     runs = {r["doc_id"]: r["keep"] for r in line_dedup.keep_bitmaps(documents).collect()}
