@@ -79,9 +79,10 @@ def _rendered(queries: DataFrame, items: DataFrame, head_lines: DataFrame, sourc
 def markdown(queries: DataFrame, items: DataFrame, heads: DataFrame, profile: Profile) -> DataFrame:
     """(query_id, context): a document a query, all sections in fixed order.
 
-    heads: (query_id, id, name_cn, name_en) of the head that a query is about. A document holds one query's evidence.
+    heads: (query_id, id, name_cn, name_en) of the head that a query is about. A document holds one query's evidence. Items are
+    dealt by query first, so that sections and sources read one exchange and the items are made once.
     """
-    c = F.col
+    c, items = F.col, items.repartition("query_id")
     head = heads.select("query_id", F.concat(F.lit("- "), c("name_cn"), F.lit(" / "), c("name_en"), F.lit("（"), c("id"), F.lit("）")).alias("lines"))
     line = source_line(c("source_name"), c("source_id"), c("source_type"))
     of = sources_of(items).groupBy("query_id").agg(F.array_join(in_order(line, "ord", "source_id"), "\n").alias("lines"))
@@ -92,7 +93,7 @@ def research_markdown(queries: DataFrame, items: DataFrame, entities: DataFrame,
     """(query_id, context) as the research builder makes it: every head found has a line, sources are told apart by label, and
     an unknown name gives a line that says so instead of an error. Paths and sources are the triples' own copies. queries:
     (query_id, query)."""
-    c = F.col
+    c, items = F.col, items.repartition("query_id")
     alt = entities.groupBy(c("id").alias("head_id")).agg(F.max_by("name_en", "ord").alias("name_en"))
     heads = distinct_heads(items).join(alt, "head_id", "left")
     line = F.when(F.coalesce(c("name_en"), F.lit("")) != "", F.concat(F.lit("- "), c("head_name"), F.lit(" / "), c("name_en"), F.lit("（"), c("head_id"), F.lit("）"))).otherwise(F.concat(F.lit("- "), c("head_name"), F.lit("（"), c("head_id"), F.lit("）")))

@@ -100,9 +100,10 @@ def refs(spark: SparkSession, d: str) -> DataFrame:
     at = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(_t(spark, d, "nation").select("n_nationkey", "n_regionkey"), c("s_nationkey") == c("n_nationkey"))
     x = supplied(spark, d).join(at, c("s") == c("s_suppkey"))
     id_ = _s("TS", c("p"), "_", c("s"))
-    a = x.select(id_.alias("triple_id"), _s("SRC_", c("n_nationkey")).alias("source_id"), c("n_nationkey").cast("long").alias("ord"))
-    b = x.where(c("p") % 3 == 0).select(id_.alias("triple_id"), _s("AUD_", c("n_regionkey")).alias("source_id"), (100 + c("n_regionkey")).cast("long").alias("ord"))
-    return a.unionByName(b)
+    of = lambda source, ord_: F.struct(source.alias("source_id"), ord_.cast("long").alias("ord"))
+    registry, audit = of(_s("SRC_", c("n_nationkey")), c("n_nationkey")), of(_s("AUD_", c("n_regionkey")), 100 + c("n_regionkey"))
+    both = F.when(c("p") % 3 == 0, F.array(registry, audit)).otherwise(F.array(registry))
+    return x.select(id_.alias("triple_id"), F.explode(both).alias("of")).select("triple_id", "of.source_id", "of.ord")
 
 
 def trade_graph(spark: SparkSession, d: str) -> EvidenceGraph:
