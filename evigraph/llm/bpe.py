@@ -212,7 +212,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     # a row's number tells texts apart for as long as the chunks are not written, which is one job
     long = d.where(F.char_length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
     cols = "doc_id long, row long, start long, part string"
-    x = long.mapInArrow(_cut(chunk, overlap), cols).repartition("row", "start")
+    # chunks are few bytes and much work: a given number of partitions, which Spark does not merge by their bytes
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = long.mapInArrow(_cut(chunk, overlap), cols).repartition(parts, "row", "start")
     x = written(x.mapInArrow(_pretokenise(ranks_path, pattern, chunk, overlap), f"{cols}, lengths binary, head array<long>, tail array<long>"), "bpe-chunks")
     if x.isEmpty():
         return short
@@ -220,7 +222,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     cuts = x.select("row", "start", "tail", F.lead("head").over(w).alias("next")).withColumn("end", F.array_min(F.array_intersect("tail", "next")))
     cuts = cuts.select("row", "start", "end", F.coalesce(F.lag("end").over(w), F.lit(0)).alias("begin"), F.max(F.col("next").isNotNull() & F.col("end").isNull()).over(Window.partitionBy("row")).alias("apart"))
     x = x.join(cuts, ["row", "start"])
-    encoded = x.where(~F.col("apart")).mapInArrow(_between_cuts(ranks_path, pattern), "doc_id long, row long, start long, ids binary, decoded binary")
+    encoded = x.where(~F.col("apart")).repartition(parts, "row", "start").mapInArrow(_between_cuts(ranks_path, pattern), "doc_id long, row long, start long, ids binary, decoded binary")
     encoded = encoded.repartition("row").sortWithinPartitions("row", "start").mapInArrow(_joined, out)
     whole = x.where("apart").select("doc_id", "row", "start", "part", "lengths").groupBy("row").applyInPandas(_in_one_task(ranks_path, pattern), out)
     return short.unionByName(encoded).unionByName(whole)
