@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -44,14 +45,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    _made.append(path)
     return out
 
 
+#: Paths of the tables that written() has made and discard() has not deleted.
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [x for x in _made if x not in paths]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() whose readers have been written themselves."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, [t.written_to])
+
+
+@contextmanager
+def spent(spark: SparkSession, *too: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes at the end the tables that written() made within, and those of `too`, but for what is put into the list given."""
+    known, result = set(_made), []
+    yield result
+    old = {getattr(x, "written_to", None) for x in too}
+    _delete(spark, [p for p in _made if (p not in known or p in old) and p not in {x.written_to for x in result}])
 
 
 def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
