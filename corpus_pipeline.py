@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import bpe, line_dedup, mixing, near_dedup, quality
-from evigraph.llm.common import table, written
+from evigraph.llm.common import spent, table, written
 from evigraph.llm.queries import QUALITY_CUT, held_out, token_digests
 
 
@@ -58,5 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with spent(spark, docs) as result:  # a stage's own tables, and what it has read, go once it is written
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            result.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
