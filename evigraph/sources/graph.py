@@ -148,6 +148,12 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(column).write.mode("overwrite").text(path)
 
 
+def export(df: DataFrame, path: str, kind: str = "json") -> None:
+    """Results as files of JSON lines, or of CSV with a header and all strings quoted."""
+    w = df.write.mode("overwrite")
+    w.json(path) if kind == "json" else w.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
 def read_results(spark: SparkSession, table: str, logs: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """A CSV of case results with the texts of the logs, one row a file."""
     rows = spark.read.csv(table, header=True, multiLine=True, quote='"', escape='"')

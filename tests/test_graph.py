@@ -155,6 +155,10 @@ def test_sinks(spark, graph, tmp_path):
     (tmp_path / "r.csv").write_text('case_id,notes\nC1,"a, b"\nC2,\n')
     rows, texts = gr.read_results(spark, str(tmp_path / "r.csv"), str(tmp_path / "out"))
     assert [tuple(r) for r in rows.collect()] == [("C1", "a, b"), ("C2", None)] and texts.select("file_name").first()[0].startswith("part-")
+    for kind in ("json", "csv"):
+        gr.export(graph.sources, str(tmp_path / kind), kind)
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
+    assert {r["source_name"] for r in spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').collect()} == {"指南", None, "网站"}
     graph.views()
     assert spark.sql("SELECT count(*) FROM graph_triples").first()[0] == 7
 
