@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: All code points that count as blank.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 # Separators of a list field; the clause separator and the least length of a clause; placeholders; advice words
 # from the most to the least urgent class.
 LIST_SEPARATORS = "[;；，|,]"
@@ -21,8 +24,8 @@ ADVICE = ("建议尽快就医评估", "建议预约皮肤科评估", "需常规
 
 
 def strip(c: Column) -> Column:
-    """Blanks of any kind at both ends, not only U+0020."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without blanks of any kind at both ends, not only U+0020."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def norm(c: Column) -> Column:

@@ -56,7 +56,7 @@ def distinct_heads(items: DataFrame) -> DataFrame:
 
 def in_order(value: F.Column, *by: str) -> F.Column:
     """An aggregate: the values of a group, ordered."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], value.alias("v")))), lambda x: x["v"])
+    return F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], value.alias("v")))).getField("v")
 
 
 def filled(queries: DataFrame, grouped: DataFrame, profile: Profile) -> DataFrame:
@@ -66,41 +66,53 @@ def filled(queries: DataFrame, grouped: DataFrame, profile: Profile) -> DataFram
     return every.join(grouped, ["query_id", "section"], "left")
 
 
-def _rendered(queries: DataFrame, items: DataFrame, head_lines: DataFrame, source_lines: DataFrame, profile: Profile, head: str, tail: str, source: F.Column) -> DataFrame:
-    """head, tail: columns of the names that a path shows; source: the name in a source label."""
+def _lean(items: DataFrame, head: str, tail: str, source: F.Column, *more: str) -> DataFrame:
+    """What a rendering needs of the items, dealt by query: body and sources read one exchange, and the items are made once.
+
+    head, tail: columns of the names that a path shows; source: the name in a source label.
+    """
     block = item_block(path(F.col(head), F.col("relation_cn"), F.col(tail)), F.col("evidence_text"), source_label(source, F.col("source_id"), F.col("source_type")))
-    body = sectioned(items, profile).groupBy("query_id", "section").agg(F.array_join(in_order(block, "ord", "triple_id"), "\n").alias("lines"))
-    name = lambda df, title: df.select("query_id", F.lit(title).alias("section"), "lines")
-    lines = body.unionByName(name(head_lines, profile.order[0])).unionByName(name(source_lines, profile.order[-1]))
-    parts = filled(queries, lines, profile).withColumn("block", section_block(F.col("section"), F.col("lines")))
-    return parts.groupBy("query_id").agg(F.array_join(in_order(F.col("block"), "section_ord"), "\n\n").alias("context"))
+    return items.select("query_id", "relation_en", "ord", "triple_id", "source_id", "source_type", *more, block.alias("block")).repartition("query_id")
+
+
+def _rendered(queries: DataFrame, lean: DataFrame, head_lines: DataFrame, source_lines: DataFrame, profile: Profile) -> DataFrame:
+    """One aggregate has the lines of all sections of a query; sections without any say so."""
+    x = sectioned(lean.select("query_id", "relation_en", "ord", "triple_id", "block"), profile)
+    titles = {t: f"section_{i}" for i, t in enumerate(profile.order)}
+    of = lambda t: F.sort_array(F.collect_list(F.when(F.col("section") == t, F.struct("ord", "triple_id", "block")))).getField("block")
+    body = x.groupBy("query_id").agg(*[F.array_join(of(t), "\n").alias(c) for t, c in titles.items() if t not in (profile.order[0], profile.order[-1])])
+    out = queries.select("query_id").join(body, "query_id", "left")
+    for lines, t in ((head_lines, profile.order[0]), (source_lines, profile.order[-1])):
+        out = out.join(lines.select("query_id", F.col("lines").alias(titles[t])), "query_id", "left")
+    return out.select("query_id", F.concat_ws("\n\n", *[section_block(F.lit(t), F.col(c)) for t, c in titles.items()]).alias("context"))
 
 
 def markdown(queries: DataFrame, items: DataFrame, heads: DataFrame, profile: Profile) -> DataFrame:
     """(query_id, context): a document a query, all sections in fixed order.
 
-    heads: (query_id, id, name_cn, name_en) of the head that a query is about. A document holds one query's evidence. Items are
-    dealt by query first, so that sections and sources read one exchange and the items are made once.
+    heads: (query_id, id, name_cn, name_en) of the head that a query is about. A document holds one query's evidence.
     """
-    c, items = F.col, items.repartition("query_id")
+    c = F.col
+    lean = _lean(items, "head_name", "tail_name", c("source_name"), "source_name")
     head = heads.select("query_id", F.concat(F.lit("- "), c("name_cn"), F.lit(" / "), c("name_en"), F.lit("（"), c("id"), F.lit("）")).alias("lines"))
     line = source_line(c("source_name"), c("source_id"), c("source_type"))
-    of = sources_of(items).groupBy("query_id").agg(F.array_join(in_order(line, "ord", "source_id"), "\n").alias("lines"))
-    return _rendered(queries, items, head, of, profile, "head_name", "tail_name", c("source_name"))
+    of = sources_of(lean).groupBy("query_id").agg(F.array_join(in_order(line, "ord", "source_id"), "\n").alias("lines"))
+    return _rendered(queries, lean, head, of, profile)
 
 
 def research_markdown(queries: DataFrame, items: DataFrame, entities: DataFrame, profile: Profile) -> DataFrame:
     """(query_id, context) as the research builder makes it: every head found has a line, sources are told apart by label, and
     an unknown name gives a line that says so instead of an error. Paths and sources are the triples' own copies. queries:
     (query_id, query)."""
-    c, items = F.col, items.repartition("query_id")
+    c = F.col
+    lean = _lean(items, "head_cn", "tail_cn", strip(c("source")), "source", "head_id", "head_name")
     alt = entities.groupBy(c("id").alias("head_id")).agg(F.max_by("name_en", "ord").alias("name_en"))
-    heads = distinct_heads(items).join(alt, "head_id", "left")
+    heads = distinct_heads(lean).join(alt, "head_id", "left")
     line = F.when(F.coalesce(c("name_en"), F.lit("")) != "", F.concat(F.lit("- "), c("head_name"), F.lit(" / "), c("name_en"), F.lit("（"), c("head_id"), F.lit("）"))).otherwise(F.concat(F.lit("- "), c("head_name"), F.lit("（"), c("head_id"), F.lit("）")))
     found = heads.groupBy("query_id").agg(F.array_join(in_order(line, "ord", "head_id"), "\n").alias("lines"))
     found = queries.join(found, "query_id", "left").select("query_id", F.coalesce("lines", F.concat(F.lit("- 未查询到匹配疾病："), c("query"))).alias("lines"))
-    of = sources_by_label(items).groupBy("query_id").agg(F.array_join(in_order(F.concat(F.lit("- "), c("label")), "ord", "label"), "\n").alias("lines"))
-    return _rendered(queries, items, found, of, profile, "head_cn", "tail_cn", strip(c("source")))
+    of = sources_by_label(lean).groupBy("query_id").agg(F.array_join(in_order(F.concat(F.lit("- "), c("label")), "ord", "label"), "\n").alias("lines"))
+    return _rendered(queries, lean, found, of, profile)
 
 
 def plain_listing(items: DataFrame) -> DataFrame:

@@ -17,10 +17,12 @@ def last_source(graph: EvidenceGraph) -> DataFrame:
     """(triple_id, source_id, source_name, source_type): the last source that speaks for a triple.
 
     An aggregate by triple_id, so attaching it never repeats a triple, and Spark drops it where no source column is asked for.
+    A reference's ord is that of its source's row, so the largest one, a plain number, tells the source.
     """
     names = graph.sources.groupBy("source_id").agg(F.max_by(F.struct("source_name", "source_type"), "ord").alias("s"))
-    best = graph.refs.groupBy("triple_id").agg(F.max_by("source_id", F.struct("ord", "source_id")).alias("source_id"))
-    return best.join(names, "source_id").select("triple_id", "source_id", "s.source_name", "s.source_type")
+    at = graph.sources.groupBy("ord").agg(F.max("source_id").alias("source_id")).join(names, "source_id")
+    best = graph.refs.groupBy("triple_id").agg(F.max("ord").alias("ord"))
+    return best.join(at, "ord").select("triple_id", "source_id", "s.source_name", "s.source_type")
 
 
 def attach_sources(triples: DataFrame, graph: EvidenceGraph) -> DataFrame:
@@ -38,7 +40,8 @@ def enrich(triples: DataFrame, graph: EvidenceGraph) -> DataFrame:
     """Evidence items: end points named by their entities, or by the triple's own copies where those are missing or blank."""
     own = entity_index(graph.entities)
     side = lambda s: own.select(F.col("id").alias(f"{s}_id"), F.col("name_cn").alias(f"{s}_node"), F.col("entity_type").alias(f"{s}_node_type"))
-    x = attach_sources(triples, graph).join(side("head"), "head_id", "left").join(side("tail"), "tail_id", "left")
+    # heads first: triples that were picked by their head lie by it already
+    x = attach_sources(triples.join(side("head"), "head_id", "left").join(side("tail"), "tail_id", "left"), graph)
     pick = {f"{s}_name": or_else(F.col(f"{s}_node"), F.col(f"{s}_cn")) for s in ("head", "tail")}
     pick |= {f"{s}_type": or_else(F.col(f"{s}_node_type"), F.col(f"{s}_type")) for s in ("head", "tail")}
     pick |= {"source_name": or_else(F.col("source_name"), F.col("source"))}
