@@ -42,13 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation before it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     _made.append(path)
     return out
 
 
+def in_few_files(df: DataFrame) -> DataFrame:
+    """For tables of a few numbers a document, a hundredth of the documents' bytes: an eighth of the shuffle partitions."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 #: Paths of the tables that written() has made and discard() has not deleted.
 _made: list[str] = []
 

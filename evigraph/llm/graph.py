@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, in_few_files, written
 
 #: Tasks that share the larger neighbours of one node, so that the centre of a very large component is no single task's work.
 SALTS = 16
@@ -91,16 +91,19 @@ def stars(edges: DataFrame, a: str = "a", b: str = "b", contract: bool = True) -
     where edges are known to have none, contract=False saves that. An edge table without edges gives no rows.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    e = written(e.mapInArrow(_contract, _EDGES) if contract else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("open")), "edges")
+    e = e.mapInArrow(_contract, _EDGES) if contract else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    row = lambda key, other, side, salt: F.struct(F.col(key).alias("key"), F.col(other).alias("other"), F.lit(side).alias("side"), salt.cast("int").alias("salt"))
+    below = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: row("u", "v", 0, s))
+    above = F.array(row("v", "u", 1, F.pmod(F.xxhash64("u"), F.lit(SALTS))))
+    old = None
     while True:
-        below = e.select(F.col("u").alias("key"), F.col("v").alias("other"), F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        above = e.select(F.col("v").alias("key"), F.col("u").alias("other"), F.lit(1).alias("side"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int").alias("salt"))
-        x = below.unionByName(above).repartition("key", "salt").sortWithinPartitions("key", "salt", "side", "other")
-        closer = written(x.mapInArrow(_closer, _EDGES).groupBy("u", "v").agg(F.max("open").alias("open")), "edges")
-        discard(e)
-        e = closer
+        x = e.select(F.explode(F.concat(below, above)).alias("x")).select("x.*").repartition("key", "salt").sortWithinPartitions("key", "salt", "side", "other")
+        e = written(in_few_files(x.mapInArrow(_closer, _EDGES).groupBy("u", "v").agg(F.max("open").alias("open"))), "edges")
+        if old is not None:
+            discard(old)
         if e.where("open").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        old = e
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, runs, spare, written
+from .common import discard, in_few_files, runs, spare, written
 from .graph import Union, stars
 from .shingles import WordHashes, _mix, bits, multipliers, set_key, shingles, signature
 
@@ -298,12 +298,12 @@ def mixed_blocks(rows: DataFrame, of: DataFrame, block_hashes: int = BLOCK_HASHE
     Side 0 has all rows of a region, side 1 those outside its largest component. A row goes to its own block of its side, with
     each block of the other side; a region of up to block_hashes hashes is one block.
     """
-    x = written(rows.join(of, rows["rep"] == of["node"], "left").select("tree", "p1", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("component")), "alive")
+    x = rows.join(of, rows["rep"] == of["node"], "left").select("tree", "p1", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     n = x.groupBy("tree", "p1", "component").agg(F.sum("n").alias("h"))
     n = n.groupBy("tree", "p1").agg(F.max_by("component", F.struct("h", "component")).alias("main"), F.sum("h").alias("h"), F.max("h").alias("h_main"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
     blocks = lambda c: F.ceil(c / F.lit(block_hashes)).cast("int")
     # as a table of its own both sides of the join are plain exchanges, which Spark can split where one region is very large
-    regions = written(n.select("tree", "p1", "main", blocks(F.col("h")).alias("blocks"), blocks(F.col("h") - F.col("h_main")).alias("others")), "regions")
+    regions = written(in_few_files(n.select("tree", "p1", "main", blocks(F.col("h")).alias("blocks"), blocks(F.col("h") - F.col("h_main")).alias("others"))), "regions")
     x = x.join(regions, ["tree", "p1"])
     own = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
     each = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     discard(found, sets)
     # a table of its own, so that Spark can split the join below at a set that very many documents have
     keys = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).join(of.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.coalesce("component", "rep").alias("component_id"))
-    keys = written(keys, "set-components")
+    keys = written(in_few_files(keys), "set-components")
     x = sketches.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     x = x.join(keys, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     x = x.withColumn("component_id", F.coalesce("component_id", "doc_id"))
