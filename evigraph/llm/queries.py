@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, mixing, near_dedup, quality, topk, url_rules, warc, word_pieces
+from . import alignment, ann, bpe, centroids, line_dedup, mixing, near_dedup, quality, simhash, topk, url_rules, warc, word_pieces
 from .common import new_path, table
 
 QUALITY_CUT = 0.7
@@ -75,6 +75,20 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return x.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ",").cast("binary"), 256)).drop("centroid")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
@@ -86,6 +100,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_url_rules": op10_url_rules,
+    "op11_centroids": op11_centroids,
+    "op12_simhash": op12_simhash,
+    "op13_alignment": op13_alignment,
 }
 
 _OP1 = r"""
@@ -204,4 +221,20 @@ b AS (SELECT rn, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, lengt
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m.rn IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM t LEFT JOIN b ON b.rn = t.rn LEFT JOIN m ON m.rn = t.rn
 """
 
-SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op4_source_mix": _OP4, "op6_cross_polytope": _OP6, "op7_token_counts": _OP7, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10}
+_DISTANCE = "CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+_NEAREST = f"""SELECT v.rn, arg_min(c.k, ({_DISTANCE}, c.k)) AS k, min({_DISTANCE}) AS d FROM v, c{{0}} c GROUP BY v.rn"""
+_ROUND = """a{0} AS MATERIALIZED (""" + _NEAREST + """),
+m{0} AS MATERIALIZED (SELECT a.k, u.i, CAST(sum(u.x) AS BIGINT) AS s, count(*) AS n FROM a{0} a JOIN u ON u.rn = a.rn GROUP BY ALL),
+c{1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{0} c LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM m{0} GROUP BY k) m ON m.k = c.k)"""
+_OP11 = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+u AS MATERIALIZED (SELECT rn, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS k, q FROM v ORDER BY sha256('1:' || vec_id), q LIMIT 16),
+{", ".join(_ROUND.format(i, i + 1) for i in range(3))},
+z AS ({_NEAREST.format(3)})
+SELECT vec_id, CAST(z.k AS INTEGER) AS cluster, z.d AS distance, CAST(sum(z.d) OVER (PARTITION BY z.k) AS BIGINT) AS cluster_inertia, CAST(sum(z.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM z JOIN v ON v.rn = z.rn JOIN c3 ON c3.k = z.k
+"""
+
+SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op4_source_mix": _OP4, "op6_cross_polytope": _OP6, "op7_token_counts": _OP7, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10, "op11_centroids": _OP11}
