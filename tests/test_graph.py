@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import graph_fixture as fx
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,8 +248,9 @@ def test_containing_takes_both_ways(spark):
     texts = spark.createDataFrame([(1, "x" * 1030 + "needle is here" + "y" * 2000), (2, "no"), (3, ""), (4, "abc")], "id int, text string")
     needles = spark.createDataFrame([("needle is here",), ("eedle",), ("no",), ("",), ("ab",), ("needle is hereX",)], "needle string")
     few = {tuple(r) for r in contain.containing(texts, needles).select("id", "needle").collect()}
-    many = {tuple(r) for r in contain.containing(texts, needles, most=0).select("id", "needle").collect()}
-    assert few == many == {(1, "needle is here"), (1, "eedle"), (2, "no"), (4, "ab")}
+    many = {tuple(r) for r in contain.containing(texts, needles, shard=15).select("id", "needle").collect()}
+    grams = {tuple(r) for r in contain.containing(texts, needles, automata=0).select("id", "needle").collect()}
+    assert few == many == grams == {(1, "needle is here"), (1, "eedle"), (2, "no"), (4, "ab")}
 
 
 def test_containing_repeats_repeated_rows_both_ways(spark):
@@ -254,8 +258,23 @@ def test_containing_repeats_repeated_rows_both_ways(spark):
     texts = spark.createDataFrame([(1, long), (1, long), (2, "no needle"), (2, "no needle")], "id int, text string")
     needles = spark.createDataFrame([("needle",), ("needle",), ("no",), ("needle is here",)], "needle string")
     few = sorted(map(tuple, contain.containing(texts, needles).select("id", "needle").collect()))
-    many = sorted(map(tuple, contain.containing(texts, needles, most=0).select("id", "needle").collect()))
-    assert few == many == sorted([(1, "needle"), (2, "needle")] * 4 + [(1, "no"), (2, "no")] * 2)
+    many = sorted(map(tuple, contain.containing(texts, needles, shard=5).select("id", "needle").collect()))
+    grams = sorted(map(tuple, contain.containing(texts, needles, automata=0).select("id", "needle").collect()))
+    assert few == many == grams == sorted([(1, "needle"), (2, "needle")] * 4 + [(1, "no"), (2, "no")] * 2)
+
+
+def test_a_hundred_thousand_needles_and_a_text_of_fifty_megabytes(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    some = sorted({word(rng.randint(9, 40)) for _ in range(100_000)})
+    long = " ".join(rng.sample(some, 50)) + word(999) * 50_000 + some[7]
+    texts = spark.createDataFrame([(1, long), (2, some[3] + "é" + some[5][1:]), (3, None)], "id int, text string").repartition(2)
+    needles = spark.createDataFrame([(x,) for x in some], "needle string")
+    got = contain.containing(texts, needles).select("id", "needle")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(long) > 49_000_000 and "NestedLoop" not in plan and "Cartesian" not in plan
+    parts = long[: 60 * 50] + long[-5_000:]  # the middle repeats itself
+    assert {tuple(r) for r in got.collect()} == {(1, x) for x in some if x in parts or x in long[2_000:8_000]} | {(2, x) for x in some if x in some[3] or x in some[5][1:]}
 
 
 def test_stream_static_match(spark, graph, tmp_path):
