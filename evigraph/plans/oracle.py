@@ -175,6 +175,29 @@ s AS (SELECT *, round(CAST(0.4 AS DOUBLE) * mf + CAST(0.2 AS DOUBLE) * ml + CAST
 """
 
 
+_RECURSIVE = _BASE.replace("WITH", "WITH RECURSIVE", 1)
+_PATHS = """h1 AS (SELECT p.id AS start, tail_id AS "end", 1::BIGINT AS n_hops, p.id || '>' || tail_id AS nodes, triple_id AS ids, {0} FROM (SELECT id FROM ent WHERE entity_type = 'Part') p JOIN {2} AS t ON t.head_id = p.id),
+h2 AS (SELECT start, tail_id AS "end", 2::BIGINT AS n_hops, nodes || '>' || tail_id AS nodes, ids || '/' || triple_id AS ids, {1} FROM h1 h JOIN {2} AS t ON t.head_id = h."end" WHERE NOT list_contains(string_split(nodes, '>'), tail_id)),
+h3 AS (SELECT start, tail_id AS "end", 3::BIGINT AS n_hops, nodes || '>' || tail_id AS nodes, ids || '/' || triple_id AS ids, {1} FROM h2 h JOIN {2} AS t ON t.head_id = h."end" WHERE NOT list_contains(string_split(nodes, '>'), tail_id)),
+h AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)"""
+_CUSTOMER_CLAIMS = """WITH x AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supplier, c_nationkey AS nation, n_regionkey AS region FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),
+f AS (SELECT DISTINCT l_partkey AS part, s_nationkey AS nation, n_regionkey AS region FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT *, CASE WHEN part % 3 = 2 THEN 'REG_' || region ELSE 'NAT_' || nation END AS tail, part % 3 <> 0 AS mapped,
+  CASE part % 3 WHEN 0 THEN false WHEN 1 THEN EXISTS (SELECT 1 FROM f WHERE f.part = x.part AND f.nation = x.nation) ELSE EXISTS (SELECT 1 FROM f WHERE f.part = x.part AND f.region = x.region) END AS consistent FROM x)
+"""
+#: Every place of every text against names of every length; spans are walked from one to the next.
+_ANCHORS = f"""nm AS (SELECT unnest([{_norm('id')}, {_norm('name_cn')}, {_norm('name_en')}]) AS name, id, entity_type, ord, 0 AS way FROM ent UNION ALL SELECT lower(unnest({_items('alias')})), id, entity_type, ord, 1 FROM ent),
+known AS (SELECT name, arg_min({{'id': id, 'kind': entity_type, 'way': way}}, (way, ord, id)) AS e, count(DISTINCT id) AS n_entities FROM nm WHERE name <> '' GROUP BY name),
+place AS (SELECT query_id, lower(t) AS low, unnest(range(1, length(t) + 1)) AS p FROM said),
+size AS (SELECT DISTINCT length(name) AS n FROM known),
+cand AS (SELECT query_id, p, max(n) AS n FROM (SELECT *, substr(low, p, n) AS part FROM place JOIN size ON p + n - 1 <= length(low)) x JOIN known ON name = part
+  WHERE (p = 1 OR NOT regexp_matches(substr(low, p - 1, 2), '^[a-z0-9][a-z0-9]$')) AND NOT regexp_matches(substr(low, p + n - 1, 2), '^[a-z0-9][a-z0-9]$') GROUP BY ALL),
+nxt AS (SELECT c.query_id, c.p, min(o.p) AS q FROM cand c JOIN cand o ON o.query_id = c.query_id AND o.p >= c.p + c.n GROUP BY ALL),
+walk(query_id, p) AS (SELECT query_id, min(p) FROM cand GROUP BY query_id UNION ALL SELECT w.query_id, n.q FROM walk w JOIN nxt n ON n.query_id = w.query_id AND n.p = w.p),
+span AS (SELECT w.query_id, w.p - 1 AS start, substr(t, w.p, c.n) AS raw_text, e.kind AS anchor_type, e.id AS entity_id, CASE WHEN e.way = 0 THEN 'exact' ELSE 'alias' END AS method, CASE WHEN e.way = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS confidence, n_entities
+  FROM walk w JOIN cand c ON c.query_id = w.query_id AND c.p = w.p JOIN said s ON s.query_id = w.query_id JOIN known ON name = lower(substr(t, w.p, c.n)))"""
+
+
 def _prompt(version: int | None) -> str:
     """A pinned text with its three places filled in; candidates whose id ends in 7 are blank."""
     quoted = "'" + _PROMPTS[version].replace("'", "''") + "'"
@@ -272,6 +295,24 @@ UNION ALL SELECT a.head_id, b.tail_id, 2, a.head_id || '>' || a.tail_id || '>' |
 h2 AS (SELECT start, tail_id AS "end", 2::BIGINT AS n_hops, nodes || '>' || tail_id AS nodes, ids || '/' || triple_id AS ids FROM h1 JOIN tri ON head_id = h1."end" WHERE NOT list_contains(string_split(nodes, '>'), tail_id)),
 h3 AS (SELECT start, tail_id AS "end", 3::BIGINT AS n_hops, nodes || '>' || tail_id AS nodes, ids || '/' || triple_id AS ids FROM h2 JOIN tri ON head_id = h2."end" WHERE NOT list_contains(string_split(nodes, '>'), tail_id))
 SELECT start, "end", n_hops, replace(ids, '/', '>') AS triple_ids, round(CAST(1 AS DOUBLE) / n_hops, 9) AS retrieval_score, row_number() OVER (PARTITION BY start ORDER BY n_hops, ids) AS path_rank FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)""",
+    "evidence_paths_topk": f"""{_BASE}, cost AS (SELECT *, CAST(CASE relation_en WHEN 'supplied_by' THEN 20 + ord % 11 WHEN 'has_brand' THEN 10 WHEN 'has_type' THEN 12 ELSE 5 + ord % 3 END AS BIGINT) AS more, CASE WHEN evidence_text <> '' THEN 0 WHEN relation_en = 'supplied_by' THEN 2 ELSE 1 END AS bad FROM tri),
+{_PATHS.format("more AS cost, bad AS worst", "cost + more AS cost, greatest(worst, bad) AS worst", "cost")}, r AS (SELECT *, row_number() OVER (PARTITION BY start, "end" ORDER BY cost, n_hops, ids) AS path_rank FROM h)
+SELECT start, "end", path_rank, cost, n_hops, nodes, replace(ids, '/', '>') AS triple_ids, (['support', 'background', 'missing'])[worst + 1] AS support_type FROM r WHERE path_rank <= 2""",
+    "claims_by_path": _CUSTOMER_CLAIMS + "SELECT part, supplier, nation, tail, mapped, consistent FROM c",
+    "pcs_by_path": _CUSTOMER_CLAIMS + """, e AS (SELECT l_partkey AS part, l_suppkey AS supplier, s_nationkey AS nation FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag <> 'R'),
+s AS (SELECT *, EXISTS (SELECT 1 FROM e WHERE e.part = c.part AND e.supplier = c.supplier) AS pair, EXISTS (SELECT 1 FROM e WHERE e.part = c.part AND e.nation = c.nation) AS near, EXISTS (SELECT 1 FROM e WHERE e.part = c.part) AS head FROM c)
+SELECT nation, count(*) FILTER (pair) AS n_supported, count(*) FILTER (NOT pair AND NOT near AND head) AS n_unsupported, count(*) FILTER (mapped) AS n_mapped, count(*) FILTER (consistent) AS n_consistent, round(count(*) FILTER (consistent) / nullif(count(*) FILTER (mapped), 0), 9) AS pcs FROM s GROUP BY nation""",
+    "anchor_spans": f"{_RECURSIVE}{_OBS}, said AS (SELECT query_id, observation AS t FROM obs), {_ANCHORS} SELECT * FROM span",
+    "anchor_rules": f"""{_RECURSIVE}, said AS (SELECT 'PRT_' || p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'See ' || p_brand || ' by its label brand no. ' || {_PB} WHEN 1 THEN 'Size no. ' || p_size || ' of Brand no. ' || {_PB} || '9' ELSE p_type || ', see no. ' || p_size END AS t FROM part), {_ANCHORS},
+rule AS (SELECT query_id, t, regexp_extract(t, '[Bb]rand no[.] [0-9]+') AS raw_text, 'brand#' || regexp_extract(t, '[Bb]rand no[.] ([0-9]+)', 1) AS name, 'Brand' AS kind, CAST(0.8 AS DOUBLE) AS confidence FROM said UNION ALL SELECT query_id, t, regexp_extract(t, '([Ss]ee|[Ss]ize) no[.] [0-9]+'), 'size ' || regexp_extract(t, '([Ss]ee|[Ss]ize) no[.] ([0-9]+)', 2), 'Part', CAST(0.6 AS DOUBLE) FROM said)
+SELECT * FROM span UNION ALL SELECT query_id, strpos(t, raw_text) - 1, raw_text, coalesce(e.kind, kind), e.id, 'rule', confidence, coalesce(n_entities, 0) FROM rule LEFT JOIN known ON known.name = rule.name WHERE raw_text <> ''""",
+    "report_lineage": """WITH RECURSIVE n AS (SELECT o_custkey, o_orderkey AS id, row_number() OVER w AS nth, lag(o_orderkey) OVER w AS before, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+v AS (SELECT id, CASE WHEN nth = 1 THEN NULL WHEN nth % 4 = 0 THEN first ELSE before END AS up, nth + CASE WHEN nth > 3 THEN 1 ELSE 0 END AS version_no FROM n),
+r(id, root, depth) AS (SELECT id, id, CAST(0 AS BIGINT) FROM v WHERE up IS NULL UNION ALL SELECT v.id, r.root, r.depth + 1 FROM r JOIN v ON v.up = r.id),
+k AS (SELECT up, count(*) AS n FROM v WHERE up IS NOT NULL GROUP BY up),
+x AS (SELECT r.*, version_no, coalesce(k.n, 0) AS kids FROM r JOIN v ON v.id = r.id LEFT JOIN k ON k.up = r.id),
+f AS (SELECT root, count(*) AS n_versions, count(*) FILTER (kids > 1) AS n_forks, max(version_no) - min(version_no) + 1 - count(DISTINCT version_no) AS n_gaps, arg_max(id, (version_no, id)) FILTER (kids = 0) AS current FROM x GROUP BY root)
+SELECT x.id, x.root, x.depth, kids = 0 AS is_leaf, current, current = x.id AS is_current, n_versions, n_forks, n_gaps, false AS orphan, false AS cyclic FROM x JOIN f ON f.root = x.root""",
     "subgraph_edges": f"""{_BASE}, h AS (SELECT head_id AS start, tail_id, triple_id, 1::BIGINT AS n FROM tri WHERE head_type = 'Part'), g AS (SELECT start, triple_id, n FROM h UNION ALL SELECT h.start, t.triple_id, 2 FROM h JOIN tri t ON t.head_id = h.tail_id)
 SELECT start, triple_id, min(n) AS n_hops FROM g GROUP BY ALL""",
     "graph_checksum": f"{_BASE} SELECT count(*) AS n, sum(CAST('0x' || substr(md5({_ROW}), 1, 15) AS BIGINT)) || '-' || sum(CAST('0x' || substr(md5({_ROW}), 16, 15) AS BIGINT)) AS checksum FROM tri",

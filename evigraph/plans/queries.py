@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import analytics, checks, contain, context, evidence, observe, prompts, resolve
+from ..operators import analytics, anchors, checks, contain, context, evidence, lineage, observe, paths, prompts, resolve
 from ..sources.graph import explode_refs
 from ..sources.projection import PROFILE, trade_graph
 
@@ -378,6 +378,79 @@ def path_rank(spark, d):
     return x.select("start", "end", "n_hops", F.array_join("triple_ids", ">").alias("triple_ids"), F.round("retrieval_score", 9).alias("retrieval_score"), "path_rank")
 
 
+def _costed(spark, d):
+    """The triples with whole costs; what is located or supplied somewhere without a text is background or missing evidence."""
+    c = F.col
+    cost = F.when(c("relation_en") == "supplied_by", 20 + c("ord") % 11).when(c("relation_en") == "has_brand", 10).when(c("relation_en") == "has_type", 12).otherwise(5 + c("ord") % 3)
+    kind = F.when(c("evidence_text") != "", "support").when(c("relation_en") == "supplied_by", "missing").otherwise("background")
+    return trade_graph(spark, d).triples.select("head_id", "tail_id", "triple_id", cost.alias("cost"), kind.alias("support_type"))
+
+
+def evidence_paths_topk(spark, d):
+    """The two cheapest paths of up to three hops from every part to everything it leads to."""
+    x = paths.best_paths(_starts(spark, d), _costed(spark, d), 2, 3)
+    return x.select("start", "end", "path_rank", "cost", "n_hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("triple_ids", ">").alias("triple_ids"), "support_type")
+
+
+def _customer_claims(spark, d):
+    """Of each returned line: that its supplier's part comes from where the customer is. A third says nothing of the way, a third
+    that the nation is, and a third, with any last step, that the region is."""
+    c = F.col
+    at = _t(spark, d, "supplier").select("s_suppkey", c("s_nationkey").alias("supplied_from"))
+    home = _t(spark, d, "orders").select("o_orderkey", "o_custkey").join(_t(spark, d, "customer").select("c_custkey", c("c_nationkey").alias("nation")), c("o_custkey") == c("c_custkey"))
+    x = _t(spark, d, "lineitem").where(c("l_returnflag") == "R").select("l_orderkey", "l_partkey", "l_suppkey").join(home, c("l_orderkey") == c("o_orderkey")).join(at, c("l_suppkey") == c("s_suppkey"))
+    x = x.select(c("l_partkey").alias("part"), c("l_suppkey").alias("supplier"), "nation").distinct().join(_t(spark, d, "nation").select(c("n_nationkey").alias("nation"), "n_regionkey"), "nation")
+    sequence = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    kind = c("part") % 3
+    x = x.withColumns({
+        "head": F.concat(F.lit("PRT_"), c("part").cast("string")), "relations": F.when(kind == 0, sequence()).when(kind == 1, sequence("supplied_by", "located_in")).otherwise(sequence("supplied_by", "located_in", paths.ANY)),
+        "tail": F.when(kind == 2, F.concat(F.lit("REG_"), c("n_regionkey").cast("string"))).otherwise(F.concat(F.lit("NAT_"), c("nation").cast("string"))),
+    })
+    return paths.path_consistent(x, trade_graph(spark, d).triples)
+
+
+def claims_by_path(spark, d):
+    return _customer_claims(spark, d).select("part", "supplier", "nation", "tail", "mapped", "consistent")
+
+
+def pcs_by_path(spark, d):
+    """Claims of a nation that stand as paths, beside those that a line not returned speaks for."""
+    c = F.col
+    at = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    others = _t(spark, d, "lineitem").where(c("l_returnflag") != "R").select("l_partkey", "l_suppkey").join(at, c("l_suppkey") == c("s_suppkey")).select(c("l_partkey").alias("part"), c("l_suppkey").alias("supplier"), c("s_nationkey").alias("nation"))
+    x = analytics.claim_metrics(analytics.claim_status(_customer_claims(spark, d), others, "part", "supplier", "nation"), "nation", mapped=c("mapped"), consistent=c("consistent"))
+    return x.select("nation", "n_supported", "n_unsupported", "n_mapped", "n_consistent", F.round("pcs", 9).alias("pcs"))
+
+
+def anchor_spans(spark, d):
+    """What the observations name."""
+    x = anchors.anchors(_observations(spark, d), trade_graph(spark, d).entities, text="observation")
+    return x.select("query_id", F.col("start").cast("long").alias("start"), "raw_text", "anchor_type", "entity_id", "method", "confidence", "n_entities")
+
+
+ANCHOR_RULES = (anchors.Rule(r"brand no\. (\d+)", r"brand#\1", "Brand", 0.8), anchors.Rule(r"(?:see|size) no\. (\d+)", r"size \1", "Part", 0.6))
+
+
+def anchor_rules(spark, d):
+    """Labels that only rules can read, beside names that they leave alone; a third of the brands is none."""
+    c = F.col
+    kind, number = c("p_partkey") % 3, F.regexp_replace("p_brand", "[^0-9]", "")
+    said = F.when(kind == 0, F.concat(F.lit("See "), c("p_brand"), F.lit(" by its label brand no. "), number)).when(kind == 1, F.concat(F.lit("Size no. "), c("p_size"), F.lit(" of Brand no. "), number, F.lit("9"))).otherwise(F.concat(c("p_type"), F.lit(", see no. "), c("p_size")))
+    x = _t(spark, d, "part").select(F.concat(F.lit("PRT_"), c("p_partkey").cast("string")).alias("query_id"), said.alias("text"))
+    x = anchors.anchors(x, trade_graph(spark, d).entities, ANCHOR_RULES)
+    return x.select("query_id", F.col("start").cast("long").alias("start"), "raw_text", "anchor_type", "entity_id", "method", "confidence", "n_entities")
+
+
+def report_lineage(spark, d):
+    """Orders as versions of a customer's report: every fourth goes back to the first one, and no fourth number is used."""
+    c = F.col
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    x = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumns({"nth": F.row_number().over(w), "before": F.lag("o_orderkey").over(w), "first": F.first("o_orderkey").over(w)})
+    x = x.select("o_orderkey", F.when(c("nth") == 1, F.lit(None)).when(c("nth") % 4 == 0, c("first")).otherwise(c("before")).alias("parent"), (c("nth") + F.when(c("nth") > 3, 1).otherwise(0)).alias("version_no"))
+    x = lineage.lineage(x, "o_orderkey", "parent", "version_no")
+    return x.select("id", "root", "depth", "is_leaf", "current", "is_current", "n_versions", "n_forks", "n_gaps", "orphan", "cyclic")
+
+
 def subgraph_edges(spark, d):
     """What lies within two hops of each part."""
     return analytics.subgraph(_starts(spark, d), trade_graph(spark, d).triples, 2)
@@ -406,6 +479,6 @@ QUERIES = {
         source_attach_last_wins, endpoint_enrich, section_counts, context_summary, section_first_appearance, section_fill, source_dedup_first, source_dedup_text, distinct_heads, context_markdown,
         context_research, plain_listing, observation_match, clause_match, observed_evidence, buckets_union, bucket_topk, insufficient_flags, candidates_or_all, entity_search, source_list, reverse_heads, items_nested, refs_by_list, care_level, labels_rendered, head_labels,
         graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, missing_sources, copies_differ, graph_checksum, prompt_render, prompt_second, prompt_general, safety_supplement,
-        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, subgraph_edges, current_version, timeline_lag, experiment_summary,
+        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, evidence_paths_topk, claims_by_path, pcs_by_path, anchor_spans, anchor_rules, report_lineage, subgraph_edges, current_version, timeline_lag, experiment_summary,
     )
 }
