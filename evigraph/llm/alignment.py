@@ -32,7 +32,7 @@ PART = 1 << 16
 #: Distinct linked id pairs up to which their counts are broadcast; 16 bytes each. Beyond that they are joined by shuffles.
 BROADCAST_PAIRS = 1 << 20
 #: Bytes of text whose token rows a task sorts.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 4 << 20
 #: Ids are sent as 16-bit integers, less this.
 _SHIFT = 1 << 15
 #: Of a pair's number, the lower bits hold the id of side B; of a cut's, the position on side B.
@@ -64,7 +64,12 @@ class ByteLevel:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             self.bytes_of[i] = t
-        self.encode = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        if not all(bytes([i]) in ranks for i in range(256)):
+            raise ValueError("a byte-level vocabulary has every byte")  # so a text's tokens are always the text
+        self.tiktoken = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, part: str) -> np.ndarray:
+        return self.tiktoken.encode_to_numpy(part, disallowed_special=()).astype(np.int32)
 
 
 class Pieces:
@@ -76,7 +81,14 @@ class Pieces:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         piece = lambda i: bytes([int(p.id_to_piece(i)[3:-1], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace("▁", " ").encode()
         self.bytes_of = [piece(i) for i in range(p.get_piece_size())]
-        self.encode = lambda part: p.encode(part[1:], num_threads=1)
+        if any(b" " in x.lstrip(b" ") for x in self.bytes_of):
+            raise ValueError("pieces have blanks at their beginning only")  # so texts can be cut before one
+        self.model = p
+
+    def encode(self, part: str) -> np.ndarray | None:
+        """None where the pieces' bytes differ from the part's."""
+        ids = self.model.encode(part[1:], num_threads=1)
+        return np.array(ids, np.int32) if b"".join(map(self.bytes_of.__getitem__, ids)) == part.encode() else None
 
 
 @lru_cache(maxsize=4)
@@ -104,9 +116,9 @@ def encoded(kind: type, path: str, text: str, size: int = PART) -> np.ndarray:
     e, out = encoder(kind, path), []
     for part in parts(text, size):
         ids = e.encode(part)
-        if b"".join(map(e.bytes_of.__getitem__, ids)) != part.encode():
+        if ids is None:
             return np.zeros(0, np.int32)
-        out.append(np.array(ids, np.int32))
+        out.append(ids)
     return np.concatenate(out)
 
 

@@ -233,11 +233,12 @@ def test_parts_of_a_text_are_encoded_as_the_whole(texts):
     assert len(list(alignment.parts("word " * 500, 10))) > 100
 
 
-def test_no_piece_goes_on_with_a_blank_and_ids_follow_the_merges():
+def test_every_code_point_is_its_own_bytes_but_for_the_mark_of_blanks():
     e = alignment.encoder(alignment.Pieces, B_PATH)
-    assert not [x for x in e.bytes_of if b" " in x.lstrip(b" ")]
-    a = alignment.encoder(alignment.ByteLevel, A_PATH)
-    assert all(bytes([i]) in a.bytes_of for i in range(256)) and len(a.bytes_of) < 1 << 16 and len(e.bytes_of) < 1 << 15
+    assert e.encode(" a▁b") is None and len(alignment.encoded(alignment.Pieces, B_PATH, "x a▁b")) == 0
+    some = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 0x2581 and (c < 0x3000 or c % 37 == 0)]
+    assert [c for c in some if e.encode(f" {chr(c)}e\u0301 {chr(c)}") is None] == []
+    assert len(alignment.encoder(alignment.ByteLevel, A_PATH).bytes_of) < 1 << 16 and len(e.bytes_of) < 1 << 15
 
 
 def test_token_rows_are_not_sent_and_texts_are_encoded_once(spark, documents, tmp_path):
