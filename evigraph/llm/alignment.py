@@ -32,7 +32,7 @@ PART = 1 << 16
 #: Distinct linked id pairs up to which their counts are broadcast; 16 bytes each. Beyond that they are joined by shuffles.
 BROADCAST_PAIRS = 1 << 20
 #: Bytes of text whose token rows a task sorts.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 2 << 20
 #: Ids are sent as 16-bit integers, less this.
 _SHIFT = 1 << 15
 #: Of a pair's number, the lower bits hold the id of side B; of a cut's, the position on side B.

@@ -13,6 +13,8 @@ near copies make, is dealt over several tasks.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,31 +22,74 @@ from pyspark.sql import functions as F
 
 from .common import clean_vector, runs, written
 
-TABLES, EXACT_ROWS, BLOCK, FULL, SEED = 48, 4_096, 4_096, 4_096, 20_240_607
+TABLES, BLOCK, FULL, SEED = 48, 4_096, 4_096, 20_240_607
+#: Share of the nearest rows that the probes are made for; above what is asked for, as it is estimated on few hundred of them.
+RECALL = 0.93
 #: Candidates that a task gathers before it gives out lists.
 _GATHERED = 2_000_000
 #: Rows of a mean bucket beyond which a table takes a further hash.
 _BUCKET = 256
 
 
-def scheme(width: int, rows: int, exact_rows: int = EXACT_ROWS, tables: int = TABLES, probes: int | None = None) -> tuple[int, int, int]:
+def scheme(width: int, rows: int, exact: bool = False, tables: int = TABLES, probes: int | None = None, k: int = 20) -> tuple[int, int, int]:
     """(tables, hashes a table, codes that a query probes in each) for so many different vectors of a width.
 
-    Probes fall with the rows, as a query's nearest rows are nearer then, and rise with the third power of the width, as those
-    of random vectors are farther. Up to exact_rows rows one bucket holds all.
+    Probes are as many as random unit vectors need, which are the hardest, see needed_probes(), and at least as many as meet 4 k
+    rows. exact puts all rows in one bucket; so do 4 k rows at most, of which a query has to get k whatever lies near.
     """
-    if rows <= exact_rows:
+    if exact or rows <= 4 * k:
         return 1, 0, 1
     d = padded(width)
     hashes = 2
     while (2 * d) ** hashes * _BUCKET < rows and (2 * d) ** (hashes + 1) < 2**62:
         hashes += 1
     if probes is None:
-        wide = max(8.0, 27 * (d / 64) ** 3)
-        probes = int(np.ceil(wide * (20_000 / rows) ** 0.35 * 45 ** (hashes - 2)))
+        probes = max(needed_probes(width, int(float(f"{rows:.1e}")), hashes, tables, k), -(-4 * k * (2 * d) ** hashes // (tables * rows)))
     return tables, hashes, min(probes, (2 * d) ** hashes)
 
 
+def near_cosines(width: int, rows: int, k: int, n: int, rng) -> np.ndarray:
+    """(n, k) cosines between n random vectors and their k nearest of `rows` random ones, from the cosines' distribution."""
+    t = np.linspace(-1, 1, 200_001)
+    density = (1 - t * t) ** ((max(width, 3) - 3) / 2)
+    tail = np.cumsum(density[::-1]) / density.sum()
+    share = np.cumsum(rng.exponential(size=(n, k)), axis=1) / max(rows, k)
+    return np.interp(np.log(share), np.log(np.maximum(tail, 1e-300)), t[::-1])
+
+
+def codes_before(width: int, rows: int, hashes: int, tables: int, k: int, seed: int) -> np.ndarray:
+    """How many codes of a table come before that of a near vector in a query's order, in the best table, for the k nearest of
+    random queries among `rows` random unit vectors. The tables' own rotations are tried."""
+    d = padded(width)
+    rng = np.random.default_rng(seed)
+    n = int(np.clip(16_000_000 // ((2 * d) ** (hashes - 1) * d), 6, 24))
+    c = near_cosines(width, rows, k, n, rng)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    q, z = unit(rng.normal(size=(n, width))), rng.normal(size=(n, k, width))
+    z = unit(z - (z @ q[:, :, None]) * q[:, None])
+    x = (c[:, :, None] * q[:, None] + np.sqrt(1 - c * c)[:, :, None] * z).reshape(n * k, width)
+    signs = rotations(width, tables * hashes)
+    before = np.full((n, k), np.inf)
+    for t in range(tables):
+        of = signs[t * hashes : (t + 1) * hashes]
+        sides, own = [axes(rotate(q, s)) for s in of], [nearest_axis(rotate(x, s)).reshape(n, k) for s in of]
+        for i in range(n):
+            total = sum(side[i][at[i]] for side, at in zip(sides, own))
+            sums = np.zeros(1)
+            for side in sides[:-1]:
+                sums = (sums[:, None] + side[i]).ravel()
+            sums.sort()
+            larger = len(sums) - np.searchsorted(sums, total[:, None] - sides[-1][i], side="right")
+            before[i] = np.minimum(before[i], larger.sum(1))
+    return before
+
+
+@lru_cache(maxsize=64)
+def needed_probes(width: int, rows: int, hashes: int, tables: int, k: int, recall: float = RECALL) -> int:
+    """Codes to probe in each table so that this share of the k nearest of random unit vectors is met in any."""
+    return int(np.quantile(codes_before(width, rows, hashes, tables, k, seed=1), recall)) + 1
+
+
 def padded(width: int) -> int:
     """The next power of two."""
     return 1 << max(1, (width - 1).bit_length())
@@ -207,9 +252,9 @@ def _rerank(most: int, once: bool):
                         for i in asked:
                             at = order[np.searchsorted(place, np.asarray(part.column("found")[int(i)].values))]
                             at = at[best(vecs[at] @ v[i], ids[at])]
-                            out.append((rep[i], reps[at], _in_order(v[i], vecs[at])))
+                            out.append((rep[i], reps[at], ids[at], _in_order(v[i], vecs[at])))
                         n = [len(x[1]) for x in out]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], n)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], ["query", "rep", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], n)), *[pa.array(np.concatenate([x[j] for x in out])) for j in (1, 2, 3)]], ["query", "rep", "least", "score"])
 
     return run
 
@@ -287,17 +332,16 @@ def candidates(each: DataFrame, schemes: dict) -> DataFrame:
     return found.groupBy("query", "block").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int | None = None, exact_rows: int = EXACT_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int | None = None, exact: bool = False, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found of every vector whose id is divisible by `every`.
 
     Nearness is the inner product, in double precision, summed from the first component to the last; vectors are taken to be
-    of about equal length, as the hash sees only their direction. Every row is in every table's index. Up to exact_rows
-    different vectors of a width are searched exactly; above that, see scheme() for the numbers that are taken by default.
-    Measured on samples of queries among random unit vectors, which are the hardest, in a simulation of these tables with about
-    as many probes: recall of the 20 nearest 0.91 at 20,000 rows of 64 dimensions with 0.10 of all rows compared, 0.91 at
-    100,000 with 0.07, 0.93 at 20,000 rows of 256 dimensions with 0.28; of 51,282 given vectors of 64 dimensions 0.92 with
-    0.08. Tests hold 24,000 rows of 64 dimensions to 0.9 with 0.1, and 3,000 of 200 to 0.9 with 0.5. Other widths and larger
-    tables follow the same rule and were not measured.
+    of about equal length, as the hash sees only their direction. Every row is in every table's index, whatever the table's
+    size (4 k rows at most are one bucket, as a query has to get k of them); exact compares every query with every row instead, and is never taken unasked. The probes are so many that RECALL of
+    the 20 nearest of random unit vectors, which are the hardest, are met. What that costs, as codes met over all rows, before
+    those met twice are put together: of 64 dimensions 0.3 at 500 rows, 0.06 at 20,000 and 0.02 at 1,000,000; of 256
+    dimensions 0.3 and 0.2; of 384 dimensions 0.5 at 20,000 and 0.2 at 1,000,000, of 768 dimensions 0.7 and 0.4, where exact is
+    hardly dearer. Tests hold the tables to a recall of 0.9 in these and larger sizes, and whole searches of given rows.
 
     Rows with no id, or whose vector is null, empty, zero or holds a null or non-finite component, take no part. Candidates
     are the rows of other ids and of the query's length. Rows of one id count once for a query, by the best score. Ties go to
@@ -310,14 +354,14 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = T
     if not rows:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     once = d.select("id", "rep").distinct().groupBy("id").count().where("count > 1").isEmpty()
-    schemes = {w: scheme(w, n, exact_rows, tables, probes) for w, n in rows.items()}
+    schemes = {w: scheme(w, n, exact, tables, probes, k) for w, n in rows.items()}
     found = candidates(each, schemes)
     block = F.pmod(F.xxhash64("rep"), F.lit(-(-sum(rows.values()) // BLOCK))).cast("int").alias("block")
     asked = found.join(each.select(F.col("rep").alias("query"), "id", "v"), "query").select("block", F.lit(1).alias("side"), F.col("query").alias("rep"), "id", "v", "found")
     held = each.select(block, F.lit(0).alias("side"), "rep", "id", "v", F.lit(None).cast("array<long>").alias("found"))
-    x = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "side").mapInArrow(_rerank(k + 1, once), "query long, rep long, score double")
-    if once:
-        x = x.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("nth") <= k + 1).drop("nth")
+    x = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "side").mapInArrow(_rerank(k + 1, once), "query long, rep long, least long, score double")
+    if once:  # of equal scores the vectors with the least ids
+        x = x.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least"))).where(F.col("nth") <= k + 1).drop("nth")
     queries = d.where(F.col("id") % every == 0).select(F.col("rep").alias("query"), F.col("id").alias("query_id")).distinct()
     x = x.join(ids.withColumnRenamed("id", "vec_id"), "rep").join(queries, "query").where(F.col("query_id") != F.col("vec_id"))
     x = x.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -149,15 +149,6 @@ SELECT d.doc_id, d.size, v.n AS source_size, v.target, CAST(d.size * (v.whole +
 FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source
 """
 
-#: Tables of up to ann.EXACT_ROWS different vectors are searched exactly; products are summed from the first component on.
-_OP6 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-"""
-
 _OP9 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
@@ -237,4 +228,4 @@ SELECT vec_id, CAST(z.k AS INTEGER) AS cluster, z.d AS distance, CAST(sum(z.d) O
 FROM z JOIN v ON v.rn = z.rn JOIN c3 ON c3.k = z.k
 """
 
-SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op4_source_mix": _OP4, "op6_cross_polytope": _OP6, "op7_token_counts": _OP7, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10, "op11_centroids": _OP11}
+SQL = {"op1_near_dedup": _OP1, "op3_line_dedup": _OP3, "op4_source_mix": _OP4, "op7_token_counts": _OP7, "op8_warc": _OP8, "op9_exact_top_k": _OP9, "op10_url_rules": _OP10, "op11_centroids": _OP11}

@@ -94,10 +94,10 @@ def test_huge_components_have_defined_scores(spark):
         assert got[i] == [(j, -s) for s, j in want]
 
 
-def test_small_tables_are_searched_exactly(vectors):
+def test_exact_search_is_brute_force(vectors):
     rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
     want = brute(rows, 20, 20, lambda a, b: float(np.dot(np.array(a, float), np.array(b, float))), lambda v: any(v))
-    got = collected(ann.neighbours(vectors))
+    got = collected(ann.neighbours(vectors, exact=True))
     assert got.keys() == want.keys()
     for i in want:
         assert np.allclose([s for _, s in got[i]], [s for _, s in want[i]], rtol=0, atol=1e-12)
@@ -105,6 +105,36 @@ def test_small_tables_are_searched_exactly(vectors):
     assert ann.neighbours(vectors.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("n", [2, 12, 21, 22, 40, 200])
+def test_small_tables_are_hashed_and_queries_get_their_number(spark, n):
+    x = unit(n, 16, n)
+    got = collected(ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=5))
+    assert len(got) == -(-n // 5) and all(len(v) == min(20, n - 1) for v in got.values())
+    hits = sum(len({j for j, _ in v} & set(np.argsort(-(x @ x[i]))[1:21].tolist())) for i, v in got.items())
+    assert hits >= 0.9 * len(got) * min(20, n - 1)
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_ties_between_different_vectors_go_to_the_smaller_id(spark, exact):
+    rng = np.random.default_rng(2)
+    rest = rng.standard_normal((100, 15))
+    rest *= np.sqrt(0.75) / np.linalg.norm(rest, axis=1, keepdims=True)
+    rows = [(0, [1.0] + [0.0] * 15)] + [(1 + 7 * i, [0.5, *x]) for i, x in enumerate(rest.tolist())]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = collected(ann.neighbours(d, exact=exact))[0]
+    assert [s for _, s in got] == [0.5] * 20 and [j for j, _ in got] == sorted(j for j, _ in got)
+    if exact:
+        assert [j for j, _ in got] == [1 + 7 * i for i in range(20)]
+
+
+@pytest.mark.parametrize("width,rows", [(64, 500), (64, 20_000), (64, 1_000_000), (64, 4_000_000), (64, 100_000_000), (128, 20_000), (128, 1_000_000), (128, 10**9), (256, 20_000), (256, 1_000_000), (256, 10**9), (384, 20_000), (384, 1_000_000), (768, 20_000), (768, 1_000_000)])
+def test_the_tables_meet_nine_of_ten_whatever_width_and_rows(width, rows):
+    """Random vectors, with other queries than the probes were made for. Work: codes met over rows, at most those of exact search."""
+    tables, hashes, probes = ann.scheme(width, rows)
+    assert (ann.codes_before(width, rows, hashes, tables, 20, seed=5) < probes).mean() >= 0.9
+    assert tables * probes < (2 * ann.padded(width)) ** hashes
+
+
 def searched(spark, x, every, **more):
     """(recall of the 20 nearest, share of all rows that a query is compared with)."""
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
@@ -128,7 +158,7 @@ def test_recall_and_work_of_hashing_alone(spark):
 
 
 def test_recall_of_wide_and_narrow_vectors(spark):
-    wide, narrow = searched(spark, unit(3_000, 200, 4), 100, exact_rows=0), searched(spark, unit(5_000, 20, 5), 50)
+    wide, narrow = searched(spark, unit(3_000, 200, 4), 100), searched(spark, unit(5_000, 20, 5), 50)
     assert wide[0] >= 0.9 and wide[1] <= 0.5
     assert narrow[0] >= 0.9 and narrow[1] <= 0.3
 
@@ -148,10 +178,10 @@ def test_full_buckets_are_dealt_and_nothing_is_lost(spark, monkeypatch):
     base = unit(1, 64, 8)[0]
     x = base + 0.01 * np.random.default_rng(9).standard_normal((3_000, 64))
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    want = collected(ann.neighbours(d, every=100, exact_rows=0, tables=2, probes=3))
+    want = collected(ann.neighbours(d, every=100, tables=2, probes=3))
     monkeypatch.setattr(ann, "FULL", 100)
     monkeypatch.setattr(ann, "_GATHERED", 1_000)
-    assert collected(ann.neighbours(d, every=100, exact_rows=0, tables=2, probes=3)) == want and len(want) == 30
+    assert collected(ann.neighbours(d, every=100, tables=2, probes=3)) == want and len(want) == 30
 
 
 def test_an_id_with_several_vectors_counts_once(spark):
@@ -166,7 +196,7 @@ def test_an_id_with_several_vectors_counts_once(spark):
                 if j != i:
                     best[j] = max(best.get(j, -9.0), dot(a, b))
         merged[i] = sorted(((j, s) for j, s in best.items()), key=lambda t: (-t[1], t[0]))[:20]
-    assert collected(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == merged
+    assert collected(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=True)) == merged
 
 
 def test_codes_of_the_largest_sums_come_first():
