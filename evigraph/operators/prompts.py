@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_none_of, numbered, strip
 
 # The safety rules, the phrase whose absence calls for them, the version names, the heading that evidence stands
-# under, the phrase for lacking evidence, and the headings and fields that readers of an answer look for.
+# under, the phrase for lacking evidence, the headings of an answer and the three fields that trace an item to its evidence.
 SAFETY = (
     "仅用于辅助决策，不替代医生诊断。",
     "不得把候选疾病表述为确诊。",
@@ -34,32 +34,17 @@ _TASK = "# 任务\n请只凭下面的证据，说明观察与候选疾病有什
 _GROUNDS = f"每句话都要能在证据里找到出处；证据没有谈到的，写“{LACKING}”，不要用别处的知识去补。不开处方，不谈剂量，不把候选当成结论。"
 _TRACED = f"观察要逐条对照证据，每一条都写明它的{'、'.join(TRACE)}；措辞留有余地。"
 
-#: version -> (what an answer keeps to, its headings with the fields below each)
-_FORMS: dict[str | None, tuple[str, dict[str, tuple[str, ...]]]] = {
-    V1: (_GROUNDS, dict.fromkeys((CANDIDATE, SUPPORT, DIFFERENTIAL, RISK, ADVICE), ())),
-    V2: (
-        _GROUNDS + _TRACED,
-        {
-            CANDIDATE: ("中文名称", "英文名称", "疾病 ID", "结论表述"),
-            MATCHED: ("观察", "匹配情况", *TRACE),
-            SUPPORT: TRACE,
-            DIFFERENTIAL: ("需鉴别者", *TRACE),
-            RISK: ("风险", *TRACE),
-            ADVICE: ("建议", *TRACE),
-            MISSING: ("所缺内容", "原因"),
-        },
-    ),
-    None: ("", dict.fromkeys((CANDIDATE, MATCHED, SUPPORT, DIFFERENTIAL, RISK, EXAMS, MISSING, DISCLAIMED), ())),
+#: version -> (what an answer keeps to, its headings, those whose every line is an item with its trace)
+_FORMS: dict[str | None, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
+    V1: (_GROUNDS, (CANDIDATE, SUPPORT, DIFFERENTIAL, RISK, ADVICE), ()),
+    V2: (_GROUNDS + _TRACED, (CANDIDATE, MATCHED, SUPPORT, DIFFERENTIAL, RISK, ADVICE, MISSING), (MATCHED, SUPPORT, DIFFERENTIAL, RISK, ADVICE)),
+    None: ("", (CANDIDATE, MATCHED, SUPPORT, DIFFERENTIAL, RISK, EXAMS, MISSING, DISCLAIMED), ()),
 }
 
 
-def _skeleton(headings: dict[str, tuple[str, ...]]) -> str:
-    """Headings, with their fields below: what is traced is one step further in."""
-    lines = []
-    for heading, fields in headings.items():
-        lines.append(f"{heading}：")
-        lines += [("    - " if f in TRACE and len(fields) > len(TRACE) else "  - ") + f"{f}：" for f in fields]
-    return "\n".join(lines)
+def _outline(headings: tuple[str, ...], traced: tuple[str, ...]) -> str:
+    """A line a heading; where items are traced it says what a line of them holds."""
+    return "\n".join(f"{h}：" + (f"（一行一条：{' | '.join(TRACE)}）" if h in traced else "") for h in headings)
 
 
 def render(version: str | None, candidate: Column, observation: Column, context: Column) -> Column:
@@ -69,11 +54,11 @@ def render(version: str | None, candidate: Column, observation: Column, context:
     blanks at its ends.
     """
     known = version if version in _FORMS else None
-    keep, headings = _FORMS[known]
+    keep, headings, traced = _FORMS[known]
     own = (lambda c: c) if known == V2 else strip
     inputs = F.concat(F.lit("# 输入\n- 候选疾病："), own(candidate), F.lit("\n- 用户观察："), own(observation))
     rules = F.lit(f"# 要求\n{keep}") if keep else F.concat(F.lit("# 要求\n"), numbered(F.array(*[F.lit(x) for x in SAFETY])))
-    text = F.concat_ws("\n\n", F.lit(_TASK), inputs, F.concat(F.lit(f"# {EVIDENCE}\n"), context), rules, F.lit(f"# 回答的栏目，不增不减\n{_skeleton(headings)}"))
+    text = F.concat_ws("\n\n", F.lit(_TASK), inputs, F.concat(F.lit(f"# {EVIDENCE}\n"), context), rules, F.lit(f"# 回答的栏目，不增不减\n{_outline(headings, traced)}"))
     return strip(text) if known == V2 else text
 
 
@@ -88,7 +73,8 @@ def with_safety(prompt: Column, own_text: Column | None = None, marker: str = MA
 
 
 def prompts(queries: DataFrame, contexts: DataFrame, version: str | None = V1) -> DataFrame:
-    """(query_id, prompt) for queries (query_id, candidate, observation); blank inputs get no prompt but an outcome."""
+    """(query_id, prompt, outcome) for queries (query_id, candidate, observation). In every version, version 2 included, a null or
+    blank input gets no prompt but an outcome, as single questions do."""
     x = queries.join(contexts, "query_id", "left")
     blank = (strip(F.col("candidate")) == "") | (strip(F.col("observation")) == "") | F.col("candidate").isNull() | F.col("observation").isNull()
     own = render(version, F.lit("-"), F.lit("-"), F.coalesce("context", F.lit("")))

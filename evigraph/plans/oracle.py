@@ -32,38 +32,12 @@ _PROMPTS = {
 
 # 回答的栏目，不增不减
 候选疾病：
-  - 中文名称：
-  - 英文名称：
-  - 疾病 ID：
-  - 结论表述：
-用户观察与证据匹配：
-  - 观察：
-  - 匹配情况：
-    - 证据路径：
-    - evidence_text：
-    - source：
-支持证据：
-  - 证据路径：
-  - evidence_text：
-  - source：
-鉴别诊断：
-  - 需鉴别者：
-    - 证据路径：
-    - evidence_text：
-    - source：
-风险提示：
-  - 风险：
-    - 证据路径：
-    - evidence_text：
-    - source：
-就医建议：
-  - 建议：
-    - 证据路径：
-    - evidence_text：
-    - source：
+用户观察与证据匹配：（一行一条：证据路径 | evidence_text | source）
+支持证据：（一行一条：证据路径 | evidence_text | source）
+鉴别诊断：（一行一条：证据路径 | evidence_text | source）
+风险提示：（一行一条：证据路径 | evidence_text | source）
+就医建议：（一行一条：证据路径 | evidence_text | source）
 证据不足说明：
-  - 所缺内容：
-  - 原因：
 
 # Safety
 """ + _SAFETY,
@@ -274,7 +248,8 @@ SELECT name, CAST(expected AS BIGINT) AS expected, actual, 'Expected ' || expect
     "dup_check": f"{_BASE} SELECT key, count(*) AS n FROM keys GROUP BY key HAVING count(*) > 1",
     "dangling_nodes": f"{_BASE}, e AS (SELECT triple_id, 'head' AS side, head_id AS id FROM tri UNION ALL SELECT triple_id, 'tail', tail_id FROM tri) SELECT triple_id, side, id FROM e WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.id = e.id)",
     "missing_sources": f"{_BASE} SELECT triple_id, relation_en FROM att WHERE source_id = ''",
-    "copies_differ": f"{_BASE} SELECT triple_id, 'head' AS side FROM tri WHERE head_type = 'Nation' UNION ALL SELECT triple_id, 'tail' FROM tri WHERE tail_type = 'Nation'",
+    "copies_differ": f"""{_BASE}, own AS (SELECT id, arg_max({{'cn': name_cn, 'kind': entity_type}}, ord) AS e FROM ent GROUP BY id),
+x AS (SELECT triple_id, 'head' AS side, head_id AS id, head_cn AS cn, head_type AS kind FROM tri UNION ALL SELECT triple_id, 'tail', tail_id, tail_cn, tail_type FROM tri) SELECT triple_id, side FROM x JOIN own ON own.id = x.id WHERE cn <> e.cn OR x.kind <> e.kind""",
     "prompt_render": _prompt(1),
     "prompt_second": _prompt(2),
     "prompt_general": _prompt(None),
@@ -315,6 +290,15 @@ f AS (SELECT root, count(*) AS n_versions, count(*) FILTER (kids > 1) AS n_forks
 SELECT x.id, x.root, x.depth, kids = 0 AS is_leaf, current, current = x.id AS is_current, n_versions, n_forks, n_gaps, false AS orphan, false AS cyclic FROM x JOIN f ON f.root = x.root""",
     "subgraph_edges": f"""{_BASE}, h AS (SELECT head_id AS start, tail_id, triple_id, 1::BIGINT AS n FROM tri WHERE head_type = 'Part'), g AS (SELECT start, triple_id, n FROM h UNION ALL SELECT h.start, t.triple_id, 2 FROM h JOIN tri t ON t.head_id = h.tail_id)
 SELECT start, triple_id, min(n) AS n_hops FROM g GROUP BY ALL""",
+    "status_cube": f"""{_BASE} SELECT head_type, relation_en, source_type, count(*) AS n, count(DISTINCT head_id) AS n_heads, count(*) FILTER (evidence_text <> '') AS n_with_text, CAST(grouping_id(head_type, relation_en, source_type) AS BIGINT) AS level FROM att GROUP BY CUBE (head_type, relation_en, source_type)""",
+    "shape_violations": f"""{_BASE}, n AS (SELECT relation_en, count(*) AS n FROM tri GROUP BY 1),
+h AS (SELECT relation_en, head_type FROM tri JOIN n USING (relation_en) GROUP BY ALL HAVING count(*) >= 0.1 * max(n)), t AS (SELECT relation_en, tail_type FROM tri JOIN n USING (relation_en) GROUP BY ALL HAVING count(*) >= 0.1 * max(n)),
+d AS (SELECT relation_en, head_id, count(DISTINCT tail_id) AS tails FROM tri GROUP BY ALL), f AS (SELECT relation_en FROM d GROUP BY 1 HAVING count(*) FILTER (tails = 1) >= 0.99 * count(*))
+SELECT triple_id, 'domain' AS violation FROM tri WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.relation_en = tri.relation_en AND h.head_type = tri.head_type) UNION ALL SELECT triple_id, 'range' FROM tri WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.relation_en = tri.relation_en AND t.tail_type = tri.tail_type)
+UNION ALL SELECT triple_id, 'cardinality' FROM tri JOIN d USING (relation_en, head_id) WHERE tails > 1 AND relation_en IN (SELECT relation_en FROM f)""",
+    "version_diff": f"""{_BASE}, x AS (SELECT *, CASE WHEN head_type = 'Part' THEN CAST(substr(head_id, 5) AS BIGINT) END AS number FROM tri)
+SELECT triple_id, 'removed' AS change, '' AS columns FROM x WHERE number % 97 = 0 UNION ALL SELECT 'X' || triple_id, 'added', '' FROM x WHERE number % 83 = 0 AND relation_en = 'has_type'
+UNION ALL SELECT triple_id, 'changed', CASE WHEN number % 178 = 0 THEN 'evidence_text,note' ELSE 'evidence_text' END FROM x WHERE number % 89 = 0 AND number % 97 <> 0""",
     "graph_checksum": f"{_BASE} SELECT count(*) AS n, sum(CAST('0x' || substr(md5({_ROW}), 1, 15) AS BIGINT)) || '-' || sum(CAST('0x' || substr(md5({_ROW}), 16, 15) AS BIGINT)) AS checksum FROM tri",
     "current_version": "WITH v AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version_no, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey, version_no, version_no = n AS is_current, version_no - 1 AS previous FROM v",
     "timeline_lag": "SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, coalesce(CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS BIGINT), -1) AS gap_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import analytics, anchors, checks, contain, context, evidence, lineage, observe, paths, prompts, resolve
+from ..operators import analytics, anchors, checks, contain, context, evidence, lineage, observe, paths, prompts, resolve, snapshots
 from ..sources.graph import explode_refs
 from ..sources.projection import PROFILE, trade_graph
+from ..sources.shared import new_path
 
 HEAD, FEATURE = PROFILE.head_type, PROFILE.feature_type
 
@@ -280,10 +281,31 @@ def missing_sources(spark, d):
 
 
 def copies_differ(spark, d):
-    """Names of nations are changed in the entities first: the shipped copies agree."""
+    """Of the graph as it is; tests plant copies that differ."""
+    return checks.copies_differ(trade_graph(spark, d))
+
+
+def status_cube(spark, d):
     g = trade_graph(spark, d)
-    some = g.entities.withColumn("name_cn", F.when(F.col("entity_type") == "Nation", F.upper(F.concat("name_cn", F.lit("!")))).otherwise(F.col("name_cn")))
-    return checks.copies_differ(type(g)(some, g.triples, g.sources, g.refs))
+    return checks.status_cube(evidence.attach_sources(g.triples, g), "head_type", "relation_en", "source_type")
+
+
+def shape_violations(spark, d):
+    """Of the graph as it is: what a tenth of a relation's triples have is its shape, so suppliers are too few to be located."""
+    t = trade_graph(spark, d).triples
+    return checks.shape_violations(t, checks.shapes(t))
+
+
+def version_diff(spark, d):
+    """A later version of the graph, in which parts are dropped, said to be otherwise, or come in, against the graph as it is."""
+    c = F.col
+    t, old, new = trade_graph(spark, d).triples, new_path(spark, "version"), new_path(spark, "version")
+    number = F.when(c("head_id").startswith("PRT_"), F.substring("head_id", 5, 20).cast("long"))
+    later = t.where(~F.coalesce(number % 97 == 0, F.lit(False))).withColumns({"evidence_text": F.when(number % 89 == 0, F.concat("evidence_text", F.lit("."))).otherwise(c("evidence_text")), "note": F.when(number % 178 == 0, "later").otherwise(c("note"))})
+    more = t.where((number % 83 == 0) & (c("relation_en") == "has_type")).withColumn("triple_id", F.concat(F.lit("X"), c("triple_id")))
+    snapshots.snapshot(t, "triple_id", old)
+    snapshots.snapshot(later.unionByName(more), "triple_id", new)
+    return snapshots.diff(spark, old, new, "triple_id").select("triple_id", "change", F.array_join("columns", ",").alias("columns"))
 
 
 def graph_checksum(spark, d):
@@ -478,7 +500,7 @@ QUERIES = {
         kg_entities, list_heads, alias_explode, lookup_keys, resolve_all, resolve_first, resolve_ranked, resolve_outcome, head_outcome, evidence_by_head, evidence_by_relation, reverse_lookup,
         source_attach_last_wins, endpoint_enrich, section_counts, context_summary, section_first_appearance, section_fill, source_dedup_first, source_dedup_text, distinct_heads, context_markdown,
         context_research, plain_listing, observation_match, clause_match, observed_evidence, buckets_union, bucket_topk, insufficient_flags, candidates_or_all, entity_search, source_list, reverse_heads, items_nested, refs_by_list, care_level, labels_rendered, head_labels,
-        graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, missing_sources, copies_differ, graph_checksum, prompt_render, prompt_second, prompt_general, safety_supplement,
+        graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, missing_sources, copies_differ, status_cube, shape_violations, version_diff, graph_checksum, prompt_render, prompt_second, prompt_general, safety_supplement,
         forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, evidence_paths_topk, claims_by_path, pcs_by_path, anchor_spans, anchor_rules, report_lineage, subgraph_edges, current_version, timeline_lag, experiment_summary,
     )
 }

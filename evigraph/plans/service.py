@@ -130,13 +130,18 @@ class EvidenceService:
         return got["listing"] if got else NO_RESULT
 
     def prompt(self, head: str, observation: str, version: str | None = prompts.V1) -> dict:
+        """Versions 1 and 2 show the research context, with the triples' own names and sources by label, any other version the
+        context of the service. Inputs are taken without blanks at their ends."""
         self._need(head, observation)
-        c = self.context(head)
-        q = self._query(head, candidate=head, observation=observation).drop("query")
-        row = prompts.prompts(q, c["markdown"], version or prompts.V1).first()
+        c, version = self.context(head), version or prompts.V1
+        q = self._query(head.strip(), candidate=head.strip(), observation=observation.strip())
+        shown = c["markdown"]
+        if version in (prompts.V1, prompts.V2):
+            shown = context.research_markdown(q, evidence.by_head(q, self.graph, self.profile.head_type), self.graph.entities, self.profile)
+        row = prompts.prompts(q.drop("query"), shown, version).first()
         parts = context.summary(c["items"], self.profile).first()
         sections = {r["section"]: r["n_items"] for r in context.section_counts(c["items"], self.profile).collect()}
-        return {"prompt_text": row["prompt"], "candidate_disease": head.strip(), "prompt_version": version or prompts.V1, "safety_constraints": list(prompts.SAFETY), "evidence_summary": {"section_count": parts["section_count"], "source_count": parts["source_count"], "sections": sections}}
+        return {"prompt_text": row["prompt"], "candidate_disease": head.strip(), "prompt_version": version, "safety_constraints": list(prompts.SAFETY), "evidence_summary": {"section_count": parts["section_count"], "source_count": parts["source_count"], "sections": sections}}
 
     def explain(self, head: str, observation: str) -> dict:
         """The parts of a template explanation, as lists of {evidence_path, evidence_text, source} in order."""

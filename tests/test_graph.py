@@ -223,10 +223,13 @@ def test_prompts(service, spark):
         text = service.prompt("Alpha", "红斑", version)["prompt_text"]
         assert prompts.MARKER in text and "红斑" in text and "证据路径" in text and "Alpha" in text
         assert "知识图谱证据上下文" in text and "不得输出处方、药物剂量" in text and "鉴别诊断：" in text
+    for version, own in ((prompts.V1, True), (prompts.V2, True), ("other", False)):
+        text = service.prompt(" Alpha\u3000", "\t红斑 ", version)["prompt_text"]
+        assert "候选疾病：Alpha\n- 用户观察：红斑\n" in text and ("红斑二" not in text) == own
     one = spark.range(1)
     c = lambda v: one.select(prompts.render(v, F.lit(" x "), F.lit("\ty"), F.lit("ctx"))).first()[0]
     assert "候选疾病： x \n- 用户观察：\ty\n" in c(prompts.V2) and "候选疾病：x\n- 用户观察：y\n" in c(prompts.V1) and "就医/检查建议：" in c(None)
-    assert "用户观察与证据匹配：\n  - 观察：\n  - 匹配情况：\n    - 证据路径：\n    - evidence_text：" in c(prompts.V2)
+    assert "用户观察与证据匹配：（一行一条：证据路径 | evidence_text | source）\n支持证据：" in c(prompts.V2) and "候选疾病：\n用户观察" in c(prompts.V2)
     d = spark.createDataFrame([("不得输出患病概率",)], "x string")
     assert "# Safety" not in d.select(prompts.with_safety(F.col("x"))).first()[0]
     assert "# Safety" in d.select(prompts.with_safety(F.col("x"), F.lit(""))).first()[0]
