@@ -281,6 +281,14 @@ SELECT nation, count(*) FILTER (pair) AS n_supported, count(*) FILTER (NOT pair
     "anchor_rules": f"""{_RECURSIVE}, said AS (SELECT 'PRT_' || p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'See ' || p_brand || ' by its label brand no. ' || {_PB} WHEN 1 THEN 'Size no. ' || p_size || ' of Brand no. ' || {_PB} || '9' ELSE p_type || ', see no. ' || p_size END AS t FROM part), {_ANCHORS},
 rule AS (SELECT query_id, t, regexp_extract(t, '[Bb]rand no[.] [0-9]+') AS raw_text, 'brand#' || regexp_extract(t, '[Bb]rand no[.] ([0-9]+)', 1) AS name, 'Brand' AS kind, CAST(0.8 AS DOUBLE) AS confidence FROM said UNION ALL SELECT query_id, t, regexp_extract(t, '([Ss]ee|[Ss]ize) no[.] [0-9]+'), 'size ' || regexp_extract(t, '([Ss]ee|[Ss]ize) no[.] ([0-9]+)', 2), 'Part', CAST(0.6 AS DOUBLE) FROM said)
 SELECT * FROM span UNION ALL SELECT query_id, strpos(t, raw_text) - 1, raw_text, coalesce(e.kind, kind), e.id, 'rule', confidence, coalesce(n_entities, 0) FROM rule LEFT JOIN known ON known.name = rule.name WHERE raw_text <> ''""",
+    "analysis_run": f"""{_RECURSIVE}{_OBS}, said AS (SELECT query_id, observation AS t FROM obs), {_ANCHORS},
+a AS (SELECT DISTINCT query_id, entity_id FROM span),
+c AS (SELECT query_id, candidate, count(*) AS score FROM (SELECT query_id, entity_id, head_id AS candidate FROM a JOIN tri ON tail_id = entity_id WHERE head_type = 'Part' UNION SELECT query_id, entity_id, entity_id FROM a WHERE starts_with(entity_id, 'PRT_')) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate) AS r FROM c),
+chosen AS (SELECT query_id, min(candidate) FILTER (r = 1) AS candidate, max(score) AS score, count(*) AS n_candidates FROM k WHERE r <= 3 GROUP BY query_id),
+m AS (SELECT query_id, count(*) AS n_items, count(*) FILTER (evidence_text <> '') AS n_supported FROM k JOIN tri ON head_id = candidate WHERE r <= 3 GROUP BY query_id)
+SELECT n.query_id, n_anchors, candidate, coalesce(score, 0) AS score, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_items, 0) AS n_items, coalesce(n_supported, 0) AS n_supported
+FROM (SELECT query_id, count(*) AS n_anchors FROM span GROUP BY query_id) n LEFT JOIN chosen ON chosen.query_id = n.query_id LEFT JOIN m ON m.query_id = n.query_id""",
     "report_lineage": """WITH RECURSIVE n AS (SELECT o_custkey, o_orderkey AS id, row_number() OVER w AS nth, lag(o_orderkey) OVER w AS before, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 v AS (SELECT id, CASE WHEN nth = 1 THEN NULL WHEN nth % 4 = 0 THEN first ELSE before END AS up, nth + CASE WHEN nth > 3 THEN 1 ELSE 0 END AS version_no FROM n),
 r(id, root, depth) AS (SELECT id, id, CAST(0 AS BIGINT) FROM v WHERE up IS NULL UNION ALL SELECT v.id, r.root, r.depth + 1 FROM r JOIN v ON v.up = r.id),

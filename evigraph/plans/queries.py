@@ -10,6 +10,7 @@ from ..operators import analytics, anchors, checks, contain, context, evidence,
 from ..sources.graph import explode_refs
 from ..sources.projection import PROFILE, trade_graph
 from ..sources.shared import new_path
+from .runs import analysis
 
 HEAD, FEATURE = PROFILE.head_type, PROFILE.feature_type
 
@@ -463,6 +464,11 @@ def anchor_rules(spark, d):
     return x.select("query_id", F.col("start").cast("long").alias("start"), "raw_text", "anchor_type", "entity_id", "method", "confidence", "n_entities")
 
 
+def analysis_run(spark, d):
+    """The full analysis of what was said of each part, stage by stage in a folder of its own."""
+    return analysis(spark, new_path(spark, "run"), _observations(spark, d), trade_graph(spark, d), HEAD).run()
+
+
 def report_lineage(spark, d):
     """Orders as versions of a customer's report: every fourth goes back to the first one, and no fourth number is used."""
     c = F.col
@@ -501,6 +507,6 @@ QUERIES = {
         source_attach_last_wins, endpoint_enrich, section_counts, context_summary, section_first_appearance, section_fill, source_dedup_first, source_dedup_text, distinct_heads, context_markdown,
         context_research, plain_listing, observation_match, clause_match, observed_evidence, buckets_union, bucket_topk, insufficient_flags, candidates_or_all, entity_search, source_list, reverse_heads, items_nested, refs_by_list, care_level, labels_rendered, head_labels,
         graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, missing_sources, copies_differ, status_cube, shape_violations, version_diff, graph_checksum, prompt_render, prompt_second, prompt_general, safety_supplement,
-        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, evidence_paths_topk, claims_by_path, pcs_by_path, anchor_spans, anchor_rules, report_lineage, subgraph_edges, current_version, timeline_lag, experiment_summary,
+        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, evidence_paths_topk, claims_by_path, pcs_by_path, anchor_spans, anchor_rules, analysis_run, report_lineage, subgraph_edges, current_version, timeline_lag, experiment_summary,
     )
 }
