@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import chain
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, new_path
+
 #: Code points that `[\x20\x09-\x0D]` names.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it. Where none is named, a temporary folder will do in
-    local mode, as in tests; on a cluster it would be another disk on each machine, so that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="evigraph-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/evigraph/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation before it."""
     spark = df.sparkSession
@@ -45,7 +30,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return out
 
 
@@ -54,30 +40,37 @@ def in_few_files(df: DataFrame) -> DataFrame:
     return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
-#: Paths of the tables that written() has made and discard() has not deleted.
-_made: list[str] = []
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _made[:] = [x for x in _made if x not in paths]
+#: Paths of the tables that written() has made within the innermost spent() of this thread, and discard() has not deleted.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() whose readers have been written themselves."""
     for t in tables:
-        _delete(t.sparkSession, [t.written_to])
+        delete(t.sparkSession, t.written_to)
+        if (made := _made.get()) is not None and t.written_to in made:
+            made.remove(t.written_to)
 
 
 @contextmanager
 def spent(spark: SparkSession, *too: DataFrame) -> Iterator[list[DataFrame]]:
-    """Deletes at the end the tables that written() made within, and those of `too`, but for what is put into the list given."""
-    known, result = set(_made), []
-    yield result
-    old = {getattr(x, "written_to", None) for x in too}
-    _delete(spark, [p for p in _made if (p not in known or p in old) and p not in {x.written_to for x in result}])
+    """Deletes at the end the tables that written() made within, and those of `too`, but for what is put into the list given. Other
+    threads' tables, and those made before or outside, are left alone; what is kept belongs to the block around this one."""
+    made: list[str] = []
+    outer, result = _made.get(), []
+    token = _made.set(made)
+    try:
+        yield result
+    finally:
+        _made.reset(token)
+    kept = {x.written_to for x in result}
+    for path in [*made, *[p for x in too if (p := getattr(x, "written_to", None))]]:
+        if path not in kept:
+            delete(spark, path)
+            if outer is not None and path in outer:
+                outer.remove(path)
+    if outer is not None:
+        outer += [p for p in made if p in kept]
 
 
 def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -181,3 +181,33 @@ def test_queries_against_sql(spark, name):
 
 def test_all_queries_are_registered():
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES} and "pipeline" in entry.queries()
+
+
+def test_a_run_deletes_its_own_tables_and_no_other_threads(spark, tmp_path):
+    import os
+    import threading
+
+    from evigraph.llm.common import discard, spent, written
+
+    barrier, seen = threading.Barrier(2, timeout=120), {}
+
+    def work(name):
+        with spent(spark) as result:
+            lost, kept = written(spark.range(3), f"{name}-lost"), written(spark.range(5), f"{name}-kept")
+            barrier.wait()  # both have written
+            result.append(kept)
+        barrier.wait()  # both have deleted
+        seen[name] = (os.path.exists(lost.written_to), kept.count())
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in ("a", "b")]
+    outside = written(spark.range(7), "outside")
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert seen == {"a": (False, 5), "b": (False, 5)} and outside.count() == 7
+    with spent(spark) as outer:
+        with spent(spark, outside) as inner:
+            inner.append(written(spark.range(2), "inner"))
+        assert not os.path.exists(outside.written_to) and inner[0].count() == 2
+        one = written(spark.range(1), "one")
+        discard(one)
+    assert not os.path.exists(inner[0].written_to) and outer == []
