@@ -281,6 +281,10 @@ SELECT nation, count(*) FILTER (pair) AS n_supported, count(*) FILTER (NOT pair
     "anchor_rules": f"""{_RECURSIVE}, said AS (SELECT 'PRT_' || p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'See ' || p_brand || ' by its label brand no. ' || {_PB} WHEN 1 THEN 'Size no. ' || p_size || ' of Brand no. ' || {_PB} || '9' ELSE p_type || ', see no. ' || p_size END AS t FROM part), {_ANCHORS},
 rule AS (SELECT query_id, t, regexp_extract(t, '[Bb]rand no[.] [0-9]+') AS raw_text, 'brand#' || regexp_extract(t, '[Bb]rand no[.] ([0-9]+)', 1) AS name, 'Brand' AS kind, CAST(0.8 AS DOUBLE) AS confidence FROM said UNION ALL SELECT query_id, t, regexp_extract(t, '([Ss]ee|[Ss]ize) no[.] [0-9]+'), 'size ' || regexp_extract(t, '([Ss]ee|[Ss]ize) no[.] ([0-9]+)', 2), 'Part', CAST(0.6 AS DOUBLE) FROM said)
 SELECT * FROM span UNION ALL SELECT query_id, strpos(t, raw_text) - 1, raw_text, coalesce(e.kind, kind), e.id, 'rule', confidence, coalesce(n_entities, 0) FROM rule LEFT JOIN known ON known.name = rule.name WHERE raw_text <> ''""",
+    "log_rows": f"""{_BASE}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, triple_id) AS item, CASE WHEN CAST(substr(query_id, 5) AS BIGINT) % 5 = 0 THEN 'goes with' ELSE relation_cn END AS rel FROM item)
+SELECT query_id AS case_id, query_id AS section, 1::BIGINT AS item, '候选' AS field, query_id AS value FROM (SELECT DISTINCT query_id FROM c) UNION ALL SELECT query_id, '支持证据', item, '证据路径', head_cn || ' — ' || rel || ' — ' || tail_cn FROM c
+UNION ALL SELECT query_id, '支持证据', item, 'evidence_text', coalesce(nullif(evidence_text, ''), '{_NOT_STATED}') FROM c""",
+    "log_metrics": f"""{_BASE}, c AS (SELECT DISTINCT query_id, CAST(substr(query_id, 5) AS BIGINT) % 5 = 0 AS other, {_PATH} AS path FROM item) SELECT query_id AS case_id, CASE WHEN any_value(other) THEN count(DISTINCT replace(replace(replace(path, ' — has brand — ', ' — x — '), ' — has type — ', ' — x — '), ' — supplied by — ', ' — x — ')) ELSE count(*) END AS n_paths, count(*) FILTER (NOT other) AS n_known FROM c GROUP BY query_id""",
     "analysis_run": f"""{_RECURSIVE}{_OBS}, said AS (SELECT query_id, observation AS t FROM obs), {_ANCHORS},
 a AS (SELECT DISTINCT query_id, entity_id FROM span),
 c AS (SELECT query_id, candidate, count(*) AS score FROM (SELECT query_id, entity_id, head_id AS candidate FROM a JOIN tri ON tail_id = entity_id WHERE head_type = 'Part' UNION SELECT query_id, entity_id, entity_id FROM a WHERE starts_with(entity_id, 'PRT_')) GROUP BY ALL),

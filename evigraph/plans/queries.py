@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import analytics, anchors, checks, contain, context, evidence, lineage, observe, paths, prompts, resolve, snapshots
 from ..sources.graph import explode_refs
+from ..sources.logs import cited_paths, log_items
 from ..sources.projection import PROFILE, trade_graph
 from ..sources.shared import new_path
 from .runs import analysis
@@ -464,6 +465,23 @@ def anchor_rules(spark, d):
     return x.select("query_id", F.col("start").cast("long").alias("start"), "raw_text", "anchor_type", "entity_id", "method", "confidence", "n_entities")
 
 
+def _logs(spark, d):
+    """A log a part: a title, the part, and its evidence, numbered; every fifth cites paths with another word between."""
+    c = F.col
+    fields = F.concat(F.lit("\n\n* 证据路径："), tx.path(c("head_cn"), F.when(F.substring("query_id", 5, 20).cast("long") % 5 == 0, "goes with").otherwise(c("relation_cn")), c("tail_cn"), " — "), F.lit("\n* evidence_text："), tx.text_or_placeholder(c("evidence_text")))
+    x = _items(spark, d).groupBy("query_id").agg(context.in_order(fields, "ord", "triple_id").alias("said"))
+    body = F.array_join(F.transform("said", lambda t, i: F.concat((i + 1).cast("string"), F.lit("."), t)), "\n\n")
+    return x.select(c("query_id").alias("case_id"), F.concat(F.lit("# "), c("query_id"), F.lit("\n\n候选： "), c("query_id"), F.lit("\n\n支持证据：\n"), body, F.lit("\n")).alias("text"))
+
+
+def log_rows(spark, d):
+    return log_items(_logs(spark, d)).select("case_id", "section", F.col("item").cast("long").alias("item"), "field", "value")
+
+
+def log_metrics(spark, d):
+    return cited_paths(log_items(_logs(spark, d)), trade_graph(spark, d).triples)
+
+
 def analysis_run(spark, d):
     """The full analysis of what was said of each part, stage by stage in a folder of its own."""
     return analysis(spark, new_path(spark, "run"), _observations(spark, d), trade_graph(spark, d), HEAD).run()
@@ -507,6 +525,6 @@ QUERIES = {
         source_attach_last_wins, endpoint_enrich, section_counts, context_summary, section_first_appearance, section_fill, source_dedup_first, source_dedup_text, distinct_heads, context_markdown,
         context_research, plain_listing, observation_match, clause_match, observed_evidence, buckets_union, bucket_topk, insufficient_flags, candidates_or_all, entity_search, source_list, reverse_heads, items_nested, refs_by_list, care_level, labels_rendered, head_labels,
         graph_status, expectation_warnings, relation_counts, dup_check, dangling_nodes, missing_sources, copies_differ, status_cube, shape_violations, version_diff, graph_checksum, prompt_render, prompt_second, prompt_general, safety_supplement,
-        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, evidence_paths_topk, claims_by_path, pcs_by_path, anchor_spans, anchor_rules, analysis_run, report_lineage, subgraph_edges, current_version, timeline_lag, experiment_summary,
+        forbidden_phrase_check, candidate_scores, candidate_rank_top3, claim_status, oehr_ucr_pcs_ecr, paths_2hop, path_rank, evidence_paths_topk, claims_by_path, pcs_by_path, anchor_spans, anchor_rules, analysis_run, log_rows, log_metrics, report_lineage, subgraph_edges, current_version, timeline_lag, experiment_summary,
     )
 }
