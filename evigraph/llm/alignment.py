@@ -144,17 +144,18 @@ def key(text: str) -> list[Column]:
 
 
 def texts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", size: int = PART) -> DataFrame:
-    """(k1, k2, ids.a, ids.b): each different text that has characters, with its ids less _SHIFT. Both sides are one column, so that
-    whatever reads one of them reads the same exchange."""
+    """(k1, k2, n, ids.a, ids.b): each different text that has characters, with its number of rows and its ids less _SHIFT. Both
+    sides are one column, so that whatever reads one of them reads the same exchange."""
     d = docs.where(F.char_length(text_col) > 0).select(F.col(text_col).alias("text")).select(*key("text"), "text")
     x = d.mapInArrow(_tokenise(a_path, b_path, size), "k1 long, k2 long, ids struct<a: array<short>, b: array<short>>")
-    return x.groupBy("k1", "k2").agg(F.any_value("ids").alias("ids"))
+    return x.groupBy("k1", "k2").agg(F.any_value("ids").alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
 def ends(t: DataFrame, side: str, lengths: list[int]) -> DataFrame:
     """(k1, k2, end, the side's position) of every token; end is the place of its last byte, counted from 1."""
     at = f"{side}_at"
-    x = t.select("k1", "k2", F.posexplode(f"ids.{side}").alias(at, "id"))
+    # every text has rows: the condition only keeps n in the exchange, as all that read it have to ask for the same columns
+    x = t.where("n > 0").select("k1", "k2", F.posexplode(f"ids.{side}").alias(at, "id"))
     x = x.select("k1", "k2", at, F.element_at(F.lit(np.array(lengths, np.int32)), F.col("id") + _SHIFT + 1).alias("length"))
     w = Window.partitionBy("k1", "k2").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     return x.select("k1", "k2", at, F.sum("length").over(w).alias("end"))
@@ -168,9 +169,9 @@ def cuts(t: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def aligned(t: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(k1, k2, a, b, cuts) of each of texts() that has tokens: cuts are numbers a_at * 2 ** 31 + b_at, in order."""
+    """(k1, k2, n, a, b, cuts) of each of texts() that has tokens: cuts are numbers a_at * 2 ** 31 + b_at, in order."""
     c = cuts(t, a_path, b_path).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.shiftleft(F.col("a_at").cast("long"), _AT_BITS) + F.col("b_at"))).alias("cuts"))
-    return t.join(c.hint("merge"), ["k1", "k2"]).select("k1", "k2", "ids.a", "ids.b", "cuts")
+    return t.join(c.hint("merge"), ["k1", "k2"]).select("k1", "k2", "n", "ids.a", "ids.b", "cuts")
 
 
 def _at(cut: Column) -> tuple[Column, Column]:
@@ -259,11 +260,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     with _kept_apart(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))):
         x = aligned(texts(docs, a_path, b_path, text_col, size), a_path, b_path)
-        each = written(x.select("k1", "k2", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("cuts").alias("n_groups"), groups_sha256("a", "b", "cuts").alias("groups_sha256"), links().alias("links")), "aligned")
-    n = docs.where(F.char_length(text_col) > 0).select(*key(text_col)).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    counts = link_counts(each.join(n, ["k1", "k2"]).select("links", "n"))
+        each = written(x.select("k1", "k2", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("cuts").alias("n_groups"), groups_sha256("a", "b", "cuts").alias("groups_sha256"), links().alias("links")), "aligned")
+    counts = link_counts(each.select("links", "n"))
     # a table of its own, so that Spark can split the join below at a text that very many documents have
-    sums = written(each.drop("links").join(_sums(each.select("k1", "k2", "links"), counts, most), ["k1", "k2"]), "alignments")
+    sums = written(each.drop("links", "n").join(_sums(each.select("k1", "k2", "links"), counts, most), ["k1", "k2"]), "alignments")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), has.alias("has"), *[c.alias(name) for c, name in zip(key(text_col), ("d1", "d2"))])
     x = d.join(sums, F.col("has") & (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
