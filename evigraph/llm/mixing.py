@@ -8,17 +8,16 @@ for each full use, and for the rest those that come first by a seeded hash.
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import spare, written
 
 SEED, SHARE, REPEATS = 17, 1.5, 2
-#: Sets of sources that the driver takes: a flow among more would not suit it.
-PATTERNS = 100_000
+#: Sets of sources up to which what is decided about them is broadcast; beyond that it is joined by a shuffle.
+BROADCAST_PATTERNS = 100_000
 #: Bits of a document's hash, and bits that are looked at in one pass.
 _HASH, _BITS = 60, 10
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -44,53 +43,93 @@ def quotas(sizes: dict, weights: dict, total: float, most: float) -> dict:
     return out
 
 
+def _levels(served: dict, room: dict, left: dict) -> tuple[dict, dict] | None:
+    """Steps from the patterns with room to patterns and to sources, as far as the nearest sources with quota left; None if none can
+    be reached. From a pattern one gets to its sources, and from a source to the patterns that serve it."""
+    patterns: dict[tuple, int] = {p: 0 for p, n in room.items() if n > 0}
+    sources: dict = {}
+    front, depth = list(patterns), 0
+    while front:
+        reached = list(dict.fromkeys(s for p in front for s in p if s not in sources))
+        sources.update(dict.fromkeys(reached, depth + 1))
+        if any(left[s] > 0 for s in reached):
+            return patterns, sources
+        depth += 2
+        front = list(dict.fromkeys(p for s in reached for p in served[s] if p not in patterns))
+        patterns.update(dict.fromkeys(front, depth))
+    return None
+
+
+def _fill(flow: dict, served: dict, room: dict, left: dict, levels: tuple[dict, dict]) -> None:
+    """Sends tokens along all paths that go up one step at a time, until each is blocked. Of every pattern and source the arcs that lead
+    nowhere are passed over once, so the work is that of the arcs and not of the arcs for each path."""
+    patterns, sources = levels
+    arcs: dict[tuple, int] = {}
+    givers: dict = {}  # source -> the patterns left to try, last first
+
+    def path_from(start: tuple) -> list | None:
+        """pattern, source, pattern that gives back, source ..., to a source with quota left."""
+        path: list = [start]
+        while path:
+            if len(path) % 2:
+                p = path[-1]
+                i, up = arcs.get(p, 0), patterns[p] + 1
+                while i < len(p) and sources.get(p[i]) != up:
+                    i += 1
+                arcs[p] = i
+                if i < len(p):
+                    path.append(p[i])
+                    continue
+                path.pop()
+                if path:
+                    givers[path[-1]].pop()
+            else:
+                s = path[-1]
+                if left[s] > 0:
+                    return path
+                if s not in givers:
+                    givers[s] = [p for p in served[s] if patterns.get(p) == sources[s] + 1][::-1]
+                rest = givers[s]
+                while rest and flow[rest[-1]][s] <= 0:
+                    rest.pop()
+                if rest:
+                    path.append(rest[-1])
+                    continue
+                path.pop()
+                arcs[path[-1]] += 1
+        return None
+
+    for start in [p for p, n in room.items() if n > 0]:
+        while room[start] > 0 and (path := path_from(start)) is not None:
+            gets = list(zip(path[::2], path[1::2]))
+            gives = list(zip(path[2::2], path[1::2]))
+            step = min([room[start], left[path[-1]], *[flow[p][s] for p, s in gives]])
+            for p, s in gets:
+                flow[p][s] += step
+                served[s][p] = None
+            for p, s in gives:
+                flow[p][s] -= step
+                if not flow[p][s]:
+                    del served[s][p]
+            room[start] -= step
+            left[path[-1]] -= step
+
+
 def route(patterns: dict[tuple, int], targets: dict, repeats: int) -> dict[tuple, dict]:
     """pattern -> source -> tokens: a cheapest flow of the most tokens.
 
-    Use r of a pattern costs r - 1 a token, which is convex. Successive shortest paths from the layers with the least cost to
-    the sources with quota left; a path may take a pattern's tokens back from one source to give them to another.
+    Use r of a pattern costs r - 1 a token, which is convex. Costs only rise with the use, so one use of all patterns is used up
+    before the next is looked at: each is a largest flow on top of what is there, by blocking flows along shortest paths. A path may
+    take a pattern's tokens back from one source to give them to another. A round of blocking flow costs the arcs of patterns to
+    sources, and rounds are as many as there are lengths of paths: one where each pattern has one source.
     """
     flow: dict[tuple, dict] = {p: dict.fromkeys(p, 0) for p in patterns}
-    members: dict = {s: [p for p in patterns if s in p] for s in targets}
+    served: dict = {s: {} for s in targets}  # source -> the patterns that serve it
     left = {s: int(t + 0.5) for s, t in targets.items()}
-    for layer in range(1, repeats + 1):  # costs only rise with the layer, so a layer is used up before the next is looked at
+    for _ in range(repeats):
         room = dict(patterns)
-        while True:
-            # a path from a pattern with room to a source with quota: pattern -> source -> (pattern that serves it) -> source ...
-            seen: dict = {p: None for p, c in room.items() if c > 0}
-            queue, end, found = deque(seen), None, False  # a null source is a source, so end alone doesn't tell
-            while queue and not found:
-                p = queue.popleft()
-                for s in p:
-                    if (0, s) in seen:
-                        continue
-                    seen[0, s] = p
-                    if left[s] > 0:
-                        end, found = s, True
-                        break
-                    for other in members[s]:
-                        if other not in seen and flow[other][s] > 0:
-                            seen[other] = (0, s)
-                            queue.append(other)
-            if not found:
-                break
-            path, s = [], end
-            while True:
-                p = seen[0, s]
-                path.append((p, s))
-                back = seen[p]
-                if back is None:
-                    break
-                s = back[1]
-            start = path[-1][0]
-            gives = [flow[p][path[i + 1][1]] for i, (p, _) in enumerate(path[:-1])]
-            step = min([left[end], room[start], *gives])
-            for i, (p, s) in enumerate(path):
-                flow[p][s] += step
-                if i + 1 < len(path):
-                    flow[p][path[i + 1][1]] -= step
-            left[end] -= step
-            room[start] -= step
+        while (levels := _levels(served, room, left)) is not None:
+            _fill(flow, served, room, left, levels)
     return flow
 
 
@@ -116,6 +155,12 @@ def _pattern_key(sources: Column) -> Column:
     return F.to_json(F.struct(sources.alias("s")), {"ignoreNullFields": "false"})
 
 
+def _decided(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A row a pattern, for a join with documents."""
+    x = spark.createDataFrame(rows, schema)
+    return F.broadcast(x) if len(rows) <= BROADCAST_PATTERNS else x
+
+
 def _last_hash(lean: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
     """Pattern -> the hash up to which documents come nearest to the tokens wanted.
 
@@ -127,8 +172,8 @@ def _last_hash(lean: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
     for bits in (_BITS, 2 * _BITS):
         if not todo:
             return {}
-        state = spark.createDataFrame([(p, n, prefix) for p, (n, prefix, _) in todo.items()], "pattern string, wanted long, prefix long")
-        x = lean.join(F.broadcast(state), "pattern").withColumn("bucket", F.shiftright(F.col("h"), _HASH - bits))
+        state = _decided(spark, [(p, n, prefix) for p, (n, prefix, _) in todo.items()], "pattern string, wanted long, prefix long")
+        x = lean.join(state, "pattern").withColumn("bucket", F.shiftright(F.col("h"), _HASH - bits))
         x = x.where(F.shiftright(F.col("h"), _HASH - bits + _BITS) == F.col("prefix")) if bits > _BITS else x
         x = x.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"), F.first("wanted").alias("wanted"))
         x = x.withColumn("sum", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")))
@@ -136,8 +181,8 @@ def _last_hash(lean: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
         todo = {r["pattern"]: (r["rest"], r["bucket"], bits) for r in cut}
     if not todo:
         return {}
-    state = spark.createDataFrame([(p, n, prefix) for p, (n, prefix, _) in todo.items()], "pattern string, wanted long, prefix long")
-    x = lean.join(F.broadcast(state), "pattern").where(F.shiftright(F.col("h"), _HASH - 2 * _BITS) == F.col("prefix"))
+    state = _decided(spark, [(p, n, prefix) for p, (n, prefix, _) in todo.items()], "pattern string, wanted long, prefix long")
+    x = lean.join(state, "pattern").where(F.shiftright(F.col("h"), _HASH - 2 * _BITS) == F.col("prefix"))
     x = x.groupBy("pattern", "h").agg(F.sum("size").alias("n"), F.first("wanted").alias("wanted"))
     x = x.withColumn("sum", F.sum("n").over(Window.partitionBy("pattern").orderBy("h")))
     # before the first of the bucket, or at the document that comes nearest; where both are as near, before
@@ -155,13 +200,11 @@ def plan(docs: DataFrame, member: Column, weights, share: float = SHARE, repeats
     """The documents' lean table and the mix.
 
     member: the distinct sources of a document, sorted; weights: of the sorted list of all sources, nulls last, gives theirs.
-    Patterns and sources come to the driver and are broadcast, which suits PATTERNS of them; more are an error. Documents don't
-    come to the driver.
+    What comes to the driver is a row a set of sources, with its tokens, and later two numbers of it: nothing grows with the
+    documents of a set. Documents don't come to the driver.
     """
     lean = written(_lean(docs, member, id_col, text_col, seed).withColumn("pattern", _pattern_key(F.col("sources"))), "mix-lean")
-    patterns = lean.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("n")).limit(PATTERNS + 1).collect()
-    if len(patterns) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} sets of sources; mix by a coarser column")
+    patterns = lean.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("n")).collect()
     by = {tuple(r["sources"]): r["n"] for r in patterns}
     key = {tuple(r["sources"]): r["pattern"] for r in patterns}
     sizes: dict = {}
@@ -182,8 +225,8 @@ def _copies(full: Column, last: Column, h: Column) -> Column:
     return full + F.coalesce(h <= last, F.lit(False)).cast("int")
 
 
-def _uses(spark, m: Mix) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(m.uses, "use_pattern string, full int, last long"))  # a row a pattern
+def _uses(spark: SparkSession, m: Mix) -> DataFrame:
+    return _decided(spark, m.uses, "use_pattern string, full int, last long")
 
 
 def taken(lean: DataFrame, m: Mix) -> DataFrame:
@@ -205,7 +248,7 @@ def mix_by_source(docs: DataFrame, weights=cycle(5, 2, 1), share: float = SHARE,
     empty table gives no rows.
     """
     lean, m = plan(docs, F.array(F.col(source_col)), weights, share, repeats, seed, id_col, text_col)
-    sources = F.broadcast(docs.sparkSession.createDataFrame(m.sources, "s string, source_size long, target double"))  # a row a source
+    sources = _decided(docs.sparkSession, m.sources, "s string, source_size long, target double")
     x = taken(lean, m).withColumn("source", F.get("sources", F.lit(0)))
     return x.join(sources, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -218,7 +261,7 @@ def mixed(docs: DataFrame, weights=cycle(5, 2, 1), share: float = SHARE, repeats
     """
     _, m = plan(docs, F.array(F.col(source_col)), weights, share, repeats, seed, id_col, text_col)
     h = _hash(seed, docs[id_col], docs[text_col])
-    uses = docs.sparkSession.createDataFrame(m.uses, "use_pattern string, full int, last long").select(F.struct("*").alias("use"))
-    x = docs.join(F.broadcast(uses), _pattern_key(F.array(docs[source_col])) == uses["use"]["use_pattern"])  # a row a pattern
+    uses = _uses(docs.sparkSession, m).select(F.struct("*").alias("use"))
+    x = docs.join(uses, _pattern_key(F.array(docs[source_col])) == uses["use"]["use_pattern"])
     once = spare(docs, "copy")
     return x.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), _copies(uses["use"]["full"], uses["use"]["last"], h))).alias(once)).drop(once)

@@ -312,6 +312,47 @@ def test_flow_has_the_least_cost(salt):
     assert (-sum(n.values()), cost(n)) == best
 
 
+@pytest.mark.parametrize("salt", range(4))
+def test_flow_of_overlapping_sources_meets_all_its_cuts(salt):
+    """What layers of one and of two uses can give at most is the least cut, here found among all sets of sources."""
+    rng = np.random.default_rng(salt)
+    names = ["a", "b", "c", "d", None]
+    by = {tuple(n for i, n in enumerate(names) if m >> i & 1): int(rng.integers(0, 60)) for m in rng.permutation(range(1, 32))[:20].tolist()}
+    t = {n: int(rng.integers(0, 400)) for n in names}
+    f = mixing.route(by, t, 2)
+    taken = {p: sum(v.values()) for p, v in f.items()}
+    assert all(n >= 0 for v in f.values() for n in v.values()) and all(taken[p] <= 2 * n for p, n in by.items())
+    assert all(sum(v.get(s, 0) for v in f.values()) <= t[s] for s in names)
+    sets = [{n for i, n in enumerate(names) if m >> i & 1} for m in range(32)]
+    most = lambda uses: min(sum(t[s] for s in x) + sum(uses * n for p, n in by.items() if not x.issuperset(p)) for x in sets)
+    assert sum(min(taken[p], n) for p, n in by.items()) == most(1) and sum(taken.values()) == most(2)
+
+
+@pytest.mark.parametrize("sources", [1, 17])
+def test_flow_of_a_hundred_thousand_patterns(sources):
+    """Of as many single sources, and of all sets of 17: the work is that of the arcs."""
+    import time
+
+    rng = np.random.default_rng(5)
+    if sources == 1:
+        by = {(str(i),): int(n) for i, n in enumerate(rng.integers(1, 1000, 100_000))}
+        t = {p[0]: n * 1.5 for p, n in by.items()}
+    else:
+        by = {tuple(str(i) for i in range(17) if m >> i & 1): int(rng.integers(1, 1000)) for m in range(1, 1 << 17)}
+        t = dict(zip(map(str, range(17)), mixing.quotas({str(i): sum(n for p, n in by.items() if str(i) in p) for i in range(17)}, {str(i): 5 - i % 3 for i in range(17)}, 1.5 * sum(by.values()), 2).values()))
+    began = time.perf_counter()
+    f = mixing.route(by, t, 2)
+    took = time.perf_counter() - began
+    assert sum(sum(v.values()) for v in f.values()) == sum(int(x + 0.5) for x in t.values())
+    assert took < 60, took  # 2 and 5 s on the machine that this was written on
+
+
+def test_mix_beyond_the_broadcast_bound(spark, documents, monkeypatch):
+    want = sorted(map(tuple, mixing.mix_by_source(documents).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 0)
+    assert sorted(map(tuple, mixing.mix_by_source(documents).collect())) == want
+
+
 def test_mix(spark, documents, empty):
     got = mixing.mix_by_source(documents).collect()
     again = mixing.mix_by_source(documents.repartition(5)).collect()
