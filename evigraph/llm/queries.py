@@ -59,11 +59,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     x = warc.captures(warc.read(spark, path, payloads=False))
-    fields, main = F.col("metadata")["head"], F.col("response")
-    return x.select(
-        warc.field(fields, "page").cast("long").alias("page_id"), main["payload_bytes"].alias("payload_bytes"), main["payload_digest"].alias("payload_digest"),
-        main["warc_type"].alias("record_type"), warc.field(fields, "refersToPage").cast("long").alias("refers_to"),
-    )
+    x = warc.resolved(x, warc.field(F.col("metadata")["head"], "page").cast("long"))
+    return x.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_b
     get = F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n"))
     with_main = [("WARC-Date", F.lit(date)), ("WARC-Concurrent-To", own("main"))]
     request = _record(F.lit("request"), own("request"), uri, with_main, "application/http;msgtype=request", get, None, None)
-    fields = F.concat(F.lit("page: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\n"), F.when(revisit, F.concat(F.lit("refersToPage: "), F.col("first").cast("string"), F.lit("\r\n"))).otherwise(F.lit("")))
+    fields = F.concat(F.lit("page: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\n"))
     meta = _record(F.lit("metadata"), own("metadata"), uri, with_main, "application/warc-fields", fields, None, None)
     rows = p.select(request.alias("request"), main.alias("main"), meta.alias("metadata")).mapInArrow(_files(date, file_bytes), "file binary")
     rows.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
@@ -242,3 +242,21 @@ def captures(records: DataFrame) -> DataFrame:
 def field(head: Column, name: str) -> Column:
     """A field of a metadata record's block; null if it is absent or empty."""
     return F.nullif(F.regexp_extract(head, rf"(?m)^{name}: *(\S*)", 1), F.lit(""))
+
+
+def resolved(captures: DataFrame, page: Column) -> DataFrame:
+    """(record_id, page, payload_bytes, payload_digest, record_type, refers_to) of every capture.
+
+    page: a capture's own name, read from any of its columns, such as a field of its metadata. refers_to of a revisit is the page of
+    the response that its WARC-Refers-To names, whoever wrote the archive; null where none of these captures is that response, where
+    it has no page, and for responses. A record id that several responses share stands for their largest page. Rows stay as often as
+    they are there; no captures give no rows.
+    """
+    main = F.col("response")
+    x = captures.select("record_id", page.alias("page"), main["payload_bytes"].alias("payload_bytes"), main["payload_digest"].alias("payload_digest"), main["warc_type"].alias("record_type"), main["refers_to"].alias("refers"))
+    x = written(x, "captures")
+    # a table of its own, so that Spark can split the join at a response that very many captures revisit; responses take no part
+    named = written(x.where("record_type = 'response'").groupBy(F.col("record_id").alias("of")).agg(F.max("page").alias("refers_to")), "responses")
+    revisit = F.col("record_type") == "revisit"
+    found = x.where(revisit).join(named, F.col("refers") == F.col("of"), "left").drop("refers", "of")
+    return found.unionByName(x.where(~revisit).drop("refers").withColumn("refers_to", F.lit(None).cast(x.schema["page"].dataType)))

@@ -380,7 +380,8 @@ def test_warc_round_trip(spark):
     path = new_path(spark, "warc-test")
     warc.write(p, path)
     x = warc.captures(warc.read(spark, path)).collect()
-    got = sorted((warc_field(r, "page"), r["response"]["warc_type"], r["response"]["payload_bytes"], r["response"]["payload_digest"], warc_field(r, "refersToPage")) for r in x)
+    rows = warc.resolved(warc.captures(warc.read(spark, path)), warc.field(F.col("metadata")["head"], "page")).collect()
+    got = sorted((r["page"] or "", r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"] or "") for r in rows)
     digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
     first = {"<p>é</p>": 2, "": 4}
     want = [(str(i or ""), "response" if first.get(h or "", i) == i else "revisit", len((h or "").encode()), digest(h), "" if first.get(h or "", i) == i else str(first[h or ""])) for i, _, h in PAGES]
@@ -395,13 +396,27 @@ def test_warc_round_trip(spark):
     none = new_path(spark, "warc-none")
     warc.write(p.where("false"), none)
     assert warc.captures(warc.read(spark, none)).collect() == []
+    assert warc.resolved(warc.captures(warc.read(spark, none)), F.col("target_uri")).collect() == []
     small = new_path(spark, "warc-small")
     warc.write(p, small, min_bytes=9)
     assert {r["response"]["warc_type"] for r in warc.captures(warc.read(spark, small)).collect() if r["response"]["payload_bytes"] < 9} == {"response"}
 
 
-def warc_field(row, name):
-    return next((x.split(": ", 1)[1] for x in row["metadata"]["head"].split("\r\n") if x.startswith(f"{name}:")), "")
+def test_revisits_of_other_writers(spark):
+    """What a revisit refers to is its header's to say: these archives have no metadata, and one of the responses is not there."""
+
+    def record(kind, id_, uri, *headers):
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n" + (b"abc" if kind == "response" else b"")
+        digest = base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{id_}>", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", *headers, f"Content-Length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    files = [record("revisit", "r", "http://b", "WARC-Refers-To: <a>") + record("revisit", "s", "http://c", "WARC-Refers-To: <lost>"), record("response", "a", "http://a") + record("revisit", "t", "http://d") + record("response", "b", "http://e", "WARC-Refers-To: <a>")]
+    path = new_path(spark, "warc-others")
+    spark.createDataFrame([(f.decode(),) for f in files], "file string").repartition(2).write.option("lineSep", "\r\n").text(path)
+    got = warc.resolved(warc.captures(warc.read(spark, path)), F.col("target_uri"))
+    want = [("http://a", "response", None), ("http://b", "revisit", "http://a"), ("http://c", "revisit", None), ("http://d", "revisit", None), ("http://e", "response", None)]
+    assert sorted((r["page"], r["record_type"], r["refers_to"]) for r in got.collect()) == want and {r["payload_bytes"] for r in got.collect()} == {3}
 
 
 def test_warc_files_are_gzip_members_with_exact_separators(spark):
