@@ -8,7 +8,7 @@ similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,23 +129,30 @@ def _model(y: list[int], found: list[tuple[np.ndarray, np.ndarray]], dimensions:
     empty = Model(column, weights, np.zeros((len(known), 1)), np.zeros((0, 1)), np.zeros(0), float(labels.mean()) if len(y) else 0.5, neighbours)
     if not len(y) or not len(known):
         return empty
-    x = np.zeros((len(y), len(known)), np.float32)
-    for i, (ids, values) in enumerate(found):
-        at = column[ids]
-        x[i, at[at >= 0]] = values[at >= 0] * weights[at[at >= 0]]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    basis = _right_vectors(x, min(dimensions, *x.shape))
+
+    def blocks() -> Iterator[np.ndarray]:
+        """The weighted term matrix, some rows at a time, each of length 1."""
+        for start in range(0, len(found), BLOCK):
+            part = found[start : start + BLOCK]
+            x = np.zeros((len(part), len(known)), np.float32)
+            for i, (ids, values) in enumerate(part):
+                at = column[ids]
+                x[i, at[at >= 0]] = values[at >= 0] * weights[at[at >= 0]]
+            yield x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    basis = _right_vectors(blocks, len(known), min(dimensions, len(y), len(known)))
     model = Model(column, weights, basis, np.zeros((0, 1)), labels, empty.prior, neighbours)
     model.vectors = model.latent(found)
     return model
 
 
-def _right_vectors(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
-    """The leading right singular vectors, by randomised subspace iteration."""
-    q = np.random.default_rng(5).standard_normal((x.shape[1], min(x.shape[1], k + 16))).astype(np.float32)
+def _right_vectors(blocks: Callable[[], Iterator[np.ndarray]], columns: int, k: int, rounds: int = 4) -> np.ndarray:
+    """The leading right singular vectors, by randomised subspace iteration over blocks of rows: no more than a block is dense."""
+    q = np.random.default_rng(5).standard_normal((columns, min(columns, k + 16))).astype(np.float32)
     for _ in range(rounds):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    return (q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :k]).astype(np.float64)
+        q, _ = np.linalg.qr(sum(x.T @ (x @ q) for x in blocks()))
+    small = np.concatenate([x @ q for x in blocks()])
+    return (q @ np.linalg.svd(small, full_matrices=False)[2].T[:, :k]).astype(np.float64)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

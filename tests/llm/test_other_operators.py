@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -234,6 +235,32 @@ def test_quality_of_edge_cases(spark, documents, empty):
     assert np.isclose(np.expm1(long[1][0]), quality._PIECE + 5)
 
 
+def test_quality_space_is_that_of_a_full_decomposition(spark):
+    """Byte pairs counted one by one, their weights, and numpy's own SVD of the whole matrix."""
+    documents, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    m = quality.fit(documents, labels, dimensions=24)
+    y = {r["doc_id"] for r in labels.where("quality is not null").collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in documents.collect() if r["doc_id"] in y}
+    rows = []
+    for x in text.values():
+        raw = x.encode()
+        pairs = Counter(zip(raw, raw[1:]))
+        row = {256 * p + q: np.log1p(n) for (p, q), n in pairs.items()}
+        rows.append(row | ({int(i): 6.0 for i in quality.terms(x)[0] if i >= 65_536} if x else {}))
+    df = Counter(t for row in rows for t in row)
+    known = sorted(t for t, n in df.items() if n >= 2)
+    assert known == np.flatnonzero(m.column >= 0).tolist()
+    idf = {t: np.log((1 + len(rows)) / (1 + df[t])) + 1 for t in known}
+    x = np.array([[row.get(t, 0.0) * idf[t] for t in known] for row in rows])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    _, want, right = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(m.basis.T @ m.basis, np.eye(24), atol=1e-4)
+    got = np.linalg.norm(x @ m.basis, axis=0)
+    assert np.allclose(got[:8], want[:8], rtol=1e-3) and (got**2).sum() >= 0.995 * (want[:24] ** 2).sum()
+    lead = lambda v: (x @ v[:, :4]) @ (x @ v[:, :4]).T  # noqa: E731  # products in the space do not hang on the vectors' signs
+    assert np.allclose(lead(m.basis), lead(right.T), atol=0.02)
+
+
 def naive_scores(m, texts):
     """The whole voting without matrices: a product at a time, all of them sorted."""
     out = []
