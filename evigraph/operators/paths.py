@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -35,24 +36,37 @@ def needed(better: list[frozenset], own: frozenset, k: int, left: int) -> bool:
 
 
 def _needed_rows(batch: pa.RecordBatch, k: int, left: int, held: list) -> pa.RecordBatch:
-    """Of rows that come sorted by start, end, cost and ids those that are needed; held is the group that goes on."""
-    fit = []
-    for start, end, nodes in zip(batch.column("start").to_pylist(), batch.column("end").to_pylist(), batch.column("nodes").to_pylist()):
-        if held[:1] != [(start, end)]:
-            held[:] = [(start, end), []]
-        own = frozenset(nodes)
-        fit.append(needed(held[1], own, k, left))
-        if fit[-1]:
-            held[1].append(own)
-    return batch.filter(pa.array(fit, pa.bool_()))
-
-
-def _fewer(k: int, left: int, in_order: bool):
+    """Of rows that come sorted by start, end, cost and ids those that are needed; held is the group that goes on.
+
+    The first k rows of a group are needed whatever they are, so only groups of more, and those that the batch's ends cut, are
+    looked at row by row; the others, which are nearly all where most nodes are reached one way, pass as they are.
+    """
+    n = batch.num_rows
+    if not n:
+        return batch
+    names = [batch.column(c) for c in ("start", "end")]
+    new = np.ones(n, bool)
+    new[1:] = ~np.logical_and(*[pc.equal(x.slice(1), x.slice(0, n - 1)).to_numpy(zero_copy_only=False) for x in names])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    looked_at = (size > k) | (first == 0) | (first + size == n)
+    fit = np.ones(n, bool)
+    for at, many in zip(first[looked_at].tolist(), size[looked_at].tolist()):
+        group = tuple(x[at].as_py() for x in names)
+        if held[:1] != [group]:
+            held[:] = [group, []]
+        for i, nodes in enumerate(batch.column("nodes").slice(at, many).to_pylist(), at):
+            own = frozenset(nodes)
+            fit[i] = needed(held[1], own, k, left)
+            if fit[i]:
+                held[1].append(own)
+    return batch if fit.all() else batch.filter(pa.array(fit))
+
+
+def _fewer(k: int, left: int):
     def run(batches):
         held: list = []
         for b in batches:
-            if not in_order:  # a task's own rows, batch by batch: less to send
-                held, b = [], b.take(pc.sort_indices(b, sort_keys=[(c, "ascending") for c in ("start", "end", "cost", "ids")]))
             yield _needed_rows(b, k, left, held)
 
     return run
@@ -64,7 +78,7 @@ def best_paths(starts: DataFrame, triples: DataFrame, k: int, most: int) -> Data
 
     triples have a cost (a whole number, 0 or more) and a support_type; a triple without cost is not walked. No path passes a
     node twice. The walk keeps, hop by hop, for a start and a node k paths and those that can go on where these cannot; of
-    their number, k * sum((k * hops) ** i for i up to the hops that are left) is a bound whatever the graph. So what is kept
+    their number before the last hop, k * sum((k * hops) ** i for i up to the hops that are left) is a bound whatever the graph. So what is kept
     grows with starts and nodes reached, not with paths, and the result is that of ranking all paths.
     """
     worst = F.array_position(F.array(*map(F.lit, SUPPORT_TYPES)), F.col("support_type")).cast("int") - 1
@@ -76,8 +90,7 @@ def best_paths(starts: DataFrame, triples: DataFrame, k: int, most: int) -> Data
         x = at.join(step, "end").where(~F.array_contains("nodes", F.col("to")))
         ids = F.array_append("triple_ids", F.col("triple_id"))
         x = x.select("start", F.col("to").alias("end"), (F.col("cost") + F.col("more")).alias("cost"), F.greatest("worst", "bad").alias("worst"), F.array_append("nodes", F.col("to")).alias("nodes"), ids.alias("triple_ids"), F.array_join(ids, "/").alias("ids"))
-        x = x.mapInArrow(_fewer(k, most - n, False), _STATE)
-        at = x.repartition("start", "end").sortWithinPartitions("start", "end", "cost", "ids").mapInArrow(_fewer(k, most - n, True), _STATE)
+        at = x.repartition("start", "end").sortWithinPartitions("start", "end", "cost", "ids").mapInArrow(_fewer(k, most - n), _STATE) if n < most else x  # the last ones are ranked below
         found.append(at.withColumn("n_hops", F.lit(n).cast("long")))
     x = reduce(DataFrame.unionByName, found)
     x = x.withColumn("path_rank", F.row_number().over(Window.partitionBy("start", "end").orderBy("cost", "n_hops", "ids")).cast("long")).where(F.col("path_rank") <= k)
@@ -94,7 +107,7 @@ def path_consistent(claims: DataFrame, triples: DataFrame) -> DataFrame:
     c = claims.where(F.size("relations") > 0).select("head", "relations", "tail").distinct()
     moves = c.select("head", F.posexplode("relations").alias("at", "relation"), "relations").select("head", "at", "relation", F.slice("relations", F.lit(1), F.col("at")).alias("state"), F.slice("relations", F.lit(1), F.col("at") + 1).alias("next")).distinct()
     longest = c.agg(F.max(F.size("relations"))).first()[0] or 0
-    used = moves.select("relation").distinct()
+    used = F.broadcast(moves.select("relation").distinct())  # a row a relation; joined by relation the triples of one would be one task's
     edges = triples.select(F.col("head_id").alias("node"), F.explode(F.array("relation_en", F.lit(ANY))).alias("relation"), F.col("tail_id").alias("to")).join(used, "relation", "left_semi").distinct()
     at = c.select("head", F.col("head").alias("node"), F.array().cast("array<string>").alias("state")).distinct()
     ends = []
