@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: What may stand before a field: a number, a bullet, or both.
 _LEAD = r"^(?:[0-9]+[.、]\s*)?(?:[*-]\s+)?"
-_BLANKS = r"^[\s　]+|[\s　]+$"
+_BLANKS = " \t\n\x0b\f\r　"
 
 
 def log_items(logs: DataFrame, case: str = "case_id", text: str = "text") -> DataFrame:
@@ -20,12 +20,12 @@ def log_items(logs: DataFrame, case: str = "case_id", text: str = "text") -> Dat
     counts from 1. Nulls and empty texts have no rows; rows of one case are taken for one log each, in no order between them.
     """
     x = logs.select(F.col(case).alias("case_id"), F.xxhash64(text).alias("log"), F.posexplode(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n")).alias("at", "raw"))
-    x = x.select("case_id", "log", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", _BLANKS, "").alias("said"))
+    x = x.where(F.btrim("raw", F.lit(_BLANKS)) != "").select("case_id", "log", (F.col("at") + 1).alias("line"), F.btrim("raw", F.lit(_BLANKS)).alias("said"))
     titled = F.col("said").startswith("#")
     plain = F.regexp_replace("said", _LEAD, "")
     x = x.withColumn("said", F.regexp_replace("said", r"^[0-9]+[.、]$", "")).where(F.col("said") != "").withColumns({
         "heading": F.when(titled, F.regexp_replace("said", r"^#+\s*", "")).when(F.col("said").rlike("^[^*0-9：:-][^：:]*[：:]$"), F.regexp_replace("said", "[：:]$", "")),
-        "field": F.regexp_replace(F.regexp_extract(plain, "^([^：:]{1,20})[：:]", 1), r"\s*[0-9]+$", ""), "value": F.regexp_replace(F.regexp_replace(plain, "^[^：:]{1,20}[：:]", ""), _BLANKS, ""),
+        "field": F.regexp_replace(F.regexp_extract(plain, "^([^：:]{1,20})[：:]", 1), r"\s*[0-9]+$", ""), "value": F.btrim(F.regexp_replace(plain, "^[^：:]{1,20}[：:]", ""), F.lit(_BLANKS)),
     })
     log = Window.partitionBy("case_id", "log").orderBy("line")
     x = x.withColumns({"nth": F.count("heading").over(log), "section": F.coalesce(F.last("heading", True).over(log), F.lit(""))}).where(F.col("heading").isNull())
