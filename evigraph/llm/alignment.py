@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import spare, written
 
@@ -69,7 +69,7 @@ class ByteLevel:
         self.tiktoken = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, part: str) -> np.ndarray:
-        return self.tiktoken.encode_to_numpy(part, disallowed_special=()).astype(np.int32)
+        return np.array(self.tiktoken.encode_ordinary(part), np.int32)
 
 
 class Pieces:
@@ -170,34 +170,21 @@ def cuts(t: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def aligned(t: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(k1, k2, n, a, b, cuts) of each of texts() that has tokens: cuts are numbers a_at * 2 ** 31 + b_at, in order."""
-    c = cuts(t, a_path, b_path).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.shiftleft(F.col("a_at").cast("long"), _AT_BITS) + F.col("b_at"))).alias("cuts"))
+    c = cuts(t, a_path, b_path).select("k1", "k2", (F.shiftleft(F.col("a_at").cast("long"), _AT_BITS) + F.col("b_at")).alias("at"))
+    c = c.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("at")).alias("cuts"))
     return t.join(c.hint("merge"), ["k1", "k2"]).select("k1", "k2", "n", "ids.a", "ids.b", "cuts")
 
 
-def _at(cut: Column) -> tuple[Column, Column]:
-    return F.shiftright(cut, _AT_BITS).cast("int"), cut.bitwiseAND((1 << _AT_BITS) - 1).cast("int")
-
-
-def links() -> Column:
-    """The linked pairs of a row of aligned(): a * 2 ** 15 + b each."""
-
-    def pair(cut: Column) -> Column:
-        p, q = _at(cut)
-        return F.shiftleft(F.element_at("a", p + 1).cast("int") + _SHIFT, _B_BITS) + F.element_at("b", q + 1) + _SHIFT
-
-    return F.transform("cuts", pair)
-
-
 @lru_cache(maxsize=1)
-def _decimals() -> list[bytes]:
-    """Ids as decimals after nothing, a comma, a semicolon and a bar."""
-    return [sep + b"%d" % i for sep in (b"", b",", b";", b"|") for i in range(1 << 16)]
+def _decimals() -> np.ndarray:
+    """Ids as decimals after nothing, a comma, a semicolon and a bar; what is shorter than the longest has zero bytes behind it."""
+    return np.array([sep + b"%d" % i for sep in (b"", b",", b";", b"|") for i in range(1 << 16)])
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, cut: np.ndarray) -> bytes:
-    """`a1,a2|b1;a3|b2,b3` of ids and cuts."""
-    p, q = np.diff((cut >> _AT_BITS) + 1, prepend=0), np.diff((cut & ((1 << _AT_BITS) - 1)) + 1, prepend=0)  # tokens a group
-    out = np.empty(len(a) + len(b), np.int64)
+def groups_text(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> bytes:
+    """`a1,a2|b1;a3|b2,b3` of ids and the places of both sides' cuts."""
+    p, q = np.diff(at_a + 1, prepend=0), np.diff(at_b + 1, prepend=0)  # tokens a group
+    out = np.empty(len(a) + len(b), np.int32)
     start_a, start_b = np.cumsum(p) - p, np.cumsum(q) - q
     first_a, first_b = start_a + start_b, start_a + p + start_b
     out[np.arange(len(a)) + np.repeat(start_b, p)] = a + (1 << 16)
@@ -205,20 +192,32 @@ def groups_text(a: np.ndarray, b: np.ndarray, cut: np.ndarray) -> bytes:
     out[first_a] += 1 << 16
     out[first_b] += 2 << 16
     out[0] -= 2 << 16
-    return b"".join(map(_decimals().__getitem__, out.tolist()))
+    return _decimals()[out].tobytes().translate(None, b"\0")
 
 
-@F.arrow_udf(StringType())
-def groups_sha256(a: pa.Array, b: pa.Array, cut: pa.Array) -> pa.Array:
-    np_of = lambda x: x.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return pa.array([hashlib.sha256(groups_text(np_of(p) + _SHIFT, np_of(q) + _SHIFT, np_of(c))).hexdigest() for p, q, c in zip(a, b, cut)], pa.string())
+@F.arrow_udf(StructType([StructField("groups_sha256", StringType()), StructField("links", ArrayType(IntegerType()))]))
+def rendered(a: pa.Array, b: pa.Array, cut: pa.Array) -> pa.Array:
+    """Of a row of aligned() the digest of its groups, and the linked pairs: a * 2 ** 15 + b each."""
+    np_of = lambda x: x.values.to_numpy(zero_copy_only=False)
+    digests, links = [], []
+    for p, q, c in zip(a, b, cut):
+        p, q, c = np_of(p).astype(np.int32) + _SHIFT, np_of(q).astype(np.int32) + _SHIFT, np_of(c)
+        at_a, at_b = c >> _AT_BITS, c & ((1 << _AT_BITS) - 1)
+        digests.append(hashlib.sha256(groups_text(p, q, at_a, at_b)).hexdigest())
+        links.append((p[at_a] << _B_BITS) + q[at_b])
+    ends = pa.array(np.cumsum([0, *map(len, links)]), pa.int32())
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *links]), pa.int32()))
+    return pa.StructArray.from_arrays([pa.array(digests, pa.string()), lists], ["groups_sha256", "links"])
 
 
 @contextmanager
 def _kept_apart(spark: SparkSession, partitions: int):
-    """Joins by a key that the rows are dealt by a part of, and tasks of few bytes but many token rows left as they are. Of
-    effect while a table is written; results do not depend on it."""
-    now = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    """Joins by a key that the rows are dealt by a part of, tasks of few bytes but many token rows left as they are, and rows that
+    come in order aggregated in that order. Of effect while a table is written; results do not depend on it."""
+    now = {
+        "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.execution.replaceHashWithSortAgg": "true",  # the join's rows come in order, so a text's cuts are collected without a sort
+    }
     old = {k: spark.conf.get(k, None) for k in now}
     try:
         for k, v in now.items():
@@ -260,7 +259,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     with _kept_apart(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))):
         x = aligned(texts(docs, a_path, b_path, text_col, size), a_path, b_path)
-        each = written(x.select("k1", "k2", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("cuts").alias("n_groups"), groups_sha256("a", "b", "cuts").alias("groups_sha256"), links().alias("links")), "aligned")
+        x = x.select("k1", "k2", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("cuts").alias("n_groups"), rendered("a", "b", "cuts").alias("r"))
+        each = written(x.select("k1", "k2", "n", "n_a", "n_b", "n_groups", "r.groups_sha256", "r.links"), "aligned")
     counts = link_counts(each.select("links", "n"))
     # a table of its own, so that Spark can split the join below at a text that very many documents have
     sums = written(each.drop("links", "n").join(_sums(each.select("k1", "k2", "links"), counts, most), ["k1", "k2"]), "alignments")

@@ -250,3 +250,10 @@ def test_token_rows_are_not_sent_and_texts_are_encoded_once(spark, documents, tm
     assert plan.count("ReusedExchange") == 2 and plan.count("MapInArrow") == 1 and "Broadcast" not in plan
     assert plan.count("Exchange hashpartitioning") == 3 and plan.count("SortMergeJoin") == 2  # one exchange, read three times
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_cuts_are_collected_in_the_order_of_the_join(spark, documents):
+    with alignment._kept_apart(spark, 4):
+        x = alignment.aligned(alignment.texts(documents, A_PATH, B_PATH), A_PATH, B_PATH)
+        plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and "ObjectHashAggregate" not in plan and "lambdafunction" not in plan
