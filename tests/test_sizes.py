@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import context, evidence, paths, snapshots
 from evigraph.plans import queries
+from evigraph.sources import shared
 from evigraph.sources.projection import PROFILE, trade_graph
 
 DATA = "/root/testdata/sf0.001"
@@ -77,3 +78,12 @@ def test_a_value_that_goes_on_in_the_next_column_is_a_change(spark, tmp_path):
     snapshots.snapshot(spark.createDataFrame([("k", "a\x1fb", "c"), ("l", "x", None)], "key string, x string, y string"), "key", old, 4)
     snapshots.snapshot(spark.createDataFrame([("k", "a", "b\x1fc"), ("l", "x", "\x00")], "key string, x string, y string"), "key", new, 4)
     assert sorted(tuple(r) for r in snapshots.diff(spark, old, new, "key").select("key", "change", F.array_join("columns", ",")).collect()) == [("k", "changed", "x,y"), ("l", "changed", "y")]
+
+
+@pytest.mark.parametrize("name", ["candidate_scores", "candidate_rank_top3"])
+def test_tasks_grow_in_number_with_lines(spark, monkeypatch, name):
+    want = sorted(map(tuple, queries.QUERIES[name](spark, DATA).collect()))
+    n = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    monkeypatch.setattr(shared, "TASK_ROWS", n // 11)
+    x = queries.QUERIES[name](spark, DATA)
+    assert x.rdd.getNumPartitions() >= 11 and sorted(map(tuple, x.collect())) == want
