@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
+
 SUPPORTED, PARTIAL, UNSUPPORTED, NOT_VERIFIABLE = "supported", "partially_supported", "unsupported", "not_verifiable"
 
 
@@ -92,13 +94,14 @@ def ranked_paths(paths: DataFrame) -> DataFrame:
     return x.withColumn("path_rank", F.row_number().over(order).cast("long"))
 
 
-def subgraph(starts: DataFrame, triples: DataFrame, most: int) -> DataFrame:
+def subgraph(starts: DataFrame, triples: DataFrame, most: int, rows: int | None = None) -> DataFrame:
     """(start, triple_id, n_hops): the triples within `most` hops of each start node, each with the fewest hops that reach it.
 
     A node is gone on from once for each start, when it is first reached, so the work is that of the subgraph's edges and not
-    of its paths.
+    of its paths. rows: about how many triples there are; with it, what a task gets does not grow with them.
     """
     step = triples.select(F.col("head_id").alias("node"), F.col("tail_id").alias("to"), "triple_id")
+    step = dealt(step, rows, "node") if rows else step
     at = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
     seen, out = at, None
     for n in range(1, most + 1):
@@ -107,7 +110,7 @@ def subgraph(starts: DataFrame, triples: DataFrame, most: int) -> DataFrame:
         out = now if out is None else out.unionByName(now)
         at = x.select("start", F.col("to").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         seen = seen.unionByName(at)
-    return out.groupBy("start", "triple_id").agg(F.min("n_hops").alias("n_hops"))
+    return (dealt(out, rows * most, "start") if rows else out).groupBy("start", "triple_id").agg(F.min("n_hops").alias("n_hops"))
 
 
 def experiment_summary(runs: DataFrame, by: list[str], means: list[str], sums: list[str] = (), digits: int = 9) -> DataFrame:

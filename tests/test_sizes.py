@@ -87,3 +87,12 @@ def test_tasks_grow_in_number_with_lines(spark, monkeypatch, name):
     monkeypatch.setattr(shared, "TASK_ROWS", n // 11)
     x = queries.QUERIES[name](spark, DATA)
     assert x.rdd.getNumPartitions() >= 11 and sorted(map(tuple, x.collect())) == want
+
+
+@pytest.mark.parametrize("name", ["subgraph_edges"])
+def test_tasks_grow_in_number_with_triples(spark, monkeypatch, name):
+    want = sorted(map(tuple, queries.QUERIES[name](spark, DATA).collect()))
+    monkeypatch.setattr(shared, "TASK_ROWS", spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 11)
+    x = queries.QUERIES[name](spark, DATA)
+    assert x.rdd.getNumPartitions() >= 11 and sorted(map(tuple, x.collect())) == want
+    assert trade_graph(spark, DATA).triples.rdd.getNumPartitions() > 11
