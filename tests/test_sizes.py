@@ -89,7 +89,7 @@ def test_tasks_grow_in_number_with_lines(spark, monkeypatch, name):
     assert x.rdd.getNumPartitions() >= 11 and sorted(map(tuple, x.collect())) == want
 
 
-@pytest.mark.parametrize("name", ["subgraph_edges"])
+@pytest.mark.parametrize("name", ["subgraph_edges", "shape_violations"])
 def test_tasks_grow_in_number_with_triples(spark, monkeypatch, name):
     want = sorted(map(tuple, queries.QUERIES[name](spark, DATA).collect()))
     monkeypatch.setattr(shared, "TASK_ROWS", spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 11)
