@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import dealt
 
 SUPPORTED, PARTIAL, UNSUPPORTED, NOT_VERIFIABLE = "supported", "partially_supported", "unsupported", "not_verifiable"
+#: Ways on that a first triple is sent with at once.
+PIECE = 256
 
 
 @dataclass(frozen=True)
@@ -71,20 +73,42 @@ def coverage_rate(used: DataFrame, available: DataFrame, kind: str, *by: str) ->
     return a.join(u, list(by), "left").withColumns({"n_used": F.coalesce("n_used", F.lit(0)), "ecr": F.try_divide(F.coalesce("n_used", F.lit(0)), F.col("n_available"))})
 
 
-def hops(starts: DataFrame, triples: DataFrame, most: int) -> DataFrame:
-    """Paths of 1 to `most` triples from start nodes (id): start, end, n_hops, nodes, relations, triple_ids.
+def hops(starts: DataFrame, triples: DataFrame, most: int, rows: int | None = None, more: tuple[str, ...] = ("nodes", "relations"), together: bool = False) -> DataFrame:
+    """Paths of 1 to `most` triples from start nodes (id): start, end, n_hops, triple_ids, and more of nodes and relations.
 
-    Each hop is an equality join on the path's end. No node is passed twice, so cycles end.
+    Nodes reached are gone on from once, however many paths lead there, and paths are put together from their ends: a path is a
+    first triple and a way on, or none, from the node it leads to. So no hub gets all paths that pass it. No node is passed
+    twice, so cycles end. rows: about how many triples there are; with it, what a task gets does not grow with them. together:
+    paths are dealt by their start, where each first triple is sent once with each PIECE of its ways on.
     """
-    step = triples.select(F.col("head_id").alias("end"), F.col("tail_id").alias("to"), "relation_en", "triple_id")
-    at = starts.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<string>").alias("triple_ids"))
-    out = None
-    for n in range(1, most + 1):
-        x = at.join(step, "end").where(~F.array_contains("nodes", F.col("to")))
-        at = x.select("start", F.col("to").alias("end"), F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("relations", F.col("relation_en")).alias("relations"), F.array_append("triple_ids", F.col("triple_id")).alias("triple_ids"))
-        now = at.withColumn("n_hops", F.lit(n).cast("long"))
-        out = now if out is None else out.unionByName(now)
-    return out
+    c, deal = F.col, lambda x, key: dealt(x, rows, key) if rows else x.repartition(key)
+    head, tail, relation, id_ = (c("t")[i] for i in range(4))
+    # a triple is one value and its ends are there, so that all readers need the same columns and rows and read one exchange
+    step = triples.where(c("head_id").isNotNull() & c("tail_id").isNotNull() & (c("head_id") != c("tail_id")))
+    step = deal(step.select(F.array("head_id", "tail_id", "relation_en", "triple_id").alias("t")), head)
+    at, walked = [starts.select(c("id").alias("node"), F.lit(None).cast("string").alias("only"))], []
+    for _ in range(most):
+        x = at[-1].join(step, c("node") == head).where(F.coalesce(tail != c("only"), F.lit(True))).select("t")
+        walked.append(deal(x, tail))
+        # what a single node leads to needs no way back to it
+        by = walked[-1].groupBy(tail.alias("node")).agg(F.min(head).alias("a"), F.max(head).alias("b"))
+        at.append(by.select("node", F.when(c("a") == c("b"), c("a")).alias("only")))
+    way = {"end": c("node"), "nodes": F.array("node"), "relations": F.array().cast("array<string>"), "triple_ids": F.array().cast("array<string>")}
+    ends = lambda n: at[n].select("node", *[v.alias(k) for k, v in way.items()])  # noqa: E731  no way on
+    ways = ends(most)
+    for n in range(most - 1, 0, -1):
+        x = walked[n].join(ways, tail == c("node")).where(~F.array_contains("nodes", head))
+        x = x.select(head.alias("node"), "end", F.concat(F.array(head), "nodes").alias("nodes"), F.concat(F.array(relation), "relations").alias("relations"), F.concat(F.array(id_), "triple_ids").alias("triple_ids"))
+        ways = x.unionByName(ends(n))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("triple_ids"))
+    pieces = ways.withColumn("piece", F.floor((nth - 1) / PIECE)).groupBy("node", "piece").agg(F.collect_list(F.struct(*way)).alias("ways"))
+    fit = F.filter("ways", lambda w: ~F.array_contains(w["nodes"], head))
+    kept = F.transform(fit, lambda w: F.struct(*[w[k].alias(k) for k in way if k in ("end", "triple_ids", *more)]))
+    x = walked[0].join(pieces, tail == c("node")).select(head.alias("start"), *[relation.alias("relation")] * ("relations" in more), id_.alias("triple_id"), kept.alias("ways"))
+    x = (deal(x, "start") if together else x).withColumn("way", F.explode("ways"))
+    before = {"nodes": "start", "relations": "relation", "triple_ids": "triple_id"}
+    x = x.select("start", "way.end", *[F.concat(F.array(before[k]), f"way.{k}").alias(k) for k in (*more, "triple_ids")])
+    return x.withColumn("n_hops", F.size("triple_ids").cast("long"))
 
 
 def ranked_paths(paths: DataFrame) -> DataFrame:
