@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import SENT_ROWS, sent, written
+
 #: A path is what its worst triple is, in this order.
 SUPPORT_TYPES = ("support", "background", "missing", "conflict")
 #: The relation of a claim that any relation fits.
@@ -102,22 +104,47 @@ def path_consistent(claims: DataFrame, triples: DataFrame) -> DataFrame:
     relations are those claimed, in their order; ANY fits each. A claim without relations is not mapped, and not consistent.
 
     The claims' sequences are one automaton, whose states are their beginnings, so claims that begin alike are walked once. The
-    frontier has a row for each head, state and node, however many paths lead there.
+    frontier has a row for each head, state and node, however many paths lead there. It is written at each hop, and only edges of
+    the relations asked for there, and of the nodes where these are few, are joined to it.
     """
-    c = claims.where(F.size("relations") > 0).select("head", "relations", "tail").distinct()
-    moves = c.select("head", F.posexplode("relations").alias("at", "relation"), "relations").select("head", "at", "relation", F.slice("relations", F.lit(1), F.col("at")).alias("state"), F.slice("relations", F.lit(1), F.col("at") + 1).alias("next")).distinct()
+    claims = written(claims, "claims")  # joined by the caller; read for the automaton and for the answer
+    c = written(claims.where(F.size("relations") > 0).select("head", "relations", "tail").distinct(), "claimed")
+    mapped = F.coalesce(F.size("relations") > 0, F.lit(False))
     longest = c.agg(F.max(F.size("relations"))).first()[0] or 0
-    used = F.broadcast(moves.select("relation").distinct())  # a row a relation; joined by relation the triples of one would be one task's
-    edges = triples.select(F.col("head_id").alias("node"), F.explode(F.array("relation_en", F.lit(ANY))).alias("relation"), F.col("tail_id").alias("to")).join(used, "relation", "left_semi").distinct()
-    at = c.select("head", F.col("head").alias("node"), F.array().cast("array<string>").alias("state")).distinct()
+    if not longest:
+        return claims.withColumns({"mapped": mapped, "consistent": F.lit(False)})
+    ways = c.select("head", "relations").repartition("head")
+    at = ways.select("head", F.col("head").alias("node"), F.array().cast("array<string>").alias("state")).distinct()
     ends = []
     for i in range(longest):
-        x = at.join(moves.where(F.col("at") == i), ["head", "state"]).select("head", "node", "relation", "next")
-        at = x.join(edges, ["node", "relation"]).select("head", F.col("to").alias("node"), F.col("next").alias("state")).distinct()
-        ends.append(at.select("head", F.col("state").alias("relations"), F.col("node").alias("tail")).join(c, ["head", "relations", "tail"], "left_semi"))
-    mapped = F.coalesce(F.size("relations") > 0, F.lit(False))
-    if not ends:
-        return claims.withColumns({"mapped": mapped, "consistent": F.lit(False)})
-    hit = reduce(DataFrame.unionByName, ends).distinct().withColumn("hit", F.lit(True))
+        here = [F.slice("relations", 1, i).alias("state"), F.col("relations")[i].alias("relation"), F.slice("relations", 1, i + 1).alias("next")]
+        moves = ways.where(F.size("relations") > i).select("head", *here, (F.size("relations") == i + 1).alias("whole")).groupBy("head", "state", "relation", "next").agg(F.max("whole").alias("whole"))
+        moves = moves.groupBy("head").agg(F.collect_list(F.struct("state", "relation", "next", "whole")).alias("moves"))
+        x = at.join(moves, "head").select("head", "node", F.explode(F.filter("moves", lambda m: m["state"] == F.col("state"))).alias("m"))
+        x = written(x.select("head", "node", "m.relation", "m.next", "m.whole"), "frontier")
+        x = x.join(_edges(x, triples), ["node", "relation"]).select("head", F.col("to").alias("node"), F.col("next").alias("state"), "whole").repartition("head").distinct()
+        if i < longest - 1:
+            x = written(x, "reached")
+        at = x.drop("whole")
+        ends.append(x.where("whole").select("head", F.col("state").alias("relations"), F.col("node").alias("tail")))
+    hit = reduce(DataFrame.unionByName, ends).join(c, ["head", "relations", "tail"], "left_semi").distinct().withColumn("hit", F.lit(True))
     x = claims.join(hit, ["head", "relations", "tail"], "left")
     return x.withColumns({"mapped": mapped, "consistent": F.coalesce("hit", F.lit(False))}).select(*claims.columns, "mapped", "consistent")
+
+
+#: Relations up to which a filter names them.
+_NAMED = 1000
+
+
+def _edges(frontier: DataFrame, triples: DataFrame) -> DataFrame:
+    """(node, relation, to): the triples that a frontier (node, relation) asks for, ANY among its relations."""
+    used = frontier.select("relation").distinct()
+    names = [r[0] for r in used.limit(_NAMED + 1).collect()]
+    if ANY not in names and len(names) <= _NAMED:
+        triples = triples.where(F.col("relation_en").isin(names))  # no triples of others are made
+    e = triples.select(F.col("head_id").alias("node"), F.explode(F.array("relation_en", F.lit(ANY))).alias("relation"), F.col("tail_id").alias("to"))
+    e = e.join(F.broadcast(used), "relation", "left_semi")  # a row a relation; joined by relation the triples of one would be one task's
+    near = frontier.select("node").distinct()
+    if near.limit(SENT_ROWS + 1).count() > SENT_ROWS:
+        return e
+    return sent(e.join(F.broadcast(near), "node", "left_semi"))

@@ -19,3 +19,8 @@ def test_the_items_of_documents_are_sent_once_by_head_and_once_by_query(spark):
         plan = _plan(queries.QUERIES[name](spark, DATA))
         assert "hashpartitioning(tail_id" not in plan and "hashpartitioning(s#" not in plan and plan.count("hashpartitioning(query_id#") <= 4
         assert "sort_array" not in plan and "array_join" not in plan
+
+
+def test_claims_are_joined_once_and_walked_from_where_they_are_written(spark):
+    plan = _plan(queries.claims_by_path(spark, DATA))
+    assert "l_returnflag" not in plan and "o_custkey" not in plan and "claims-" in plan
