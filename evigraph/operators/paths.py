@@ -16,7 +16,8 @@ from ..sources.shared import SENT_ROWS, sent, written
 SUPPORT_TYPES = ("support", "background", "missing", "conflict")
 #: The relation of a claim that any relation fits.
 ANY = "*"
-_STATE = "start string, end string, cost long, worst int, nodes array<string>, triple_ids array<string>, ids string"
+#: Between the nodes and triples of a path while it grows: as texts they are cheaper to hand on than lists. No id holds it.
+_SEP = "\x00"
 
 
 def cost_of(weight: Column) -> Column:
@@ -58,22 +59,59 @@ def _needed_rows(batch: pa.RecordBatch, k: int, left: int, held: list) -> pa.Rec
         if held[:1] != [group]:
             held[:] = [group, []]
         for i, nodes in enumerate(batch.column("nodes").slice(at, many).to_pylist(), at):
-            own = frozenset(nodes)
+            own = frozenset(nodes.split(_SEP) if isinstance(nodes, str) else nodes)
             fit[i] = needed(held[1], own, k, left)
             if fit[i]:
                 held[1].append(own)
     return batch if fit.all() else batch.filter(pa.array(fit))
 
 
-def _fewer(k: int, left: int):
+def _fewer(k: int, n: int, left: int):
+    """Rows come sorted by start, end, cost, hops and ids; of those of n hops the ones that are needed stay, and all others."""
+
     def run(batches):
         held: list = []
         for b in batches:
-            yield _needed_rows(b, k, left, held)
+            new = pc.equal(b.column("n_hops"), n)
+            yield b.filter(pc.invert(new))
+            yield _needed_rows(b.filter(new), k, left, held)
 
     return run
 
 
+def _first(k: int):
+    """Of rows that come so sorted the first k of a start and an end, with path_rank."""
+
+    def run(batches):
+        last, seen = None, 0
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            names = [b.column(c) for c in ("start", "end")]
+            new = np.ones(n, bool)
+            new[1:] = ~np.logical_and(*[pc.equal(x.slice(1), x.slice(0, n - 1)).to_numpy(zero_copy_only=False) for x in names])
+            rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+            if tuple(x[0].as_py() for x in names) == last:
+                rank[: np.append(np.flatnonzero(new), n)[1]] += seen
+            last, seen = tuple(x[n - 1].as_py() for x in names), int(rank[-1])
+            x = pa.RecordBatch.from_arrays([*b.columns, pa.array(rank.astype(np.int64))], [*b.schema.names, "path_rank"])
+            yield x.filter(pa.array(rank <= k))
+
+    return run
+
+
+def _ways(step: DataFrame) -> DataFrame | None:
+    """(end, ways) of the nodes that triples both lead to and go on from, where these nodes and their triples are few."""
+    tails = step.select(F.col("to").alias("end")).distinct()
+    if tails.limit(SENT_ROWS + 1).count() > SENT_ROWS:
+        return None
+    on = written(step.join(F.broadcast(tails), "end", "left_semi"), "ways")
+    if on.limit(SENT_ROWS + 1).count() > SENT_ROWS:
+        return None
+    return F.broadcast(on.groupBy("end").agg(F.collect_list(F.struct("to", "triple_id", "more", "bad")).alias("ways")))
+
+
 def best_paths(starts: DataFrame, triples: DataFrame, k: int, most: int) -> DataFrame:
     """(start, end, path_rank, cost, n_hops, nodes, triple_ids, support_type): for every start (id) and every node that it leads
     to the k paths of the least cost, of 1 to `most` triples; ties go to the smaller list of triple ids.
@@ -82,21 +120,39 @@ def best_paths(starts: DataFrame, triples: DataFrame, k: int, most: int) -> Data
     node twice. The walk keeps, hop by hop, for a start and a node k paths and those that can go on where these cannot; of
     their number before the last hop, k * sum((k * hops) ** i for i up to the hops that are left) is a bound whatever the graph. So what is kept
     grows with starts and nodes reached, not with paths, and the result is that of ranking all paths.
+
+    Paths are dealt by start once. Where the ways on of inner nodes are few they are sent to the paths, which stay where they lie
+    and are put in order there; otherwise paths are sent to the ways and back.
     """
-    worst = F.array_position(F.array(*map(F.lit, SUPPORT_TYPES)), F.col("support_type")).cast("int") - 1
-    step = triples.where(F.col("cost").isNotNull()).select(F.col("head_id").alias("end"), F.col("tail_id").alias("to"), "triple_id", F.col("cost").cast("long").alias("more"), F.greatest(worst, F.lit(0)).alias("bad"))
-    none = F.array().cast("array<string>")
-    at = starts.select(F.col("id").alias("start")).distinct().select("start", F.col("start").alias("end"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("worst"), F.array("start").alias("nodes"), none.alias("triple_ids"), F.lit("").alias("ids"))
-    found = []
-    for n in range(1, most + 1):
-        x = at.join(step, "end").where(~F.array_contains("nodes", F.col("to")))
-        ids = F.array_append("triple_ids", F.col("triple_id"))
-        x = x.select("start", F.col("to").alias("end"), (F.col("cost") + F.col("more")).alias("cost"), F.greatest("worst", "bad").alias("worst"), F.array_append("nodes", F.col("to")).alias("nodes"), ids.alias("triple_ids"), F.array_join(ids, "/").alias("ids"))
-        at = x.repartition("start", "end").sortWithinPartitions("start", "end", "cost", "ids").mapInArrow(_fewer(k, most - n), _STATE) if n < most else x  # the last ones are ranked below
-        found.append(at.withColumn("n_hops", F.lit(n).cast("long")))
-    x = reduce(DataFrame.unionByName, found)
-    x = x.withColumn("path_rank", F.row_number().over(Window.partitionBy("start", "end").orderBy("cost", "n_hops", "ids")).cast("long")).where(F.col("path_rank") <= k)
-    return x.select("start", "end", "path_rank", "cost", "n_hops", "nodes", "triple_ids", F.element_at(F.array(*map(F.lit, SUPPORT_TYPES)), F.col("worst") + 1).alias("support_type"))
+    c = F.col
+    worst = F.array_position(F.array(*map(F.lit, SUPPORT_TYPES)), c("support_type")).cast("int") - 1
+    step = triples.where(c("cost").isNotNull()).select(c("head_id").alias("end"), c("tail_id").alias("to"), "triple_id", c("cost").cast("long").alias("more"), F.greatest(worst, F.lit(0)).alias("bad"))
+    x = starts.select(c("id").alias("end")).distinct().join(step, "end").where(c("end") != c("to")).repartition("end")
+    x = x.select(c("end").alias("start"), c("to").alias("end"), c("more").alias("cost"), c("bad").alias("worst"), F.concat_ws(_SEP, "end", "to").alias("nodes"), c("triple_id").alias("triple_ids"), F.lit(1).cast("long").alias("n_hops"))
+    ways = _ways(step) if most > 1 else None
+    on = lambda w: F.struct(c("start"), w["to"].alias("end"), (c("cost") + w["more"]).alias("cost"), F.greatest(c("worst"), w["bad"]).alias("worst"), F.concat_ws(_SEP, "nodes", w["to"]).alias("nodes"), F.concat_ws(_SEP, "triple_ids", w["triple_id"]).alias("triple_ids"))
+    around = lambda x: F.concat(F.lit(_SEP), x, F.lit(_SEP))
+    passed = lambda to: F.contains(around(c("nodes")), around(to))
+    state = "start string, end string, cost long, worst int, nodes string, triple_ids string, n_hops long"
+    in_order = lambda x: x.withColumn("ids", F.replace("triple_ids", F.lit(_SEP), F.lit("/"))).sortWithinPartitions("start", "end", "cost", "n_hops", "ids").drop("ids")
+    for n in range(2, most + 1):
+        if n == 2:  # single triples of a start and an end pass the same nodes, so the first k are all that is needed
+            nth = F.row_number().over(Window.partitionBy("start", "end").orderBy("cost", "triple_ids"))
+            x = x.withColumn("nth", nth).where(c("nth") <= k).drop("nth")
+        else:
+            x = in_order(x).mapInArrow(_fewer(k, n - 1, most - n + 1), state)
+        if ways is None:
+            more = x.where(c("n_hops") == n - 1).join(step, "end").where(~passed(c("to")))
+            more = more.select(on({w: c(w) for w in ("to", "more", "bad", "triple_id")}).alias("p")).select("p.*", F.lit(n).cast("long").alias("n_hops"))
+            x = x.unionByName(more).repartition("start")
+            continue
+        own = F.struct("start", "end", "cost", "worst", "nodes", "triple_ids")
+        fit = F.filter("ways", lambda w: ~passed(w["to"]))
+        further = F.when((c("n_hops") == n - 1) & c("ways").isNotNull(), F.transform(fit, on))
+        x = x.join(ways, "end", "left").select("n_hops", F.posexplode(F.concat(F.array(own), F.coalesce(further, F.filter(F.array(own), lambda _: F.lit(False))))).alias("at", "p"))
+        x = x.select("p.*", F.when(c("at") > 0, n).otherwise(c("n_hops")).cast("long").alias("n_hops"))
+    x = in_order(x).mapInArrow(_first(k), f"{state}, path_rank long")
+    return x.select("start", "end", "path_rank", "cost", "n_hops", *[F.split(x_, _SEP).alias(x_) for x_ in ("nodes", "triple_ids")], F.element_at(F.array(*map(F.lit, SUPPORT_TYPES)), c("worst") + 1).alias("support_type"))
 
 
 def path_consistent(claims: DataFrame, triples: DataFrame) -> DataFrame:

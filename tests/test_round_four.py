@@ -24,3 +24,8 @@ def test_the_items_of_documents_are_sent_once_by_head_and_once_by_query(spark):
 def test_claims_are_joined_once_and_walked_from_where_they_are_written(spark):
     plan = _plan(queries.claims_by_path(spark, DATA))
     assert "l_returnflag" not in plan and "o_custkey" not in plan and "claims-" in plan
+
+
+def test_paths_are_sent_once(spark):
+    plan = _plan(queries.evidence_paths_topk(spark, DATA)).split("== Initial Plan ==")[0]
+    assert "hashpartitioning(start#" not in plan and "BroadcastHashJoin [end#" in plan
