@@ -41,6 +41,20 @@ _FORMS: dict[str | None, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     None: ("", (CANDIDATE, MATCHED, SUPPORT, DIFFERENTIAL, RISK, EXAMS, MISSING, DISCLAIMED), ()),
 }
 
+#: What version 2 asks of an item below each heading; what traces it is one step further in.
+_FIELDS: dict[str, tuple[str, ...]] = {
+    CANDIDATE: ("中文名", "英文名", "编号", "怎样措辞"), MATCHED: ("哪条观察", "是否相符", *TRACE), SUPPORT: TRACE,
+    DIFFERENTIAL: ("要与什么区分", *TRACE), RISK: ("有什么风险", *TRACE), ADVICE: ("建议做什么", *TRACE), MISSING: ("缺什么", "为何缺"),
+}
+
+
+def _fields() -> str:
+    lines = []
+    for heading, fields in _FIELDS.items():
+        lines.append(f"- {heading}")
+        lines += [("    - " if f in TRACE and len(fields) > len(TRACE) else "  - ") + f"{f}：" for f in fields]
+    return "\n".join(lines)
+
 
 def _outline(headings: tuple[str, ...], traced: tuple[str, ...]) -> str:
     """A line a heading; where items are traced it says what a line of them holds."""
@@ -58,7 +72,7 @@ def render(version: str | None, candidate: Column, observation: Column, context:
     own = (lambda c: c) if known == V2 else strip
     inputs = F.concat(F.lit("# 输入\n- 候选疾病："), own(candidate), F.lit("\n- 用户观察："), own(observation))
     rules = F.lit(f"# 要求\n{keep}") if keep else F.concat(F.lit("# 要求\n"), numbered(F.array(*[F.lit(x) for x in SAFETY])))
-    text = F.concat_ws("\n\n", F.lit(_TASK), inputs, F.concat(F.lit(f"# {EVIDENCE}\n"), context), rules, F.lit(f"# 回答的栏目，不增不减\n{_outline(headings, traced)}"))
+    text = F.concat_ws("\n\n", F.lit(_TASK), inputs, F.concat(F.lit(f"# {EVIDENCE}\n"), context), rules, F.lit(f"# 回答的栏目，不增不减\n{_outline(headings, traced)}"), *([F.lit(f"# 各栏逐条填写的字段\n{_fields()}")] if known == V2 else []))
     return strip(text) if known == V2 else text
 
 

@@ -29,3 +29,9 @@ def test_claims_are_joined_once_and_walked_from_where_they_are_written(spark):
 def test_paths_are_sent_once(spark):
     plan = _plan(queries.evidence_paths_topk(spark, DATA)).split("== Initial Plan ==")[0]
     assert "hashpartitioning(start#" not in plan and "BroadcastHashJoin [end#" in plan
+
+
+def test_version_two_has_the_whole_evidence_and_the_fields_of_each_heading(spark):
+    text = queries.prompt_second(spark, DATA).where("query_id = 'PRT_1'").first()["prompt"]
+    assert "## Suppliers\n- 证据路径：" in text and "## Sources\n" in text
+    assert "- 用户观察与证据匹配\n  - 哪条观察：\n  - 是否相符：\n    - 证据路径：" in text and text.index("- 证据不足说明\n  - 缺什么：") < text.index("# Safety")
