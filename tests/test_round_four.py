@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-
-from evigraph.operators import context
 from evigraph.plans import queries
 
 DATA = "/root/testdata/sf0.001"
